@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import bpe, chat, decontam, langid, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op4_quality": quality.op4_quality,
+        "op5_language_id": langid.op5_language_id,
+        "op6_decontaminate": decontam.op6_decontaminate,
+        "op7_token_counts": bpe.op7_token_counts,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_chat_format": chat.op9_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": mixing.ORACLE, "op9_chat_format": chat.ORACLE}
+    return {"op6_decontaminate": decontam.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_chat_format": chat.ORACLE}
