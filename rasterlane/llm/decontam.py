@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,15 +188,15 @@ def _automata(items: DataFrame, item_id: str, item_text: str, window: int, most_
         yield spark.sparkContext.broadcast([(r.item, words_of(r.text.encode())) for r in mine.toLocalIterator()])
 
 
-_built: dict[int, SuffixAutomaton] = {}
+_built: dict[str, SuffixAutomaton] = {}
 
 
-def _automaton(sent, window: int) -> SuffixAutomaton:
+def _automaton(key: str, sent, window: int) -> SuffixAutomaton:
     """Built once a worker; only the last one is kept."""
-    if sent.id not in _built:
+    if key not in _built:
         _built.clear()
-        _built[sent.id] = SuffixAutomaton(sent.value, window)
-    return _built[sent.id]
+        _built[key] = SuffixAutomaton(sent.value, window)
+    return _built[key]
 
 
 def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id",
@@ -211,8 +212,8 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
                 drop_path(docs.sparkSession, path)
             path = new
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(sent, window)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(key, sent, window)
             for batch in batches:
                 names = batch.schema.names
                 n_words, all_hits, all_items = [], [], []
