@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, langid, mixing, quality
+from . import bpe, chat, decontam, hmm, langid, mixing, quality, warc
 
 
 def queries() -> dict:
     return {
+        "op3_hmm_scores": hmm.op3_hmm_scores,
         "op4_quality": quality.op4_quality,
         "op5_language_id": langid.op5_language_id,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op7_token_counts": bpe.op7_token_counts,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_chat_format": chat.op9_chat_format,
+        "op10_warc": warc.op10_warc,
     }
 
 
