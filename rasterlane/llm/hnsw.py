@@ -3,7 +3,7 @@
 Equal vectors are one class first, with their number. Classes are dealt by hash to shards of bounded size; a task builds the
 shard's graph in numpy, inserting small batches: a batch searches the layers that stand, is compared with itself, and links
 to diverse near nodes, which link back. Every class queries every shard, in blocks: the queries of a block descend the layers in
-lock step. The beam starts narrow; a query whose beam ends inside the threshold gets a wider one, and so does the whole
+lock step. The beam starts narrow; a query with links in more than a quarter of its beam gets a wider one, and so does the whole
 block while an audit of some of its queries against all of the shard finds a link missing. A beam as wide as the shard is the
 shard: it is scored as one matrix product. Candidates are confirmed by cosine in double precision. A task passes on, for each
 query, the number of vectors that it links to, and of the links only a spanning forest, from which components are found.
@@ -147,7 +147,7 @@ class Graph:
         return near, sim
 
 
-def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, cut: float, beams=(24, 96), audited: int = 64, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, cut: float, beams=(32, 128), audited: int = 128, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) with cosine >= cut in double precision. exact, q: unit rows. Beams widen as the module says."""
     n, rng = len(exact), np.random.default_rng(seed)
     out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,7 +168,7 @@ def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, cut: float, beams=(24
             b = near[a, b]
             ok = np.einsum("ij,ij->i", q[todo[a]], exact[b]) >= cut
             a, b = a[ok], b[ok]
-            full = hit[:, -1]  # more may lie beyond the beam's end
+            full = hit.sum(1) > beam // 4  # in a dense place more may lie beyond what the beam has come to
             rest = np.flatnonzero(~full)
             close = rest[np.argsort(-sim[rest, 0], kind="stable")[: audited // 2]]  # where links are likeliest
             some = np.union1d(close, rng.choice(rest, min(audited // 2, len(rest)), replace=False)) if len(rest) else rest

@@ -159,11 +159,11 @@ def train(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
     return net.fit(np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW), np.array(y), epochs) if x else net
 
 
-def predict(docs: DataFrame, net: ByteCNN | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep`, lang_pred string and score double."""
+def predict(docs: DataFrame, net: ByteCNN | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep`, the language (string) and its score (double) under `names`, which must not be among them."""
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_li_text"), F.coalesce(F.regexp_like(F.col(text_col), F.lit(r"\p{L}")), F.lit(False)).alias("_li_letter"))
     sent = docs.sparkSession.sparkContext.broadcast(net and Predictor(net))
-    schema = docs.select(*keep).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)}).schema
+    schema = docs.select(*keep).withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, net: ByteCNN | None, keep: list[str], text_col: str
                 prob = net([texts[i] for i in some])
                 for i, best, p in zip(some, prob.argmax(1).tolist(), prob.max(1).tolist()):
                     lang[i], score[i] = net.langs[best], min(1.0, p)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:k], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:k], *names])
 
     return rows.mapInArrow(run, schema)
 

@@ -135,17 +135,17 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text_col: str =
     return BoostedTrees().fit(x, got["y"].to_numpy(np.float64))
 
 
-def predict(docs: DataFrame, trees: BoostedTrees, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` and score double."""
+def predict(docs: DataFrame, trees: BoostedTrees, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns `keep` and the score (double) under `name`, which must not be among them."""
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_q_text"))
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in blocks(whole, "_q_text", MOST_BYTES)):
             k = batch.num_columns - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(sent.value.score(statistics(utf8_list(batch.column(k)))), pa.float64())], [*batch.schema.names[:k], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(sent.value.score(statistics(utf8_list(batch.column(k)))), pa.float64())], [*batch.schema.names[:k], name])
 
-    return rows.mapInArrow(run, docs.select(*keep).withColumn("score", F.lit(0.0)).schema)
+    return rows.mapInArrow(run, docs.select(*keep).withColumn(name, F.lit(0.0)).schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, hmm, langid, mixing, quality, warc
+from . import bpe, chat, decontam, hmm, hnsw, langid, minhash, mixing, quality, warc
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": hnsw.op1_embedding_dedup,
+        "op2_minhash": minhash.op2_minhash,
         "op3_hmm_scores": hmm.op3_hmm_scores,
         "op4_quality": quality.op4_quality,
         "op5_language_id": langid.op5_language_id,
@@ -19,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontam.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_chat_format": chat.ORACLE}
+    return {
+        "op1_embedding_dedup": hnsw.ORACLE,
+        "op2_minhash": minhash.ORACLE,
+        "op6_decontaminate": decontam.ORACLE,
+        "op8_mix_sources": mixing.ORACLE,
+        "op9_chat_format": chat.ORACLE,
+    }
