@@ -129,7 +129,7 @@ def missing_text(missing: Column, total: Column) -> Column:
 
 
 def area_label(area_m2: Column, area_px: Column) -> Column:
-    return F.when(area_m2.isNotNull(), F.format_string("%.1f m²", area_m2)).when(area_px.isNotNull(), F.format_string("%d px", area_px)).otherwise("—")
+    return F.when(area_m2.isNotNull(), F.format_string("%.1f m²", F.bround(area_m2, 1))).when(area_px.isNotNull(), F.format_string("%d px", area_px)).otherwise("—")
 
 
 def month(date: Column) -> Column:
@@ -142,7 +142,7 @@ def period_label(start: Column, end: Column) -> Column:
 
 def location_title(hotspot_title: Column, lat: Column, lon: Column) -> Column:
     named = F.trim(F.substring_index(hotspot_title, "(", 1))
-    return F.coalesce(named, F.when(lat.isNotNull() & lon.isNotNull(), F.format_string("Harita [%.2f, %.2f]", lat, lon)), F.lit("Özel Yükleme"))
+    return F.coalesce(named, F.when(lat.isNotNull() & lon.isNotNull(), F.format_string("Harita [%.2f, %.2f]", F.bround(lat, 2), F.bround(lon, 2))), F.lit("Özel Yükleme"))
 
 
 def progress(fraction: Column) -> Column:
