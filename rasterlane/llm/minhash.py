@@ -6,8 +6,9 @@ Bands of the signature deal documents into buckets; links are confirmed on the f
 
 No bucket is paired with itself as a whole. Equal sets are one node first. Then each node of a bucket is held against the
 bucket's pivot alone, in the first bands and then, where the two are still apart, in all; components are found after each.
-Buckets that still hold several components are finished pair by pair across components: small ones directly, large ones in
-blocks of bounded size, where signatures first drop pairs that are far below the threshold. The banding misses a link
+Nodes that still share a bucket with another component are gathered around the bucket's largest one and finished pair by pair
+across components: small clusters directly, large ones in blocks of bounded size, where signatures first drop pairs that are
+far below the threshold. The banding misses a link
 at the threshold itself with a probability of `miss` at most.
 
 Defined cases: null, empty and wordless texts have no shingles, link with nothing and stay; a null id links with nothing, its
@@ -33,8 +34,8 @@ from .common import table, utf8_list, written
 
 UNIVERSE = 1 << 20
 FIRST_BANDS = 5
-SMALL_BUCKET = 24
-BLOCK = 2048
+SMALL = 24
+BLOCK = 256
 REMEMBERED = 300_000  # word hashes a worker remembers
 
 
@@ -178,47 +179,71 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     labels = components(links)
     apart = labelled(labelled(dealt.where(F.col("band") >= FIRST_BANDS).select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), labels, "u", "lu"), labels, "v", "lv").where("lu <> lv")
     labels = components(confirm(apart.select("u", "v")).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
-    # what is left: buckets with several components
+    # what is left: buckets with several components. Nodes that share one form the cluster of the bucket's largest component
     told = labelled(dealt, labels, "node", "label")
-    mixed = told.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
-    left, _ = written(told.join(mixed, ["band", "key"]).select("band", "key", "node", "label", "size"), "left")
-    rest = _small_buckets(left).unionByName(_large_buckets(left, full.select(F.col("id").alias("node"), "sig"), num / den)).distinct()
-    labels = components(confirm(rest).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    parts = told.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    left = told.join(mixed, ["band", "key"]).select(F.col("top.label").alias("cluster"), "label", "node").distinct()
+    left, _ = written(left, "left")
+    sizes = left.groupBy("cluster").agg(F.count("*").alias("size"))
+    left = left.join(sizes, "cluster")
+    sigs = full.select(F.col("id").alias("node"), "sig")
+    found = confirm(_small_clusters(left).distinct()).unionByName(_large_clusters(left, sigs, texts, k, num, den, bands, per))
+    labels = components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
     groups = labelled(nodes, labels, "node", "component_id").select("set_key", "component_id")
     out = signed.select("id", "n_shingles", "set_key").join(groups, "set_key", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
 
 
-def _small_buckets(left: DataFrame) -> DataFrame:
-    """Pairs across components in buckets of SMALL_BUCKET nodes at most."""
-    few = left.where(F.col("size") <= SMALL_BUCKET).groupBy("band", "key").agg(F.collect_list(F.struct("node", "label")).alias("all"))
+def _small_clusters(left: DataFrame) -> DataFrame:
+    """Pairs across components in clusters of SMALL nodes at most."""
+    few = left.where(F.col("size") <= SMALL).groupBy("cluster").agg(F.collect_list(F.struct("node", "label")).alias("all"))
     pair = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a.label < b.label")
     return pair.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
-def _large_buckets(left: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """The same in larger ones, block against block. Pairs whose signatures agree in too few places are dropped: at the
-    threshold a pair is lost with a probability under 1e-5 (over four standard deviations)."""
-    many = left.where(F.col("size") > SMALL_BUCKET).join(sigs, "node")
-    many = many.withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("i", F.pmod(F.hash("node"), F.col("n")))
+def _large_clusters(left: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
+    """Links across components in larger ones, block against block. Pairs whose signatures agree in too few places are
+    dropped (at the threshold a pair is lost with a probability under 1e-5, over four standard deviations); the others are counted
+    on the full sets inside the task, so that only links leave it."""
+    many = left.where(F.col("size") > SMALL).withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("i", F.pmod(F.hash("node"), F.col("n")))
+    many = many.join(sigs, "node").join(texts.select(F.col("id").alias("node"), "text"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")
-    many = many.select("band", "key", "node", "label", "sig", "i", other).select("band", "key", "node", "label", "sig", "i", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"))
+    many = many.select("cluster", "node", "label", "sig", "text", "i", other).select("cluster", "node", "label", "sig", "text", "i", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"))
 
     def run(t: pa.Table) -> pa.Table:
         node, label, i, x, y = (t.column(c).to_numpy() for c in ("node", "label", "i", "x", "y"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-        least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / sig.shape[1])
+        share = num / den
+        least = share - 4.5 * math.sqrt(share * (1 - share) / sig.shape[1])
+        c = circulant(bands, rows)
+        full = [c.shingles(text, k) for text in utf8_list(t.column("text"))]
+        n = np.array([len(s) for s in full])
+        hub = {v: v for v in label.tolist()}
+
+        def find(v: int) -> int:
+            while hub[v] != v:
+                hub[v] = v = hub[hub[v]]
+            return v
+
         a, b = np.flatnonzero(i == x), np.flatnonzero(i == y)
         us, vs = [], []
-        for r in a:
+        for r in a.tolist():
             some = b[label[b] > label[r]] if x[0] == y[0] else b[label[b] != label[r]]
+            some = some[(den * np.minimum(n[some], n[r]) >= num * np.maximum(n[some], n[r]))]
             some = some[(sig[some] == sig[r]).mean(1) >= least]
-            us.append(np.full(len(some), node[r]))
-            vs.append(node[some])
-        return pa.table({"u": pa.array(np.concatenate(us) if us else [], pa.int64()), "v": pa.array(np.concatenate(vs) if vs else [], pa.int64())})
-
-    return many.groupBy("band", "key", "x", "y").applyInArrow(run, "u long, v long")
+            for o in some.tolist():
+                p, q = find(int(label[r])), find(int(label[o]))
+                if p != q:
+                    both = len(np.intersect1d(full[r], full[o], assume_unique=True))
+                    if den * both >= num * (n[r] + n[o] - both):
+                        hub[p] = q
+                        us.append(int(node[r]))
+                        vs.append(int(node[o]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return many.groupBy("cluster", "x", "y").applyInArrow(run, "u long, v long")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
