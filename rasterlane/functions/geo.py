@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ METRES_PER_DEGREE = 111320.0
 ZOOM0_METRES_PER_PIXEL = 156543.03392
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tiles_across(zoom: Column) -> Column:
     return F.pow(F.lit(2.0), zoom)
 
@@ -113,13 +120,16 @@ def corner_from_centre(t: Column) -> Column:
     return affine(t["a"], t["b"], t["c"] - t["a"] / 2 - t["b"] / 2, t["d"], t["e"], t["f"] - t["d"] / 2 - t["e"] / 2)
 
 
-def bounds_overlap(p: Column, q: Column) -> Column:
+def bounds_overlap(first: Column, second: Column) -> Column:
     """Intersection over union of two boxes; 0 for boxes without area."""
-    side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(p[hi], q[hi]) - F.greatest(p[lo], q[lo]))
-    area = lambda b: (b["n"] - b["s"]) * (b["e"] - b["w"])
-    both = side("s", "n") * side("w", "e")
-    union = area(p) + area(q) - both
-    return F.when(union > 0, both / F.when(union > 0, union)).otherwise(0.0)
+    def of(pair: Column) -> Column:
+        p, q = pair["p"], pair["q"]
+        side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(p[hi], q[hi]) - F.greatest(p[lo], q[lo]))
+        area = lambda b: (b["n"] - b["s"]) * (b["e"] - b["w"])
+        both = side("s", "n") * side("w", "e")
+        return let(F.struct(both.alias("both"), (area(p) + area(q) - both).alias("union")), lambda v: F.when(v["union"] > 0, v["both"] / F.when(v["union"] > 0, v["union"])).otherwise(0.0))
+
+    return let(F.struct(first.alias("p"), second.alias("q")), of)
 
 
 def metres_to_grid(side: Column, lat: Column, zoom: Column, most: int = 8, tile: int = 256) -> Column:

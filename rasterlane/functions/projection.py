@@ -4,11 +4,11 @@ Other codes are unsupported and give null, which callers report. UTM uses the us
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rasterlane.functions.geo import apply_affine, let
+
 #: Fixed values of WGS 84 and of the UTM grid.
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
 SCALE, FALSE_EAST, FALSE_NORTH_SOUTH = 0.9996, 500_000.0, 10_000_000.0
@@ -23,60 +23,70 @@ def supported(epsg: Column) -> Column:
     return F.coalesce(epsg.isin(4326, 3857) | epsg.between(32601, 32660) | epsg.between(32701, 32760), F.lit(False))
 
 
-def _utm(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
+def _utm(x: Column, y: Column, epsg: Column) -> Column:
+    """struct lon, lat of a UTM point."""
     south = epsg >= 32701
-    xi = (y - F.when(south, FALSE_NORTH_SOUTH).otherwise(0.0)) / (SCALE * _RADIUS)
-    eta = (x - FALSE_EAST) / (SCALE * _RADIUS)
-    xi1, eta1 = xi, eta
-    for j, b in enumerate(_BETA, 1):
-        xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
-    for j, d in enumerate(_DELTA, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    return F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + (epsg % 100) * 6 - 183, F.degrees(lat)
+    flat = F.struct(((y - F.when(south, FALSE_NORTH_SOUTH).otherwise(0.0)) / (SCALE * _RADIUS)).alias("xi"), ((x - FALSE_EAST) / (SCALE * _RADIUS)).alias("eta"), (epsg % 100 * 6 - 183).alias("middle"))
+
+    def sphere(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        for j, b in enumerate(_BETA, 1):
+            xi = xi - b * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+            eta = eta - b * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"), p["middle"].alias("middle"))
+
+    def angles(p: Column) -> Column:
+        return F.struct((F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"]))) + p["middle"]).alias("lon"), F.asin(F.sin(p["xi"]) / F.cosh(p["eta"])).alias("chi"))
+
+    def ellipsoid(p: Column) -> Column:
+        lat = p["chi"]
+        for j, d in enumerate(_DELTA, 1):
+            lat = lat + d * F.sin(2 * j * p["chi"])
+        return F.struct(p["lon"].alias("lon"), F.degrees(lat).alias("lat"))
+
+    return let(let(let(flat, sphere), angles), ellipsoid)
 
 
 def to_lonlat(x: Column, y: Column, epsg: Column) -> Column:
     """struct lon, lat; null for an unsupported code."""
-    mercator_lon, mercator_lat = F.degrees(x / SEMI_MAJOR), F.degrees(F.atan(F.sinh(y / SEMI_MAJOR)))
-    utm_lon, utm_lat = _utm(x, y, epsg)
-    pick = lambda plain, merc, utm: F.when(epsg == 4326, plain).when(epsg == 3857, merc).otherwise(utm)
-    return F.when(supported(epsg), F.struct(pick(x, mercator_lon, utm_lon).alias("lon"), pick(y, mercator_lat, utm_lat).alias("lat")))
+    plain = F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))
+    mercator = F.struct(F.degrees(x / SEMI_MAJOR).alias("lon"), F.degrees(F.atan(F.sinh(y / SEMI_MAJOR))).alias("lat"))
+    return F.when(epsg == 4326, plain).when(epsg == 3857, mercator).when(supported(epsg), _utm(x, y, epsg))
 
 
-def ground_distance(p: Column, q: Column) -> Column:
+def ground_distance(first: Column, second: Column) -> Column:
     """Metres between two near points (structs lon, lat) of the ellipsoid: meridian and parallel radii at the middle."""
     e2 = FLATTENING * (2 - FLATTENING)
-    mid = F.radians((p["lat"] + q["lat"]) / 2)
-    w = 1 - F.pow(F.sin(mid), 2) * e2
-    north = F.radians(q["lat"] - p["lat"]) * (SEMI_MAJOR * (1 - e2)) / F.pow(w, 1.5)
-    east = F.radians(q["lon"] - p["lon"]) * SEMI_MAJOR * F.cos(mid) / F.sqrt(w)
-    return F.sqrt(north * north + east * east)
 
+    def of(v: Column) -> Column:
+        p, q = v["p"], v["q"]
+        mid = F.radians((p["lat"] + q["lat"]) / 2)
+        w = 1 - F.pow(F.sin(mid), 2) * e2
+        north = F.radians(q["lat"] - p["lat"]) * (SEMI_MAJOR * (1 - e2)) / F.pow(w, 1.5)
+        east = F.radians(q["lon"] - p["lon"]) * SEMI_MAJOR * F.cos(mid) / F.sqrt(w)
+        return F.hypot(north, east)
 
-def image_bounds(t: Column, width: Column, height: Column, epsg: Column) -> Column:
-    """Bounds of an image's corners."""
-    from .geo import apply_affine
+    return let(F.struct(first.alias("p"), second.alias("q")), of)
 
-    at = [apply_affine(t, c, r) for c, r in ((F.lit(0), F.lit(0)), (width, F.lit(0)), (width, height), (F.lit(0), height))]
-    corners = [to_lonlat(p["x"], p["y"], epsg) for p in at]
-    lons, lats = F.array(*[c["lon"] for c in corners]), F.array(*[c["lat"] for c in corners])
-    return F.when(supported(epsg), F.struct(F.array_min(lats).alias("s"), F.array_min(lons).alias("w"), F.array_max(lats).alias("n"), F.array_max(lons).alias("e")))
 
+def _points(t: Column, epsg: Column, *at: tuple[Column, Column]) -> Column:
+    """Array of lon, lat at places (column, row) of an image."""
+    return let(F.struct(t.alias("t"), epsg.alias("epsg")), lambda v: F.transform(F.array(*[apply_affine(v["t"], c, r) for c, r in at]), lambda p: to_lonlat(p["x"], p["y"], v["epsg"])))
 
-def image_gsd(t: Column, width: Column, height: Column, epsg: Column) -> Column:
-    """Metres a pixel at the image's centre: the mean, by product, of a step right and a step down."""
-    from .geo import apply_affine
 
-    def point(c: Column, r: Column) -> Column:
-        p = apply_affine(t, c, r)
-        return to_lonlat(p["x"], p["y"], epsg)
+def image_bounds(t: Column, width: Column, height: Column, epsg: Column) -> Column:
+    """Bounds of an image's corners."""
+    zero = F.lit(0)
 
-    o = point(width / 2, height / 2)
-    return F.sqrt(ground_distance(o, point(width / 2 + 1, height / 2)) * ground_distance(o, point(width / 2, height / 2 + 1)))
+    def of(corners: Column) -> Column:
+        lats, lons = F.transform(corners, lambda p: p["lat"]), F.transform(corners, lambda p: p["lon"])
+        return F.struct(F.array_min(lats).alias("s"), F.array_min(lons).alias("w"), F.array_max(lats).alias("n"), F.array_max(lons).alias("e"))
 
+    return F.when(supported(epsg) & t.isNotNull(), let(_points(t, epsg, (zero, zero), (width, zero), (width, height), (zero, height)), of))
 
-def degrees_per_metre() -> float:
-    return 180 / math.pi / SEMI_MAJOR
+
+def image_gsd(t: Column, width: Column, height: Column, epsg: Column) -> Column:
+    """Metres a pixel at the image's centre: the mean, by product, of a step right and a step down."""
+    x, y = width / 2, height / 2
+    step = lambda p, i: ground_distance(F.element_at(p, 1), F.element_at(p, i))
+    return F.when(supported(epsg) & t.isNotNull(), let(_points(t, epsg, (x, y), (x + 1, y), (x, y + 1)), lambda p: F.sqrt(step(p, 2) * step(p, 3))))

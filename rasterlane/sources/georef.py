@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlane.functions import geo, projection
+from rasterlane.sources.shared import written
 
 #: Sidecar extensions in order of precedence, tag codes and key numbers.
 WORLD_EXTENSIONS = ("jgw", "jpgw", "tfw", "tifw", "pgw", "pngw", "wld")
@@ -111,9 +112,11 @@ def georeferences(images: DataFrame, files: DataFrame) -> DataFrame:
     i = i.withColumn("transform", F.coalesce("from_tiff", "from_world")).withColumn("code", code)
     error = F.when(F.col("transform").isNull() & F.col("world").isNotNull(), "world_file").when(F.col("transform").isNotNull() & F.col("code").isNull(), "crs_unknown").when(F.col("transform").isNotNull() & ~projection.supported(F.col("code")), "crs_unsupported")
     i = i.withColumn("error", error).withColumn("transform", F.when(F.col("error").isNull(), F.col("transform")))
-    source = F.when(F.col("transform").isNotNull(), F.when(tiff, "geotiff").otherwise("worldfile"))
+    i = i.withColumn("is_tiff", tiff).drop("stem", "tags", "keys", "from_tiff", "from_world", "world", "prj", "content", "epsg")
+    i, _ = written(i, "georef")  # the projections below name the transform many times: it is not worked out anew each time
+    source = F.when(F.col("transform").isNotNull(), F.when(F.col("is_tiff"), "geotiff").otherwise("worldfile"))
     bounds = projection.image_bounds(F.col("transform"), F.col("width"), F.col("height"), F.col("code"))
-    return i.select(*[c for c in images.columns if c != "epsg"], "transform", F.col("code").alias("epsg"), source.alias("source"), "error", bounds.alias("bounds"), projection.image_gsd(F.col("transform"), F.col("width"), F.col("height"), F.col("code")).alias("gsd_m"))
+    return i.select(*[c for c in images.columns if c not in ("epsg", "content")], "transform", F.col("code").alias("epsg"), source.alias("source"), "error", bounds.alias("bounds"), projection.image_gsd(F.col("transform"), F.col("width"), F.col("height"), F.col("code")).alias("gsd_m"))
 
 
 def pair_reference(pairs: DataFrame, least: float = 0.9) -> DataFrame:
