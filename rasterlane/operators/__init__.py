@@ -1 +1 @@
-
+"""Operators over cells, blocks, objects and captures."""

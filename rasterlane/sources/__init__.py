@@ -1 +1 @@
-
+"""Sources, sinks and the shared folder."""

@@ -1 +1 @@
-
+"""Empty on purpose: the surveyed system has no unbounded input; captures are complete before they are evaluated."""
