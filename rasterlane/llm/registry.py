@@ -27,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": decontam.ORACLE,
         "op8_mix_sources": mixing.ORACLE,
         "op9_chat_format": chat.ORACLE,
+        "op10_warc": warc.ORACLE,
     }

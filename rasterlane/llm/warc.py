@@ -262,3 +262,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(read_arc(pages_to_arc(table(spark, sf_dir, "pages"))), path)
     number = lambda c: F.col(c).try_cast("long").alias(c)
     return read_warc(spark, path).select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
+ORACLE = r"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS first, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1) FOR i IN range(32)], '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
