@@ -138,7 +138,7 @@ def windows_of(text: bytes, most: int, rng: np.random.Generator) -> list[bytes]:
 def train(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
           docs_per_lang: int = 300, windows_per_doc: int = 8, epochs: int = 8) -> ByteCNN | None:
     """Fits on the bounded sample. The sample's share of each language is set by the language's count, over all rows."""
-    rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1_000_003)).alias("h"))
+    rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1_000_003)).alias("h"))
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
@@ -146,15 +146,20 @@ def train(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
     near = F.lit(False)
     for lang, n in counts.items():
         near = near | ((F.col("lang") == lang) & (F.col("h") < min(1.0, 1.3 * docs_per_lang / n) * 1_000_003))
-    picked = rows.where(near).orderBy("h", "text").limit(2 * docs_per_lang * len(langs)).collect()
-    rng = np.random.default_rng(5)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in blocks(whole, "text", MOST_BYTES)):
+            own = [windows_of(t, windows_per_doc, np.random.default_rng(h)) for t, h in zip(utf8_list(batch.column(1)), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.binary()))], ["lang", "h", "windows"])
+
+    # tasks pick the windows: of a text of any length, windows_per_doc come to the driver at most
+    picked = rows.where(near & (F.col("text") != "")).mapInArrow(cut, "lang string, h long, windows array<binary>")
     x, y, seen = [], [], dict.fromkeys(langs, 0)
-    for r in picked:
-        if r.text and seen[r.lang] < docs_per_lang:
+    for r in picked.orderBy("h", "windows").limit(2 * docs_per_lang * len(langs)).collect():
+        if seen[r.lang] < docs_per_lang:
             seen[r.lang] += 1
-            own = windows_of(r.text.encode(), windows_per_doc, rng)
-            x += own
-            y += [langs.index(r.lang)] * len(own)
+            x += r.windows
+            y += [langs.index(r.lang)] * len(r.windows)
     net = ByteCNN(langs)
     return net.fit(np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW), np.array(y), epochs) if x else net
 
