@@ -87,7 +87,7 @@ def duplicate_captures(spark, d):
 
 
 def geojson_export(spark, d):
-    return geojson(building_records(spark, d).where("patch = 1"))
+    return geojson(building_records(spark, d), keys=("patch",))
 
 
 def csv_export(spark, d):
@@ -97,6 +97,10 @@ def csv_export(spark, d):
 _RECORDS = f"(SELECT *, row_number() OVER (PARTITION BY patch ORDER BY CASE type WHEN 'new' THEN 0 WHEN 'demolished' THEN 1 WHEN 'rebuilt' THEN 2 ELSE 3 END, area_px DESC, a, b, c, d) AS id FROM {OBJECTS} JOIN {TYPES} USING (type))"
 _N = ", ".join(f"count(*) FILTER (type = '{t}') AS n_{t}, CAST(coalesce(sum(area_px) FILTER (type = '{t}'), 0) AS BIGINT) AS px_{t}" for t in summaries.TYPES)
 _M2 = ", ".join(f"round_even(px_{t} * 0.5::DOUBLE * 0.5::DOUBLE, 1) AS m2_{t}" for t in summaries.TYPES)
+_M = "CAST(round_even(area_px * 0.5::DOUBLE * 0.5::DOUBLE, 1) AS VARCHAR)"
+_FEATURE = " || ".join([f"""'{{\n    "type" : "Feature",\n    "id" : ' || id || ',\n    "properties" : {{'"""] + [f"""'{"," if i else ""}\n      "{c}" : ' || {v}""" for i, (c, v) in enumerate(
+    {c: {"type": """'"' || type || '"'""", "type_tr": """'"' || type_tr || '"'""", "color": """'"' || color || '"'""", "area_m2": _M}.get(c, c) for c in "patch id type type_tr color area_px area_m2 a b c".split()}.items())]
+    + [f"""'\n    }},\n    "geometry" : {{\n      "type" : "Polygon",\n      "coordinates" : [ ]\n    }}\n  }}'"""])
 _SPLIT = """SELECT {key}, d AS "from", lead(d) OVER w AS "to", sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) + coalesce(sum(CASE WHEN st THEN 0 ELSE 1 END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS cost,
     row_number() OVER w AS seq, lead(1) OVER w AS more FROM {rows} WHERE st IS NOT NULL WINDOW w AS (PARTITION BY {key} ORDER BY {order})"""
 _BEST = 'SELECT {key}, "from", "to" FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY cost, seq DESC) AS best FROM ({split}) WHERE more = 1) WHERE best = 1'
@@ -120,6 +124,6 @@ QUERIES = {
         SELECT "from", "to", count(*) FILTER (type = 0) AS "new", count(*) FILTER (type = 1) AS demolished, count(*) FILTER (type = 2) AS rebuilt FROM k GROUP BY "from", "to" """),
     "distinct_captures": (distinct_captures, "SELECT strftime(ts, '%Y-%m-%d') AS date, min(CAST(month(ts) AS BIGINT)) AS year FROM events WHERE strftime(ts, '%Y-%m-%d') > '2024-01-02' AND strftime(ts, '%Y-%m-%d') < '2024-12-30' AND coalesce(value / 50, 0) <= 1.0 GROUP BY 1"),
     "duplicate_captures": (duplicate_captures, "SELECT event_id, CASE WHEN f < event_id THEN f END AS same_as FROM (SELECT event_id, min(event_id) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d')) AS f FROM events)"),
-    "geojson_export": (geojson_export, None),
-    "csv_export": (csv_export, None),
+    "geojson_export": (geojson_export, f"""SELECT patch, '{{\n  "type" : "FeatureCollection",\n  "georeferenced" : false,\n  "features" : [ ' || string_agg({_FEATURE}, ', ' ORDER BY id) || ' ]\n}}' AS geojson FROM {_RECORDS} GROUP BY patch"""),
+    "csv_export": (csv_export, f"SELECT CAST(id AS VARCHAR) AS Bina_ID, type AS Degisim_Turu, type_tr AS Degisim_Tanimi, {_M} AS Alan_m2, " + ", ".join(f"'' AS {c}" for c in "Cevre_m Guven_Skoru_Yuzde Enlem Boylam Piksel_X Piksel_Y".split()) + f" FROM {_RECORDS}"),
 }

@@ -10,18 +10,18 @@ CSV_COLUMNS = {"id": "Bina_ID", "type": "Degisim_Turu", "type_tr": "Degisim_Tani
 PERIOD_COLUMNS = {"from": "Degisim_Donemi_Baslangic", "to": "Degisim_Donemi_Bitis"}
 
 
-def features(records: DataFrame, geometry: Column | None = None) -> DataFrame:
+def features(records: DataFrame, geometry: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """One JSON feature a record, nulls kept; geometry: rings as array<array<array<double>>>."""
     shape = F.struct(F.lit("Polygon").alias("type"), (F.array().cast("array<array<array<double>>>") if geometry is None else geometry).alias("coordinates"))
-    return records.select("id", F.struct(F.lit("Feature").alias("type"), "id", F.struct(*records.columns).alias("properties"), shape.alias("geometry")).alias("feature"))
+    return records.select(*keys, "id", F.struct(F.lit("Feature").alias("type"), "id", F.struct(*records.columns).alias("properties"), shape.alias("geometry")).alias("feature"))
 
 
-def geojson(records: DataFrame, geometry: Column | None = None) -> DataFrame:
-    """One feature collection, in one row: for the records of a patch, which a viewer loads whole. Larger results go to
-    write_geojson_lines."""
+def geojson(records: DataFrame, geometry: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One feature collection a row for each value of `keys`, or one in all: for the records of a patch, which a viewer loads
+    whole. Larger results go to write_geojson_lines."""
     all_ = F.transform(F.sort_array(F.collect_list(F.struct("id", "feature"))), lambda x: x["feature"])
     whole = F.struct(F.lit("FeatureCollection").alias("type"), F.lit(geometry is not None).alias("georeferenced"), all_.alias("features"))
-    return features(records, geometry).agg(F.to_json(whole, {"ignoreNullFields": "false", "pretty": "true"}).alias("geojson"))
+    return features(records, geometry, keys).groupBy(*keys).agg(F.to_json(whole, {"ignoreNullFields": "false", "pretty": "true"}).alias("geojson"))
 
 
 def write_geojson_lines(records: DataFrame, path: str, geometry: Column | None = None) -> None:
