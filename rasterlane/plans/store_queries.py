@@ -32,8 +32,10 @@ def project_scope(spark, d):
 
 
 def _store(spark, d):
-    p = _projects(spark, d).withColumn("k", C("id").cast("long"))
-    return p.where("k % 2 = 0").drop("k"), p.where("k % 3 = 0").withColumns({"name": F.concat("name", F.lit(" v2")), "created_at": F.lit("2026-01-01"), "updated_at": F.lit("2026-01-02")}).drop("k")
+    """All orders as the stored projects, and all parts as later writes under ten times their key, of which some are new."""
+    later = table(spark, d, "part").select((C("p_partkey") * 10).cast("string").alias("id"), F.concat("p_name", F.lit(" v2")).alias("name"), C("p_type").alias("description"), F.lit("2026-01-01").alias("created_at"),
+                                           F.lit("2026-01-02").alias("updated_at"), C("p_retailprice").alias("area"), C("p_size").cast("long").alias("location"))
+    return _projects(spark, d), later
 
 
 def project_upsert(spark, d):
@@ -72,9 +74,9 @@ QUERIES = {
     "project_search": (project_search, "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_type AS description FROM part WHERE contains(lower(p_name), 'st') OR contains(lower(p_type), 'st')"),
     "project_list": (project_list, "WITH p AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS u FROM orders) SELECT id, row_number() OVER (ORDER BY u DESC, id) AS place, row_number() OVER (ORDER BY u DESC, id) <= 5 AS recent FROM p"),
     "project_scope": (project_scope, "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_brand AS location_name FROM part WHERE regexp_matches(lower(p_name || ' ' || p_brand), 'konut|steel|#1')"),
-    "project_upsert": (project_upsert, """WITH p AS (SELECT o_orderkey AS k, 'İş ' || o_orderpriority AS name, strftime(o_orderdate, '%Y-%m-%d') AS t FROM orders)
-        SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 3 = 0 THEN name || ' v2' ELSE name END AS name, CASE WHEN k % 2 = 0 THEN t ELSE '2026-01-01' END AS created_at, CASE WHEN k % 3 = 0 THEN '2026-01-02' ELSE t END AS updated_at FROM p WHERE k % 2 = 0 OR k % 3 = 0"""),
-    "project_delete": (project_delete, 'SELECT o_orderstatus AS description, count(*) AS "left" FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 > 0 GROUP BY 1'),
+    "project_upsert": (project_upsert, """WITH o AS (SELECT o_orderkey AS k, 'İş ' || o_orderpriority AS name, strftime(o_orderdate, '%Y-%m-%d') AS t FROM orders), n AS (SELECT p_partkey * 10 AS k, p_name || ' v2' AS name FROM part)
+        SELECT CAST(coalesce(n.k, o.k) AS VARCHAR) AS id, coalesce(n.name, o.name) AS name, coalesce(t, '2026-01-01') AS created_at, CASE WHEN n.k IS NULL THEN t ELSE '2026-01-02' END AS updated_at FROM o FULL JOIN n ON o.k = n.k"""),
+    "project_delete": (project_delete, 'SELECT o_orderstatus AS description, count(*) AS "left" FROM orders WHERE o_orderkey NOT IN (SELECT p_partkey * 10 FROM part) GROUP BY 1'),
     "url_parts": (url_parts, r"SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?]+)', 1) AS host, regexp_extract(url, '/([0-9]+)(\?|$)', 1) AS number, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages"),
     "result_dirs": (result_dirs, "SELECT DISTINCT substr(md5(url), 1, 12) AS dir FROM pages"),
     "layer_blocks": (layer_blocks, """SELECT page_id, href, count(*) AS times FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id, href"""),
