@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, table, utf8_list, written
+from .common import blocks, drop_path, table, utf8_list, written
 
 #: Words of UTF-8 texts that still have their capitals: bytes over 0x7F are part of words.
 TOKEN_CASED = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Every other byte, and capitals in lower case, as a table for bytes.translate: words end up parted by spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+MOST_BYTES = 2_000_000  # of text at once in a task
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -214,7 +215,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(key, sent, window)
-            for batch in batches:
+            for batch in (part for whole in batches for part in blocks(whole, text_col, MOST_BYTES)):
                 names = batch.schema.names
                 n_words, all_hits, all_items = [], [], []
                 old_hits, old_items = (batch.column(names.index(c)).to_pylist() for c in ("_dc_hits", "_dc_items"))
@@ -245,7 +246,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, most_cover
     kept = found.where(cover <= most_coverage)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, text_col, MOST_BYTES)):
             texts = utf8_list(batch.column(0))
             hits = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([_without(t, h) if h else t for t, h in zip(texts, hits)], pa.binary()).cast(pa.string()), *batch.columns[2:]], [text_col, *batch.schema.names[2:]])

@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from rasterlane.operators.graph import components
 
-from .common import table, utf8_list, written
+from .common import blocks, table, utf8_list, written
 
 UNIVERSE = 1 << 20
 FIRST_BANDS = 5
 SMALL = 24
 BLOCK = 256
-REMEMBERED = 300_000  # word hashes a worker remembers
+REMEMBERED = 100_000  # word hashes a worker remembers
+MOST_BYTES = 2_000_000  # of text at once in a task
 
 
 def banding(threshold: float, miss: float = 1e-5, most_bands: int = 32) -> tuple[int, int]:
@@ -105,7 +106,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = circulant(bands, rows)
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, "text", MOST_BYTES)):
             n, key, keys, sig = [], [], [], []
             for text in utf8_list(batch.column(1)):
                 s = c.shingles(text, k)
@@ -133,7 +134,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
             return frozenset(zip(*[words[i:] for i in range(min(k, len(words)))]))
 
         last, mine = None, frozenset()
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, "vt", MOST_BYTES)):
             ok = []
             v_texts = utf8_list(batch.column(3))
             for i, (t, other) in enumerate(zip(utf8_list(batch.column(2)), v_texts)):
