@@ -6,7 +6,7 @@ for one of `rare_classes` classes, by a hash of its last three bytes, and within
 P(word | class) is a probability over texts. Counts of rare words are joined by word, in a shuffle; frequent ones are bounded
 by `top_words` and sent to all tasks.
 
-Training: Baum-Welch. A first guess comes from a bounded sample of `sample_docs` documents; then each iteration runs the
+Training: Baum-Welch, `iterations` rounds at every size from a first guess out of the word counts alone. Each round runs the
 forward-backward recursion over every training document, expected counts are summed by symbol across partitions, and the new
 parameters, whose number is bounded by the symbols, come back to the driver. Scoring: the scaled forward recursion, exact for
 texts of any length; documents of a batch advance together, longest first.
@@ -161,7 +161,7 @@ def _batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[p
 
 
 def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", top_words: int = 40_000,
-               rare_classes: int = 1024, sample_docs: int = 600, sample_iterations: int = 12, iterations: int = 2) -> DataFrame:
+               rare_classes: int = 1024, iterations: int = 14) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where held_out is not true."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
@@ -241,15 +241,11 @@ def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     model = first_guess(unigram)
     learn = coded.where(~F.col("held_out"))
     if docs_n:
-        # a share by hash, of about sample_docs rows in all: a ranked limit would bring as many from every task to the driver
-        share = F.pmod(F.xxhash64("row", F.lit("hmm")), F.lit(1_000_000_007))
-        sample = learn.select("ids", share.alias("h")).where(F.col("h") < int(min(1.0, sample_docs / docs_n) * 1_000_000_007) + 1).collect()
-        batch = _Batch([np.frombuffer(r.ids, np.uint16) for r in sorted(sample, key=lambda r: (r.h, bytes(r.ids)))])
-        prior = 200 * unigram / unigram.sum()
-        for _ in range(sample_iterations):
-            model = improved(*batch.expect(model), prior)
+        prior = unigram / unigram.sum()
         for _ in range(iterations):
-            model = improved(*_expected(learn, send(model), STATES, len(unigram)), unigram / unigram.sum())
+            sent_model = send(model)
+            model = improved(*_expected(learn, sent_model, STATES, len(unigram)), prior)
+            sent_model.destroy()
     fitted = send(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

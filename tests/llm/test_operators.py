@@ -148,6 +148,25 @@ def test_hmm_scores(spark):
     assert hmm.hmm_scores(docs(spark, []), F.lit(False)).count() == 0
 
 
+def test_hmm_learns_from_every_row_in_every_round(spark):
+    rows = sample(900)
+    held = lambda i: i is not None and i % 7 == 2
+    words = lambda t: [w.encode() for w in (t or "").lower().split()]
+    c = Counter(w for i, t, _, _ in rows if not held(i) for w in words(t))
+    known = {w: k for k, w in enumerate(sorted(c, key=lambda w: (-c[w], w)))}
+    code = lambda t: np.array([*(known.get(w, len(known) + hmm.rare_class(w, 8)) for w in words(t)), len(known) + 8], np.uint16)
+    learn = [code(t) for i, t, _, _ in rows if not held(i)]
+    unigram = np.array([*(c[w] for w in known), *[0] * 8, len(learn)]) + 0.01
+    model = hmm.first_guess(unigram)
+    for _ in range(14):
+        model = hmm.improved(*hmm._Batch(learn).expect(model), unigram / unigram.sum())
+    inside = [r for r in rows if not held(r[0])]
+    want = sorted(hmm._Batch([code(t) for _, t, _, _ in inside]).log10(model))
+    for parts in (2, 5):
+        got = hmm.hmm_scores(docs(spark, rows).repartition(parts), F.col("doc_id") % 7 == 2, top_words=5000, rare_classes=8).where("NOT held_out").collect()
+        assert np.allclose(sorted(r.score for r in got), want, rtol=1e-3, atol=1e-2)
+
+
 def test_quality(spark):
     rnd = random.Random(3)
     good = [(i, " ".join(rnd.choices(["alpha", "beta", "of", "the", "gamma"], k=40)) + ".", "en", "s") for i in range(150)]
