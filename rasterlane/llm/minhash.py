@@ -7,9 +7,8 @@ Bands of the signature deal documents into buckets; links are confirmed on the f
 No bucket is paired with itself as a whole. Equal sets are one node first. Then each node of a bucket is held against the
 bucket's pivot alone, in the first bands and then, where the two are still apart, in all; components are found after each.
 Nodes that still share a bucket with another component are gathered around the bucket's largest one and finished pair by pair
-across components: small clusters directly, large ones in blocks of bounded size, where signatures first drop pairs that are
-far below the threshold. The banding misses a link
-at the threshold itself with a probability of `miss` at most.
+across components: small clusters directly, large ones in blocks of bounded size, where only pairs whose set sizes rule a link out
+are left uncounted. So banding alone can miss a link, at the threshold itself with a probability of `miss` at most.
 
 Defined cases: null, empty and wordless texts have no shingles, link with nothing and stay; a null id links with nothing, its
 component is null and it stays; rows repeated in full are one node; rows that share an id but not a text are nodes of their own,
@@ -102,27 +101,24 @@ def circulant(bands: int, rows: int) -> Circulant:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """docs: id, text. id, n_shingles, set_key (null for an empty set), keys array<long>, sig binary (a byte a coordinate)."""
+    """docs: id, text. id, n_shingles, set_key (null for an empty set), keys array<long>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = circulant(bands, rows)
         for batch in (part for whole in batches for part in blocks(whole, "text", MOST_BYTES)):
-            n, key, keys, sig = [], [], [], []
+            n, key, keys = [], [], []
             for text in utf8_list(batch.column(1)):
                 s = c.shingles(text, k)
                 n.append(len(s))
                 if len(s):
-                    x = c.signature(s)
                     key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    keys.append(c.band_keys(x))
-                    sig.append(x.astype(np.uint8).tobytes())
+                    keys.append(c.band_keys(c.signature(s)))
                 else:
                     key.append(None)
                     keys.append(None)
-                    sig.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "n_shingles", "set_key", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "keys"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, keys array<long>, sig binary")
+    return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -159,7 +155,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     usable = signed.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
     nodes = usable.groupBy("set_key").agg(F.min("id").alias("node"))
     # one row a set: of the rows that have the smallest id, any
-    full = usable.join(nodes.select("set_key", F.col("node").alias("id")), ["set_key", "id"]).select("id", "set_key", "keys", "sig").dropDuplicates(["set_key"])
+    full = usable.join(nodes.select("set_key", F.col("node").alias("id")), ["set_key", "id"]).select("id", "set_key", "keys").dropDuplicates(["set_key"])
     # two orders of nodes, by bands, so that a dense group has several pivots
     order = F.when(F.col("band") % 2 == 0, F.col("node")).otherwise(F.bitwise_not(F.col("node")))
     dealt = full.select(F.col("id").alias("node"), F.posexplode("keys").alias("band", "key")).withColumn("place", order)
@@ -188,8 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     left, _ = written(left, "left")
     sizes = left.groupBy("cluster").agg(F.count("*").alias("size"))
     left = left.join(sizes, "cluster")
-    sigs = full.select(F.col("id").alias("node"), "sig")
-    found = confirm(_small_clusters(left).distinct()).unionByName(_large_clusters(left, sigs, texts, k, num, den, bands, per))
+    found = confirm(_small_clusters(left).distinct()).unionByName(_large_clusters(left, texts, k, num, den, bands, per))
     labels = components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
     groups = labelled(nodes, labels, "node", "component_id").select("set_key", "component_id")
     out = signed.select("id", "n_shingles", "set_key").join(groups, "set_key", "left")
@@ -204,23 +199,24 @@ def _small_clusters(left: DataFrame) -> DataFrame:
     return pair.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
-def _large_clusters(left: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
-    """Links across components in larger ones, block against block. Pairs whose signatures agree in too few places are
-    dropped (at the threshold a pair is lost with a probability under 1e-5, over four standard deviations); the others are counted
-    on the full sets inside the task, so that only links leave it."""
+def _large_clusters(left: DataFrame, texts: DataFrame, k: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
+    """Links across components in larger ones, block against block: all pairs whose set sizes allow a link and that are still
+    apart are counted on the full sets inside the task, so that only links leave it."""
     many = left.where(F.col("size") > SMALL).withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("i", F.pmod(F.hash("node"), F.col("n")))
-    many = many.join(sigs, "node").join(texts.select(F.col("id").alias("node"), "text"), "node")
+    many = many.join(texts.select(F.col("id").alias("node"), "text"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")
-    many = many.select("cluster", "node", "label", "sig", "text", "i", other).select("cluster", "node", "label", "sig", "text", "i", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"))
+    many = many.select("cluster", "node", "label", "text", "i", other).select("cluster", "node", "label", "text", "i", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"))
 
     def run(t: pa.Table) -> pa.Table:
         node, label, i, x, y = (t.column(c).to_numpy() for c in ("node", "label", "i", "x", "y"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-        share = num / den
-        least = share - 4.5 * math.sqrt(share * (1 - share) / sig.shape[1])
         c = circulant(bands, rows)
         full = [c.shingles(text, k) for text in utf8_list(t.column("text"))]
         n = np.array([len(s) for s in full])
+        at = np.concatenate(([0], np.cumsum(n)))
+        full = np.concatenate(full)
+        distinct = np.unique(full)
+        full = np.searchsorted(distinct, full).astype(np.int32)
+        has = np.zeros(len(distinct), bool)  # the shingles of the row at hand
         hub = {v: v for v in label.tolist()}
 
         def find(v: int) -> int:
@@ -233,15 +229,17 @@ def _large_clusters(left: DataFrame, sigs: DataFrame, texts: DataFrame, k: int,
         for r in a.tolist():
             some = b[label[b] > label[r]] if x[0] == y[0] else b[label[b] != label[r]]
             some = some[(den * np.minimum(n[some], n[r]) >= num * np.maximum(n[some], n[r]))]
-            some = some[(sig[some] == sig[r]).mean(1) >= least]
+            mine = full[at[r] : at[r + 1]]
+            has[mine] = True
             for o in some.tolist():
                 p, q = find(int(label[r])), find(int(label[o]))
                 if p != q:
-                    both = len(np.intersect1d(full[r], full[o], assume_unique=True))
+                    both = int(np.count_nonzero(has[full[at[o] : at[o + 1]]]))
                     if den * both >= num * (n[r] + n[o] - both):
                         hub[p] = q
                         us.append(int(node[r]))
                         vs.append(int(node[o]))
+            has[mine] = False
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return many.groupBy("cluster", "x", "y").applyInArrow(run, "u long, v long")

@@ -81,6 +81,22 @@ def test_minhash_large_clusters(spark, monkeypatch):
     assert got == link_components(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
 
 
+def test_minhash_large_clusters_count_pairs_of_unlike_signatures(spark):
+    """Similarity over the threshold, though the signatures agree in far fewer places."""
+    c = minhash.circulant(30, 7)
+    words = [f"w{i}" for i in range(4000)]
+    low = np.stack([c.signature(c.shingles(w.encode(), 1)) for w in words])
+    mine, now, extra = words[:300], low[:300].min(0), []
+    while len(extra) < 45:
+        best = max(range(300, 4000), key=lambda i: int((low[i] < now).sum()))
+        extra.append(words[best])
+        now = np.minimum(now, low[best])
+    assert (now == low[:300].min(0)).mean() < 0.85 - 4.5 * math.sqrt(0.85 * 0.15 / 210)
+    left = spark.createDataFrame([(1, 1, 1, 30), (1, 2, 2, 30)], "cluster long, label long, node long, size long")
+    texts = spark.createDataFrame([(1, " ".join(mine)), (2, " ".join(mine + extra))], "id long, text string")
+    assert [tuple(sorted(r)) for r in minhash._large_clusters(left, texts, k=1, num=85, den=100, bands=30, rows=7).collect()] == [(1, 2)]
+
+
 def test_signature_estimates_similarity():
     c = minhash.circulant(30, 7)
     a, b = (c.shingles(" ".join(f"w{i}" for i in r).encode(), 1) for r in (range(400), range(100, 500)))
