@@ -1,7 +1,8 @@
 """Cleaning and mixing of a document corpus: each stage works on all that the one before it kept.
 
 language: documents whose language cannot be told go. quality: those that the classifier scores low go. near_duplicates: one
-document of each group of five-word-shingle similarity 0.8 stays, that with the smallest id. decontamination: benchmark passages
+document of each group of five-word-shingle similarity 0.8 stays, that with the smallest id, also where rows share an id or have
+none; wordless texts belong to no group. decontamination: benchmark passages
 are cut out, documents that are mostly such passages go. mixing: sources are brought to their target weights; documents that
 the mix does not take go, the others say how many of their words it takes and how many whole times.
 """
@@ -32,8 +33,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs, k=5, num=4, den=5).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows are told apart by a key of this stage alone: ids may repeat, clash or be null
+    keyed, _ = written(docs.withColumns({"_nd_key": F.monotonically_increasing_id(), "_nd_text": F.xxhash64("text")}), "keyed")
+    told = minhash.near_duplicates(keyed, k=5, num=4, den=5, id_col="_nd_key").select("_nd_key", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_nd_text", "_nd_key")
+    first = told.join(keyed.select("_nd_key", "doc_id", "_nd_text"), "_nd_key").groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(first.select(F.col("first._nd_key").alias("_nd_key")), "_nd_key", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

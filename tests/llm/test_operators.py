@@ -323,3 +323,16 @@ def test_pipeline_keeps_clean_documents(spark):
         assert name == "mixing" or new.columns == d.columns
         out[name], d = (d.count(), new.count()), new
     assert all(a >= b > 0 for a, b in out.values()) and out["language"][1] > 0.95 * out["language"][0]
+
+
+def test_pipeline_keeps_one_of_each_group(spark):
+    """Rows repeated in full, null ids, and an id with two texts of which one is a copy of a smaller id's."""
+    import corpus_pipeline as C
+
+    t = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(1, t[0], "en", "s"), (5, t[0], "en", "s"), (5, t[1], "en", "s"), (6, t[2], "en", "s"), (6, t[2], "en", "s"), (6, t[2], "en", "s"), (None, t[3], "en", "s"), (None, t[3], "en", "s"), (None, t[4], "en", "s"), (9, t[4] + " tail", "en", "s"), (8, t[5] + " tail", "en", "s"), (7, t[5], "en", "s")]
+    for parts in (1, 4):
+        got = C.near_duplicates(spark, docs(spark, rows).repartition(parts), "")
+        assert got.columns == docs(spark, []).columns
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, t[0]), (5, t[1]), (6, t[2]), (None, t[3]), (9, t[4] + " tail"), (7, t[5])])
+    assert C.near_duplicates(spark, docs(spark, []), "").count() == 0
