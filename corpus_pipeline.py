@@ -1,6 +1,6 @@
 """Cleaning and mixing of a document corpus: each stage works on all that the one before it kept.
 
-language: documents whose language cannot be told go. quality: those that the classifier scores low go. near_duplicates: one
+language: documents whose language cannot be told go; where the corpus teaches none, those without a letter. quality: those that the classifier scores low go. near_duplicates: one
 document of each group of five-word-shingle similarity 0.8 stays, that with the smallest id, also where rows share an id or have
 none; wordless texts belong to no group. decontamination: benchmark passages
 are cut out, documents that are mostly such passages go. mixing: sources are brought to their target weights; documents that
@@ -23,6 +23,8 @@ LEAST_QUALITY_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = langid.train(docs, F.lit(True))
+    if net is None:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
     told = langid.predict(docs, net, docs.columns, names=("_li_lang", "_li_score"))
     return told.where((F.col("_li_lang") != "und") & (F.col("_li_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 

@@ -8,7 +8,7 @@ with the embedding into tables by byte pair, so that a width costs two look-ups
 Training takes at most `docs_per_lang` labelled documents of each language (a bounded, documented sample, chosen by a hash of
 the id among all that may be learned from) and `windows_per_doc` windows of each.
 
-Defined cases: a text that is null, or holds no letter, is `und` with score 0; without any labelled row all texts are
+Defined cases: a text that is null, or holds no letter, is `und` with score 0; without any labelled text all are
 `und`; labels that are null teach nothing; repeated rows are each predicted; other columns pass through `keep`; an empty table
 gives no rows.
 """
@@ -160,8 +160,7 @@ def train(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
             seen[r.lang] += 1
             x += r.windows
             y += [langs.index(r.lang)] * len(r.windows)
-    net = ByteCNN(langs)
-    return net.fit(np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW), np.array(y), epochs) if x else net
+    return ByteCNN(langs).fit(np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW), np.array(y), epochs) if x else None
 
 
 def predict(docs: DataFrame, net: ByteCNN | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -336,3 +336,12 @@ def test_pipeline_keeps_one_of_each_group(spark):
         assert got.columns == docs(spark, []).columns
         assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, t[0]), (5, t[1]), (6, t[2]), (None, t[3]), (9, t[4] + " tail"), (7, t[5])])
     assert C.near_duplicates(spark, docs(spark, []), "").count() == 0
+
+
+def test_pipeline_without_languages_keeps_texts_with_letters(spark):
+    import corpus_pipeline as C
+
+    rows = [(1, "some text", None, "s"), (2, "12 !", None, "s"), (3, None, None, "s"), (4, "", None, "s"), (None, "é", None, None)]
+    for extra in ([], [(5, "", "en", "s")]):  # no label at all; a label of a text that teaches nothing
+        got = C.language(spark, docs(spark, rows + extra), "")
+        assert got.columns == docs(spark, []).columns and {r.text for r in got.collect()} == {"some text", "é"}
