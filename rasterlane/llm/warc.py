@@ -6,9 +6,11 @@ as its last field declares, and a line end. Conversion parses these and synthesi
 from the page and the digest, an ISO timestamp, the record's type and base32 SHA-1 digests of block and payload.
 
 Of records with equal payloads (of `min_bytes` at least) that with the largest page id is written as a response, the others as
-revisits of it, without payload. Which digests recur is found by summing narrow rows; records are then joined to that table by
-digest, a hot digest being split by Spark's skew handling, and written through Spark's text writer, gzipped, in files of
-`file_records` records at most. Reading streams each file once, by declared lengths.
+revisits of it, without payload. Which records are revisits is found on narrow rows: digests that recur are summed, and joined to
+the pages' narrow rows, where Spark's skew handling splits a hot digest. Payloads travel once, by page and digest, so that
+a group of copies is spread over all tasks. Records are written through Spark's text writer, gzipped, in files of `file_bytes` at
+the records' mean size and of `file_records` records at most. Pages become ARC and then records in one Python function; tasks work
+on 2 MB of payload at a time. Reading streams each file once, by declared lengths.
 
 Defined cases: null html is an empty payload; null url is written as `urn:page:`; a null page id cannot name a record and is
 kept as the empty id; repeated rows of the largest page id are all responses; several revisits are all kept; an empty table writes
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, utf8_list
+from .common import blocks, drop_path, new_path, table, utf8_list, written
 
 #: Fixed values of the two formats: the fields of an ARC header line by version, and the end of a WARC record.
 ARC_FIELDS = {
@@ -37,6 +39,8 @@ ARC_FIELDS = {
 RECORD_END = b"\r\n\r\n"
 RECORD = "page_id string, uri string, date string, kind string, payload binary, digest string, n long"
 CHUNK = 1 << 20
+MOST_BYTES = 2_000_000  # of payload at once in a task
+ARC_BYTES = 64_000  # of payload in one ARC part
 
 
 def sha1_base32(data: bytes) -> str:
@@ -96,16 +100,22 @@ def convert(arc: dict) -> dict:
             "kind": arc["Content-type"], "payload": arc["payload"], "digest": sha1_base32(arc["payload"]), "n": len(arc["payload"])}
 
 
+_RECORD_NAMES = [x.split()[0] for x in RECORD.split(", ")]
+
+
+def _records(content: bytes) -> pa.RecordBatch:
+    rows = [convert(x) for x in parse_arc(content)]
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], {"payload": pa.binary(), "n": pa.int64()}.get(n, pa.string())) for n in _RECORD_NAMES], _RECORD_NAMES)
+
+
 def read_arc(arcs: DataFrame) -> DataFrame:
     """arcs: a column `content` with the bytes of an ARC file or part, each with its version block (a binaryFile scan has it).
     A row per record, RECORD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
         for batch in batches:
             for content in batch.column(0):
-                rows = [convert(x) for x in parse_arc(_unpacked(content.as_py() or b""))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], {"payload": pa.binary(), "n": pa.int64()}.get(n, pa.string())) for n in names], names)
+                yield _records(_unpacked(content.as_py() or b""))
 
     return arcs.select("content").mapInArrow(run, RECORD)
 
@@ -114,26 +124,39 @@ def _unpacked(content: bytes) -> bytes:
     return zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content
 
 
-def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_bytes: int = 4_000) -> DataFrame:
+def _page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(url_col), F.lit("")).alias("u"), F.coalesce(F.col(html_col), F.lit("")).alias("h"))
+
+
+def _arc_parts(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[bytes]:
+    """ARC parts of about part_bytes of payload, versions 1 and 2 by turns."""
+    version = 1
+    for batch in (part for whole in batches for part in blocks(whole, "h", part_bytes)):
+        parts = [arc_version_block(version)]
+        for i, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_list(batch.column(2))):
+            parts.append(arc_record(version, i, url, html))
+        yield b"".join(parts)
+        version = 3 - version
+
+
+def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_bytes: int = ARC_BYTES) -> DataFrame:
     """Pages as small ARC files in a column `content`, versions 1 and 2 by turns."""
-    rows = pages.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(url_col), F.lit("")).alias("u"), F.coalesce(F.col(html_col), F.lit("")).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        version = 1
-        for batch in batches:
-            ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            parts, n = [arc_version_block(version)], 0
-            for k, html in enumerate(utf8_list(batch.column(2))):
-                parts.append(arc_record(version, ids[k], urls[k], html))
-                n += len(html)
-                if n >= group_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["content"])
-                    version = 3 - version
-                    parts, n = [arc_version_block(version)], 0
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["content"])
-            version = 3 - version
+        for content in _arc_parts(batches, part_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
+
+    return _page_rows(pages, id_col, url_col, html_col).mapInArrow(run, "content binary")
 
-    return rows.mapInArrow(run, "content binary")
+
+def pages_through_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_bytes: int = ARC_BYTES) -> DataFrame:
+    """read_arc(pages_to_arc(pages)) in one Python function, so that a task needs one Python worker: a row per page, RECORD."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in _arc_parts(batches, part_bytes):
+            yield _records(content)
+
+    return _page_rows(pages, id_col, url_col, html_col).mapInArrow(run, RECORD)
 
 
 # --- WARC ---
@@ -159,21 +182,29 @@ def warc_record(r: dict) -> bytes:
     return "\r\n".join([*head, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]).encode() + block
 
 
-def write_warc(records: DataFrame, path: str, min_bytes: int = 0, file_records: int = 4000) -> None:
-    """records: RECORD. Writes gzipped WARC files of file_records records at most into the folder `path`."""
+def write_warc(records: DataFrame, path: str, min_bytes: int = 0, file_records: int = 4000, file_bytes: int = 64_000_000) -> None:
+    """records: RECORD. Writes gzipped WARC files into the folder `path`, of file_records records at most and of about file_bytes
+    of payload. The records are evaluated twice, once for their narrow columns alone."""
+    spark = records.sparkSession
+    narrow, held = written(records.select("page_id", "digest", "n"), "digests")
     size = F.when(F.col("page_id") == "", None).otherwise(F.col("page_id").try_cast("long"))
-    narrow = records.where(F.col("n") >= min_bytes).select("digest", "n", F.struct(size.alias("k"), "page_id").alias("p"))
-    again = narrow.groupBy("digest", "n").agg(F.max("p").alias("first"), F.count("*").alias("times")).where("times > 1").select("digest", "n", F.col("first.page_id").alias("first"))
-    rows = records.join(again, ["digest", "n"], "left").select("page_id", "uri", "date", "payload", "digest", "n", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    again = narrow.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max(F.struct(size.alias("k"), "page_id")).alias("first"), F.count("*").alias("times"))
+    again, counted = written(again.where("times > 1").select("digest", "n", F.col("first.page_id").alias("refers_to")), "recurring")
+    # a row for each page and digest that is not its group's response
+    later = narrow.join(again, ["digest", "n"]).where(F.col("refers_to") != F.col("page_id")).select("page_id", "digest", "refers_to").distinct()
+    rows = records.join(later, ["page_id", "digest"], "left").select("page_id", "uri", "date", "payload", "digest", "n", "refers_to")
+    mean = narrow.agg(F.avg("n").alias("n")).first().n or 0
+    file_records = max(1, min(file_records, int(file_bytes / max(1, mean))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                yield pa.RecordBatch.from_arrays([pa.array([warc_record(r) for r in part.to_pylist()], pa.binary())], ["value"])
+        for batch in (part for whole in batches for part in blocks(whole, "payload", MOST_BYTES)):
+            yield pa.RecordBatch.from_arrays([pa.array([warc_record(r) for r in batch.to_pylist()], pa.binary())], ["value"])
 
     # the text writer puts a string's bytes as they are, and lineSep after each
     text = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     text.write.option("lineSep", RECORD_END.decode()).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    drop_path(spark, held)
+    drop_path(spark, counted)
 
 
 class _Stream:
@@ -259,7 +290,7 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    write_warc(read_arc(pages_to_arc(table(spark, sf_dir, "pages"))), path)
+    write_warc(pages_through_arc(table(spark, sf_dir, "pages")), path)
     number = lambda c: F.col(c).try_cast("long").alias(c)
     return read_warc(spark, path).select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
