@@ -6,10 +6,13 @@ for one of `rare_classes` classes, by a hash of its last three bytes, and within
 P(word | class) is a probability over texts. Counts of rare words are joined by word, in a shuffle; frequent ones are bounded
 by `top_words` and sent to all tasks.
 
-Training: Baum-Welch, `iterations` rounds at every size from a first guess out of the word counts alone. Each round runs the
-forward-backward recursion over every training document, expected counts are summed by symbol across partitions, and the new
-parameters, whose number is bounded by the symbols, come back to the driver. Scoring: the scaled forward recursion, exact for
-texts of any length; documents of a batch advance together, longest first.
+Training: stepwise Baum-Welch (Cappe and Moulines 2009; Liang and Klein 2009), the same at every size. Training rows are dealt by
+a hash of the id to `slices` slices. A step runs the forward-backward recursion over every row of a slice; expected counts are summed
+by symbol across partitions, and what is one number per symbol and state comes back to the driver, where it is weighed into the
+running counts, and the parameters are renewed. After `passes` passes over all slices a last round takes the counts of all
+training rows at once. So every row is worked on passes + 1 times, while the parameters are renewed passes * slices + 1 times.
+Training runs in single precision. Scoring: the scaled forward recursion in double precision, exact for texts of any length;
+documents of a batch advance together, longest first.
 
 Defined cases: null and empty texts are the end token alone; repeated rows are scored each; a null id counts as training; without
 training rows every base score is 0 and the model is its untrained prior; an empty table gives no rows; other columns are left
@@ -32,7 +35,8 @@ from .common import blocks, crc_mod, table, utf8_list, written
 
 STATES = 8
 FLUSH = 100_000  # distinct words a task holds before it passes their counts on
-BATCH_TOKENS = 300_000
+BATCH_TOKENS = 400_000
+GROUP_BYTES = 8 << 20  # of a row group: rows are in the order of slices, so that a step skips most groups of the others
 BLOCK_BYTES = 2_000_000  # text that a task encodes at a time
 
 
@@ -67,56 +71,64 @@ class _Batch:
         self.symbols, self.doc = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
         self.symbols[place], self.doc[place] = flat, doc
 
-    def forward(self, m: HMM, keep: bool = False):
-        """Scales by place, and with keep the scaled forward values."""
-        b = m.emit.astype(np.float32)[self.symbols]
-        move = m.move.astype(np.float32)
-        scale = np.empty(len(b), np.float32)
-        a = np.broadcast_to(m.start.astype(np.float32), (self.alive[0] if len(self.alive) else 0, len(m.start)))
-        for t in range(len(self.alive)):
-            s, e = self.off[t], self.off[t + 1]
-            a = (a[: e - s] @ move if t else a) * b[s:e]
-            c = a.sum(1)
-            a /= c[:, None]
-            scale[s:e] = c
-            if keep:
-                b[s:e] = a
-        return scale, b
+    def forward(self, m: HMM, kind=np.float64, keep: bool = False):
+        """Scales by place; with keep the emissions and the scaled forward values by place as well."""
+        emit, move, ones = m.emit.astype(kind), m.move.astype(kind), np.ones(len(m.start), kind)
+        most = int(self.alive[0]) if len(self.alive) else 0
+        b = emit[self.symbols]
+        alpha = np.empty_like(b) if keep else b
+        scale, step, last = np.empty(len(b), kind), np.empty((most, len(ones)), kind), None
+        off = self.off.tolist()
+        for t in range(len(off) - 1):
+            s, e = off[t], off[t + 1]
+            a = step[: e - s]
+            if last is None:
+                a[:] = m.start
+            else:
+                np.matmul(last[: e - s], move, out=a)
+            a *= b[s:e]
+            np.matmul(a, ones, out=scale[s:e])
+            last = alpha[s:e]
+            np.divide(a, scale[s:e, None], out=last)
+        return scale, b, alpha
 
     def log10(self, m: HMM) -> np.ndarray:
         """Log10 likelihood of each sequence, in the order they came."""
-        scale, _ = self.forward(m)
+        scale, _, _ = self.forward(m)
         out = np.empty(len(self.order))
-        out[self.order] = np.bincount(self.doc, np.log10(scale.astype(np.float64)), minlength=len(self.order))
+        out[self.order] = np.bincount(self.doc, np.log10(scale), minlength=len(self.order))
         return out
 
     def expect(self, m: HMM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, moves and emissions."""
-        scale, alpha = self.forward(m, keep=True)
+        scale, b, alpha = self.forward(m, np.float32, keep=True)
         k = len(m.start)
-        move = m.move.astype(np.float32)
+        back = np.ascontiguousarray(m.move.T.astype(np.float32))
+        b /= scale[:, None]
+        beta = np.ones_like(b)
+        step = np.empty((int(self.alive[1]) if len(self.alive) > 1 else 0, k), np.float32)
+        off = self.off.tolist()
+        for t in range(len(off) - 3, -1, -1):
+            s, e, f = off[t], off[t + 1], off[t + 2]
+            later = step[: f - e]
+            np.multiply(b[e:f], beta[e:f], out=later)
+            np.matmul(later, back, out=beta[s : s + f - e])
         moves = np.zeros((k, k))
-        later = np.zeros((0, k), np.float32)  # what stands after step t, by sequence
-        emit = m.emit.astype(np.float32)
-        for t in range(len(self.alive) - 1, -1, -1):
-            s, e = self.off[t], self.off[t + 1]
-            a = alpha[s:e]
-            if len(later):
-                moves += a[: len(later)].T @ later
-                beta = np.ones((e - s, k), np.float32)
-                beta[: len(later)] = later @ move.T
-            else:
-                beta = np.ones((e - s, k), np.float32)
-            later = emit[self.symbols[s:e]] * beta / scale[s:e, None]
-            a *= beta  # alpha now holds the states' probabilities
-        starts = alpha[: self.off[1]].sum(0) if len(self.alive) else np.zeros(k)
+        first = off[1] if len(off) > 1 else 0
+        b *= beta
+        before = np.repeat(self.off[:-1][:-1], self.alive[1:]) + self.doc[first:]  # the place one step earlier
+        for i in range(0, len(before), 100_000):
+            moves += alpha[before[i : i + 100_000]].T @ b[first + i : first + i + 100_000][: len(before) - i]
+        alpha *= beta  # now the states' probabilities
+        starts = alpha[:first].sum(0, dtype=np.float64) if first else np.zeros(k)
         emits = np.stack([np.bincount(self.symbols, alpha[:, i], minlength=len(m.emit)) for i in range(k)], 1)
         return starts, moves * m.move, emits
 
 
 def improved(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: np.ndarray) -> HMM:
-    """The maximisation step; prior: a little of the symbols' overall shares, so that nothing becomes impossible."""
-    starts, moves, emits = starts + 0.1, moves + 0.1, emits + 2 * prior[:, None] + 1e-6
+    """The maximisation step. prior: the symbols' overall shares, of which each state gets a tenth of a count per symbol, so that
+    nothing becomes impossible and small corpora do not overfit."""
+    starts, moves, emits = starts + 0.1, moves + 0.1, emits + 0.1 * len(prior) * prior[:, None] + 1e-6
     return HMM(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
 
 
@@ -147,22 +159,26 @@ def _word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the batches, with their symbol sequences, of about BATCH_TOKENS symbols."""
+    """Rows of each batch, longest first, with their symbol sequences, in parts of about BATCH_TOKENS symbols."""
     for batch in batches:
         seqs = [np.frombuffer(x, np.uint16) for x in batch.column(batch.schema.names.index(column)).to_pylist()]
+        order = np.argsort([-len(s) for s in seqs], kind="stable").tolist()
         at = total = 0
-        for i, s in enumerate(seqs):
-            if i > at and total + len(s) > BATCH_TOKENS:
-                yield batch.slice(at, i - at), seqs[at:i]
+        for i, o in enumerate(order):
+            if i > at and total + len(seqs[o]) > BATCH_TOKENS:
+                yield batch.take(pa.array(order[at:i])), [seqs[j] for j in order[at:i]]
                 at, total = i, 0
-            total += len(s)
-        if seqs:
-            yield batch.slice(at), seqs[at:]
+            total += len(seqs[o])
+        if order:
+            yield batch.take(pa.array(order[at:])), [seqs[j] for j in order[at:]]
 
 
 def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", top_words: int = 40_000,
-               rare_classes: int = 1024, iterations: int = 14) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where held_out is not true."""
+               rare_classes: int = 1024, slices: int = 8, passes: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where held_out is not true.
+    Symbols are 16-bit numbers, so top_words + rare_classes must stay under 65,536."""
+    if top_words + rare_classes >= 1 << 16:
+        raise ValueError(f"{top_words} top words and {rare_classes} rare classes do not fit 16-bit symbols")
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -235,17 +251,11 @@ def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     coded = rows.mapInArrow(encode, f"doc_id {kind}, held_out boolean, ids binary, top_sum double, n_words long, n_top long, rare array<struct<word:binary,k:int,n:int>>")
-    coded, _ = written(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
+    coded = coded.withColumns({"row": F.monotonically_increasing_id(), "slice": F.pmod(F.xxhash64("doc_id", F.lit("hmm")), F.lit(slices)).cast("int")})
+    coded, _ = written(coded.sortWithinPartitions("slice"), "coded", {"parquet.block.size": GROUP_BYTES})
 
     unigram = np.concatenate([top_c, class_n, [float(docs_n)]]) + 0.01
-    model = first_guess(unigram)
-    learn = coded.where(~F.col("held_out"))
-    if docs_n:
-        prior = unigram / unigram.sum()
-        for _ in range(iterations):
-            sent_model = send(model)
-            model = improved(*_expected(learn, sent_model, STATES, len(unigram)), prior)
-            sent_model.destroy()
+    model = trained(coded.where(~F.col("held_out")).select("slice", "ids"), unigram, slices, passes) if docs_n else first_guess(unigram)
     fitted = send(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +275,24 @@ def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
         F.lit(int(n_all)).cast("long").alias("train_tokens"), (F.col("top_sum") + zero("rare_base") + float(np.log10((docs_n + 1) / over))).alias("base_score"), (F.col("hmm") + zero("rare_in")).alias("score"))
 
 
+def trained(coded: DataFrame, unigram: np.ndarray, slices: int, passes: int, states: int = STATES) -> HMM:
+    """coded: slice, ids of the training rows. unigram: counts of the symbols over all of them."""
+    prior, model, counts = unigram / unigram.sum(), first_guess(unigram, states), None
+    for k in range(slices * passes + 1):
+        last = k == slices * passes
+        sent = coded.sparkSession.sparkContext.broadcast(model)
+        got = _expected(coded if last else coded.where(F.col("slice") == k % slices), sent, states, len(unigram))
+        sent.destroy()
+        seen = got[2].sum()
+        if not seen:
+            continue  # an empty slice
+        got = [x * (unigram.sum() / seen) for x in got]  # as if all rows were like the slice
+        rate = 1.0 if last else (k + 2) ** -0.7
+        counts = got if counts is None else [(1 - rate) * a + rate * b for a, b in zip(counts, got)]
+        model = improved(*counts, prior)
+    return model
+
+
 def _expected(coded: DataFrame, sent, states: int, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over all rows: each task's are summed by symbol in a shuffle; a row per symbol comes back. Starts and moves
     travel as the symbols -1 and -2, -3, ..."""
