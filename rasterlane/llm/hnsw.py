@@ -3,10 +3,11 @@
 Equal vectors are one class first, with their number. Classes are dealt by hash to shards of bounded size; a task builds the
 shard's graph in numpy, inserting small batches: a batch searches the layers that stand, is compared with itself, and links
 to diverse near nodes, which link back. Every class queries every shard, in blocks: the queries of a block descend the layers in
-lock step. The beam starts narrow; a query with links in more than a quarter of its beam gets a wider one, and so does the whole
-block while an audit of some of its queries against all of the shard finds a link missing. A beam as wide as the shard is the
-shard: it is scored as one matrix product. Candidates are confirmed by cosine in double precision. A task passes on, for each
-query, the number of vectors that it links to, and of the links only a spanning forest, from which components are found.
+lock step. The beam starts narrow, at every size of shard; a query whose links fill more than half of its beam gets one of twice the width, and so
+does the whole block while an audit of some of its queries against all of the shard finds a link missing. Beams double until both
+are content; one that has become as wide as the shard holds all of it, and is scored as one matrix product. Candidates are confirmed
+by cosine in double precision. A task passes on, for each query, the number of vectors that it links to, and of the links only a
+spanning forest, from which components are found.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite number links with nothing and stays; so does a null
 id, whose component is null; vectors of different lengths do not link; repeated rows count as vectors of their own, equal
@@ -111,15 +112,16 @@ class Graph:
             near, sim = self._walk(q, near, sim, self.layers[layer], beam if layer == down_to else 4)
         return near, sim
 
-    def _walk(self, q, near, sim, lists, beam, at_once: int = 4):
-        n = len(q)
+    def _walk(self, q, near, sim, lists, beam):
+        n, at_once = len(q), max(4, beam // 16)  # nodes of a beam that are opened together
         pad = beam - near.shape[1]
         if pad > 0:
             near = np.pad(near, ((0, 0), (0, pad)), constant_values=-1)
             sim = np.pad(sim, ((0, 0), (0, pad)), constant_values=-3)
         near, sim = near[:, :beam].copy(), sim[:, :beam].copy()
         seen = np.zeros((n, len(self.x)), bool)
-        seen[np.arange(n)[:, None], np.maximum(near, 0)] |= near >= 0
+        r, c = np.nonzero(near >= 0)
+        seen[r, near[r, c]] = True
         open_ = near >= 0
         live = np.arange(n)
         while len(live):
@@ -130,7 +132,8 @@ class Graph:
             next_ = np.where(valid[:, :, None], lists[go], -1).reshape(len(live), -1)
             at = np.maximum(next_, 0)
             fresh = (next_ >= 0) & ~seen[live[:, None], at]
-            seen[live[:, None], at] |= fresh
+            r, c = np.nonzero(fresh)
+            seen[live[r], at[r, c]] = True
             s = np.where(fresh, np.einsum("qck,qk->qc", self.x[at], q[live]), -3).astype(np.float32)
             # a node can stand in two of the lists at once: only its first place counts
             order = np.argsort(np.where(fresh, next_, -1), axis=1, kind="stable")
@@ -148,42 +151,57 @@ class Graph:
         return near, sim
 
 
-def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, cut: float, beams=(32, 128), audited: int = 128, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with cosine >= cut in double precision. exact, q: unit rows. Beams widen as the module says."""
+def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, cut: float, beam: int = 32, audited: int = 64, seed: int = 1) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Pairs (query, node) with cosine >= cut in double precision, and what the search did. exact, q: unit rows. Beams widen as the
+    module says. Of the queries of every block, `audited` are held against the whole shard at each width: those that come
+    closest to a node, where links are likeliest, and as many by chance."""
     n, rng = len(exact), np.random.default_rng(seed)
     out: list[tuple[np.ndarray, np.ndarray]] = []
+    did = {"searched": 0, "whole": 0, "audited_links": 0, "audit_found": 0, "widest": 0}
     slack = cut - 1e-4  # of cosines in single precision
 
-    def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.nonzero(q[rows] @ exact.T >= cut)
-        return rows[a], b
+    def search(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        few = max(8, BLOCK * 32 // width)  # wide beams go in smaller groups, so that a group's memory stays as it is
+        parts = [graph.search(q[rows[i : i + few]], width) for i in range(0, len(rows), few)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     for s in range(0, len(q), BLOCK):
-        todo = np.arange(s, min(len(q), s + BLOCK))
-        for beam in beams:
-            if not len(todo) or 4 * beam >= n:
+        todo, width = np.arange(s, min(len(q), s + BLOCK)), beam
+        while len(todo):
+            if width >= n:  # the beam holds the shard
+                a, b = np.nonzero(q[todo] @ exact.T >= cut)
+                out.append((todo[a], b))
+                did["whole"] += len(todo)
                 break
-            near, sim = graph.search(q[todo], beam)
+            near, sim = search(todo, width)
+            did["searched"] += len(todo)
+            did["widest"] = max(did["widest"], width)
             hit = (near >= 0) & (sim >= slack)
             a, b = np.nonzero(hit)
             b = near[a, b]
             ok = np.einsum("ij,ij->i", q[todo[a]], exact[b]) >= cut
             a, b = a[ok], b[ok]
-            full = hit.sum(1) > beam // 4  # in a dense place more may lie beyond what the beam has come to
+            full = hit.sum(1) > width // 2  # in a dense place more may lie beyond what the beam has come to
             rest = np.flatnonzero(~full)
-            close = rest[np.argsort(-sim[rest, 0], kind="stable")[: audited // 2]]  # where links are likeliest
+            close = rest[np.argsort(-sim[rest, 0], kind="stable")[: audited // 2]]
             some = np.union1d(close, rng.choice(rest, min(audited // 2, len(rest)), replace=False)) if len(rest) else rest
             want = (q[todo[some]] @ exact.T >= cut).sum(1)
-            if (np.bincount(a, minlength=len(todo))[some] < want).any():
+            got = np.bincount(a, minlength=len(todo))[some]
+            did["audited_links"] += int(want.sum())
+            did["audit_found"] += int(got.sum())
+            width *= 2
+            if (got < want).any():
                 continue  # the audit failed: all of the block once more, with a wider beam
             done = ~full[a]
             out.append((todo[a[done]], b[done]))
             todo = todo[full]
-        if len(todo):
-            out.append(whole(todo))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *[a for a, _ in out]]), np.concatenate([none, *[b for _, b in out]]), did
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length, a row each."""
+    return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).reshape(len(column), -1)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +222,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[more], ids[low[more]]
 
 
-def near_duplicates(vectors: DataFrame, cut: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", least_shards: int = 6, shard_rows: int = 20_000, block_rows: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cut: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", least_shards: int = 6, shard_rows: int = 50_000, block_rows: int = 16_384) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
@@ -214,7 +232,7 @@ def near_duplicates(vectors: DataFrame, cut: float = 0.95, id_col: str = "vec_id
     members = classes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
 
     def build(t: pa.Table) -> pa.Table:
-        x = np.array(t.column("v").to_pylist())
+        x = _matrix(t.column("v"))
         g = Graph(unit(x))
         blob = lambda y: pa.array([y.tobytes()], pa.binary())
         return pa.table({"dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "node": blob(t.column("node").to_numpy()), "times": blob(t.column("times").to_numpy()), "x": blob(x), "layers": pa.array([[y.tobytes() for y in g.layers]], pa.list_(pa.binary()))})
@@ -234,7 +252,7 @@ def near_duplicates(vectors: DataFrame, cut: float = 0.95, id_col: str = "vec_id
         g = Graph.__new__(Graph)
         g.x, g.layers = exact.astype(np.float32), [np.frombuffer(y, np.int32).reshape(len(node), -1) for y in shard.column("layers")[0].as_py()]
         mine = part.column("node").to_numpy()
-        a, b = linked(g, exact, unit(np.array(part.column("v").to_pylist())), cut)
+        a, b, _ = linked(g, exact, unit(_matrix(part.column("v"))), cut)
         other = mine[a] != node[b]
         a, b = a[other], b[other]
         links = np.bincount(a, times[b], minlength=len(mine)).astype(np.int64)
