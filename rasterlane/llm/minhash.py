@@ -8,7 +8,8 @@ No bucket is paired with itself as a whole. Equal sets are one node first. Then
 bucket's pivot alone, in the first bands and then, where the two are still apart, in all; components are found after each.
 Nodes that still share a bucket with another component are gathered around the bucket's largest one and finished pair by pair
 across components: small clusters directly, large ones in blocks of bounded size, where only pairs whose set sizes rule a link out
-are left uncounted. So banding alone can miss a link, at the threshold itself with a probability of `miss` at most.
+are left uncounted. So banding alone can miss a link, at the threshold itself with a probability of `miss` at most. Pairs of large
+clusters are counted on 64-bit hashes of the shingles, all others on the words.
 
 Defined cases: null, empty and wordless texts have no shingles, link with nothing and stay; a null id links with nothing, its
 component is null and it stays; rows repeated in full are one node; rows that share an id but not a text are nodes of their own,
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rasterlane.operators.graph import components
 
-from .common import blocks, table, utf8_list, written
+from .common import blocks, drop_path, table, utf8_list, written
 
 UNIVERSE = 1 << 20
 FIRST_BANDS = 5
@@ -161,9 +162,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     dealt = full.select(F.col("id").alias("node"), F.posexplode("keys").alias("band", "key")).withColumn("place", order)
     shared = dealt.groupBy("band", "key").agg(F.min("place").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     shared = shared.withColumn("pivot", F.when(F.col("band") % 2 == 0, F.col("pivot")).otherwise(F.bitwise_not("pivot")))
-    dealt, _ = written(dealt.join(shared, ["band", "key"]).select("band", "key", "node", "pivot", "size"), "dealt")
+    dealt, dealt_at = written(dealt.join(shared, ["band", "key"]).select("band", "key", "node", "pivot", "size"), "dealt")
     involved = dealt.select("node").distinct()
-    texts, _ = written(rows.join(involved.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    texts, texts_at = written(rows.join(involved.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return confirmed(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), texts, k, num, den)
@@ -181,11 +182,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     parts = told.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     left = told.join(mixed, ["band", "key"]).select(F.col("top.label").alias("cluster"), "label", "node").distinct()
-    left, _ = written(left, "left")
-    sizes = left.groupBy("cluster").agg(F.count("*").alias("size"))
+    left, left_at = written(left, "left")
+    # a table of its own, so that both sides of the join are plain exchanges: Spark can then split a large cluster's partition
+    sizes, sized_at = written(left.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
     left = left.join(sizes, "cluster")
     found = confirm(_small_clusters(left).distinct()).unionByName(_large_clusters(left, texts, k, num, den, bands, per))
     labels = components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    for path in (dealt_at, texts_at, left_at, sized_at):  # components() has written what it was given
+        drop_path(docs.sparkSession, path)
     groups = labelled(nodes, labels, "node", "component_id").select("set_key", "component_id")
     out = signed.select("id", "n_shingles", "set_key").join(groups, "set_key", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
