@@ -136,16 +136,19 @@ def windows_of(text: bytes, most: int, rng: np.random.Generator) -> list[bytes]:
 
 
 def train(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-          docs_per_lang: int = 300, windows_per_doc: int = 8, epochs: int = 8) -> ByteCNN | None:
-    """Fits on the bounded sample. The sample's share of each language is set by the language's count, over all rows."""
-    rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1_000_003)).alias("h"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+          docs_per_lang: int = 300, windows_per_doc: int = 8, epochs: int = 8, most_langs: int = 500) -> ByteCNN | None:
+    """Fits on the bounded sample. The sample's share of each language is set by the language's count, over all rows; rows that
+    share an id and a language count once in it. More than most_langs languages are an error."""
+    spread = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("langid")), 11)  # 53 bits
+    rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), spread.alias("h"))
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(most_langs + 1).collect()}
     if not counts:
         return None
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     langs = sorted(counts)
-    near = F.lit(False)
-    for lang, n in counts.items():
-        near = near | ((F.col("lang") == lang) & (F.col("h") < min(1.0, 1.3 * docs_per_lang / n) * 1_000_003))
+    shares = docs.sparkSession.createDataFrame([(x, 2.0**53 * min(1.0, 1.3 * docs_per_lang / n)) for x, n in counts.items()], "lang string, below double")  # most_langs rows
+    near = rows.where(F.col("text") != "").join(F.broadcast(shares), "lang").where(F.col("h") < F.col("below")).select("lang", "text", "h")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in blocks(whole, "text", MOST_BYTES)):
@@ -153,9 +156,9 @@ def train(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.binary()))], ["lang", "h", "windows"])
 
     # tasks pick the windows: of a text of any length, windows_per_doc come to the driver at most
-    picked = rows.where(near & (F.col("text") != "")).mapInArrow(cut, "lang string, h long, windows array<binary>")
+    picked = near.mapInArrow(cut, "lang string, h long, windows array<binary>").groupBy("lang", "h").agg(F.min("windows").alias("windows"))
     x, y, seen = [], [], dict.fromkeys(langs, 0)
-    for r in picked.orderBy("h", "windows").limit(2 * docs_per_lang * len(langs)).collect():
+    for r in picked.orderBy("h", "lang").collect():
         if seen[r.lang] < docs_per_lang:
             seen[r.lang] += 1
             x += r.windows

@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(statistics(utf8_list(batch.column(1)))), pa.list_(pa.float32()))], ["_q_id", "y", "x"])
 
     kind = rows.schema["_q_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"_q_id {kind}, y int, x array<float>").orderBy("_q_id").limit(2 * most_rows).toPandas()
+    # rows that share an id count once, so most_rows come back at most
+    got = rows.mapInArrow(run, f"_q_id {kind}, y int, x array<float>").groupBy("_q_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("_q_id").toPandas()
     x = np.array(got["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     return BoostedTrees().fit(x, got["y"].to_numpy(np.float64))
 
