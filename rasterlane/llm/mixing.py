@@ -8,7 +8,9 @@ up inside their bucket only, so a source with a third of all rows is spread over
 
 Defined cases: null source is a source of its own (last in order); null or empty text has size 0 and takes 0; rows
 repeated in full are tied, each is counted, and the cut between them falls on any of them with the same totals; an
-empty table gives no rows; other columns pass through `keep` untouched, names starting with `_mx_` are reserved.
+empty table gives no rows; other columns pass through `keep` untouched, and a kept column that is named like a result wins: that
+result is left out (`prefix` gives results other names); rows without an id are spread by their text; names starting with `_mx_`
+are reserved.
 """
 
 from __future__ import annotations
@@ -46,15 +48,15 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) ->
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: str = "mix", keep: list[str] | None = None,
-                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Adds to the columns `keep` (id_col if not given): size, source_size long; target double; epochs long (whole
-    passes) and taken long (tokens the mix takes, repeats counted) of every row."""
+                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefix: str = "") -> DataFrame:
+    """Adds to the columns `keep` (id_col if not given), each name after `prefix`: size, source_size long; target double; epochs
+    long (whole passes) and taken long (tokens the mix takes, repeats counted) of every row."""
     keep = [id_col] if keep is None else keep
     rows = docs.select(
         *[F.col(c).alias(f"_mx_keep{i}") for i, c in enumerate(keep)],
         F.col(id_col).alias("_mx_id"), F.col(source_col).cast("string").alias("_mx_source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_mx_size"),
-        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"#{seed}")).cast("binary")).alias("_mx_key"),
+        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.lit("")), F.lit(f"#{seed}")).cast("binary")).alias("_mx_key"),
     ).withColumn("_mx_bucket", F.substring("_mx_key", 1, DIGITS))
     # a null source joins as the empty name with a mark
     named = [F.col("_mx_source").isNull().alias("_mx_none"), F.coalesce("_mx_source", F.lit("")).alias("_mx_name")]
@@ -72,11 +74,12 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: s
     full = F.when(F.col("_mx_total") > 0, F.expr("_mx_budget div _mx_total")).otherwise(0)
     rest = F.when(F.col("_mx_total") > 0, F.col("_mx_budget") % F.col("_mx_total")).otherwise(0)
     cut = F.greatest(F.lit(0), F.least(F.col("_mx_size"), rest - F.col("_mx_before")))
-    return rows.select(
-        *[F.col(f"_mx_keep{i}").alias(c) for i, c in enumerate(keep)],
-        F.col("_mx_size").alias("size"), F.col("_mx_total").alias("source_size"), F.col("_mx_target").alias("target"),
-        full.cast("long").alias("epochs"), (full * F.col("_mx_size") + cut).cast("long").alias("taken"),
-    )
+    results = {
+        "size": F.col("_mx_size"), "source_size": F.col("_mx_total"), "target": F.col("_mx_target"),
+        "epochs": full.cast("long"), "taken": (full * F.col("_mx_size") + cut).cast("long"),
+    }
+    taken_names = {c.lower() for c in keep}
+    return rows.select(*[F.col(f"_mx_keep{i}").alias(c) for i, c in enumerate(keep)], *[c.alias(prefix + x) for x, c in results.items() if (prefix + x).lower() not in taken_names])
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +88,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#mix') AS k FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '') || '#mix') AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rk FROM s),
 w AS (SELECT *, CASE (rk - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS wt, total * 3 AS cap FROM n),
