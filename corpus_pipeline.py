@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlane.llm import decontam, langid, minhash, mixing, quality
-from rasterlane.llm.common import table, written
+from rasterlane.llm.common import drop_path, table, written
 
 LEAST_LANGUAGE_SCORE = 0.5
 LEAST_QUALITY_SCORE = 0.3
+RESULT = "_mx_result_"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs, keep=docs.columns).where(F.col("taken") > 0)
+    # results whose names a column of the documents has already are left out
+    took = mixing.mix_sources(docs, keep=docs.columns, prefix=RESULT).where(F.col(f"{RESULT}taken") > 0)
+    had = {c.lower() for c in docs.columns}
+    return took.select(*docs.columns, *[F.col(c).alias(c.removeprefix(RESULT)) for c in took.columns if c.startswith(RESULT) and c.removeprefix(RESULT) not in had])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -64,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
