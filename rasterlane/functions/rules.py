@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the rules.
@@ -44,6 +44,22 @@ def search_radius(gsd: Column) -> Column:
     return F.bround(F.least(F.lit(MAX_SHIFT_M) / gsd, F.lit(float(MAX_SEARCH_PX)))).cast("int")
 
 
+def gsd_error(gsd: Column) -> Column:
+    """What is wrong with a ground resolution given by hand; null where it is absent or in range."""
+    return F.when(gsd.isNotNull() & ~gsd.between(0.01, 100), "gsd")
+
+
+def mode_error(mode: Column) -> Column:
+    return F.when(~F.coalesce(mode, F.lit("fast")).isin("fast", "deep"), "analysis_mode")
+
+
+def with_defaults(requests: DataFrame, live: bool) -> DataFrame:
+    """Requests with what they leave out. The defaults of live and of uploaded pairs."""
+    values = {"lat": 41.1070, "lon": 28.79, "year_t1": "2014", "year_t2": "2026", "threshold": 0.45, "min_area_m2": 40.0 if live else 30.0, "gsd": 0.5, "engine": "classic"}
+    have = dict(requests.dtypes)
+    return requests.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in have else F.lit(v) for c, v in values.items()})
+
+
 def type_rank(type_: Column) -> Column:
     out = F.lit(None).cast("int")
     for name, k in TYPE_ORDER.items():

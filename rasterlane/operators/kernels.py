@@ -212,3 +212,12 @@ def jet(v: np.ndarray) -> np.ndarray:
     """Blue, cyan, yellow, red of values 0 to 1."""
     ramp = lambda c: np.clip(1.5 - np.abs(4 * v - c), 0, 1)
     return np.rint(255 * np.stack([ramp(3), ramp(2), ramp(1)], -1)).astype(np.uint8)
+
+
+#: Means and deviations of the bands that segmentation models expect.
+BAND_MEAN, BAND_STD = np.array([0.485, 0.456, 0.406]), np.array([0.229, 0.224, 0.225])
+
+
+def normalised(rgb: np.ndarray) -> np.ndarray:
+    """Bands of 0 to 255 as a model's input."""
+    return ((rgb / 255 - BAND_MEAN) / BAND_STD).astype(np.float32)

@@ -29,6 +29,13 @@ def best_shifts(objects: DataFrame, before: DataFrame, radius: int) -> DataFrame
     return q.groupBy("scene", "label").agg(best.alias("b")).select("scene", "label", "b.*")
 
 
+def inside(objects: DataFrame, radius: int) -> DataFrame:
+    """The objects that stay in the image when they move by the radius."""
+    box = objects.groupBy("scene", "label").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("h").alias("h"), F.first("w").alias("w"))
+    good = box.where((F.col("r0") >= radius) & (F.col("c0") >= radius) & (F.col("r1") + radius < F.col("h")) & (F.col("c1") + radius < F.col("w")))
+    return objects.join(good.select("scene", "label"), ["scene", "label"], "left_semi")
+
+
 def sampled(objects: DataFrame, most: int) -> DataFrame:
     """The objects of each scene if they are `most` at most, else as many by a hash order of their labels."""
     from pyspark.sql import Window

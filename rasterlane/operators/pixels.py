@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import morph
+
 KEY = ["scene", "epoch"]
+WIDE = 64  # offsets over which a dilation runs on blocks
 
 
 def rectangle(k: int) -> list[tuple[int, int]]:
@@ -53,9 +58,33 @@ def _moved(cells: DataFrame, kernel: list[tuple[int, int]], sign: int) -> DataFr
 
 def dilate(cells: DataFrame, kernel: list[tuple[int, int]], keep: list[str] = []) -> DataFrame:
     """Union of the kernel over all cells; kernels are symmetric. keep: further columns that tell masks apart (labels)."""
+    if len(kernel) > WIDE:
+        return dilate_blocks(cells, kernel, keep)
     return _moved(cells, kernel, 1).select(*KEY, *keep, "r", "c", "h", "w").distinct()
 
 
+def dilate_blocks(cells: DataFrame, kernel: list[tuple[int, int]], keep: list[str] = [], block: int = 256) -> DataFrame:
+    """The same for wide kernels: cells are sent to the blocks that the kernel reaches from them, four at most where it is smaller than
+    a block, and a task grows a block as an array."""
+    reach = max(max(abs(i), abs(j)) for i, j in kernel)
+    to = lambda v, n: F.explode(F.sequence((F.greatest(F.lit(0), F.col(v) - reach) / block).cast("int"), (F.least(F.col(n) - 1, F.col(v) + reach) / block).cast("int")))
+    sent = cells.select(*KEY, *keep, "r", "c", "h", "w", to("r", "h").alias("by")).withColumn("bx", to("c", "w"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        one = frame.iloc[0]
+        y0, x0 = one["by"] * block - reach, one["bx"] * block - reach
+        on = np.zeros((block + 2 * reach, block + 2 * reach), bool)
+        on[frame["r"] - y0, frame["c"] - x0] = True
+        r, c = np.nonzero(morph(on, kernel, True)[reach : reach + block, reach : reach + block])
+        r, c = r + y0 + reach, c + x0 + reach
+        inside = (r < one["h"]) & (c < one["w"])
+        out = {k: [one[k]] * int(inside.sum()) for k in (*KEY, *keep, "h", "w")} | {"r": r[inside].astype(np.int32), "c": c[inside].astype(np.int32)}
+        return pd.DataFrame(out, columns=names)
+
+    names = [*KEY, *keep, "r", "c", "h", "w"]
+    return sent.groupBy(*KEY, *keep, "by", "bx").applyInPandas(run, cells.select(*names).schema)
+
+
 def erode(cells: DataFrame, kernel: list[tuple[int, int]], keep: list[str] = []) -> DataFrame:
     """Cells whose kernel lies in the mask, as far as it is inside the image."""
     inside = lambda at, size, d: (at + d >= 0) & (at + d < size)

@@ -52,6 +52,14 @@ def with_ends(states: DataFrame, key: list[str], first: str, last: str) -> DataF
     return end(0, first, False).unionByName(states.select(*key, F.lit(1).alias("g"), F.col("seq").cast("int").alias("seq"), "date", "state")).unionByName(end(2, last, True))
 
 
+def bars(summary: DataFrame) -> DataFrame:
+    """summary's rows with total, whether they are the uncertain ones, and the total's share of the largest. The window sees a row
+    per interval of dates."""
+    total = sum(F.col(t) for t in rules.CHANGE_TYPES)
+    told = summary.withColumn("total", total).where("total > 0")
+    return told.select("from", "to", "total", F.col("from").isNull().alias("uncertain"), (F.col("total") / F.max("total").over(Window.partitionBy())).alias("share"))
+
+
 def period_summary(periods: DataFrame, dates: DataFrame) -> DataFrame:
     """from, to, new, demolished, rebuilt of each interval between neighbouring dates that has changes; a last row with null from
     and to counts those whose period spans several. periods: type, from, to; dates: date."""

@@ -39,6 +39,17 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select(F.expr("vec_id div 2").alias("scene"), (v % 2).cast("int").alias("epoch"), side(0).alias("y0"), side(0).alias("x0"), side(8).alias("bw"), side(8).alias("h"), side(8).alias("w"), F.col("embedding").alias("p"))
 
 
+def tall_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen vectors one over the other as a date of a scene of 128 x 8 cells, in blocks of 8 x 8: the borders of blocks matter."""
+    v = F.col("vec_id")
+    side = lambda n: F.lit(n).cast("int")
+    return table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select(F.expr("vec_id div 32").alias("scene"), F.expr("vec_id div 16 % 2").cast("int").alias("epoch"), (v % 16 * 8).cast("int").alias("y0"), side(0).alias("x0"), side(8).alias("bw"), side(128).alias("h"), side(8).alias("w"), F.col("embedding").alias("p"))
+
+
+TALL_CELLS = """(SELECT vec_id // 32 AS scene, CAST(vec_id // 16 % 2 AS INTEGER) AS epoch, CAST(vec_id % 16 * 8 + (i - 1) // 8 AS INTEGER) AS r, CAST((i - 1) % 8 AS INTEGER) AS c, p FROM
+ (SELECT vec_id, unnest(embedding) AS p, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE len(embedding) = 64))"""
+
+
 CELLS = """(SELECT scene, epoch, CAST((i - 1) // 8 AS INTEGER) AS r, CAST((i - 1) % 8 AS INTEGER) AS c, p FROM
  (SELECT vec_id // 2 AS scene, CAST(vec_id % 2 AS INTEGER) AS epoch, unnest(embedding) AS p, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE len(embedding) = 64))"""
 

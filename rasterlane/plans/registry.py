@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rasterlane.plans import object_queries, point_queries, scene_queries, store_queries
+from rasterlane.plans import imagery_queries, object_queries, point_queries, scene_queries, store_queries
 
-_ALL = object_queries.QUERIES | point_queries.QUERIES | scene_queries.QUERIES | store_queries.QUERIES
+_ALL = object_queries.QUERIES | point_queries.QUERIES | scene_queries.QUERIES | store_queries.QUERIES | imagery_queries.QUERIES
 
 
 def queries() -> dict:

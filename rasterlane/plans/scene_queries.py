@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rasterlane.functions import rules
 from rasterlane.operators import objects as ob
 from rasterlane.operators import parallax, pixels, timeline
-from rasterlane.plans.bindings import CELLS, blocks
+from rasterlane.plans.bindings import CELLS, TALL_CELLS, blocks, tall_blocks
 
 C = F.col
 OBJECT, SUPPORT, MIN_PX = 0.10, 0.05, 2
@@ -45,6 +45,18 @@ def components(spark, d):
     return lab.select("scene", "epoch", "r", "c", _row(C("label")).alias("label"))
 
 
+def tall_components(spark, d):
+    """Components of scenes of sixteen blocks, which run over the blocks' borders."""
+    lab = ob.label(pixels.mask(pixels.pixels(tall_blocks(spark, d)), 0.15), 8)
+    return lab.select("scene", "epoch", "r", "c", _row(C("label")).alias("label"))
+
+
+def wide_dilation(spark, d):
+    """A kernel of 13 x 13 over the same scenes, grown in blocks of 16 x 16."""
+    grown = pixels.dilate_blocks(pixels.mask(pixels.pixels(tall_blocks(spark, d)), 0.3), pixels.ellipse(13), block=16)
+    return grown.groupBy("scene", "epoch").agg(F.count("*").alias("cells"), F.sum((C("r") * 8 + C("c")).cast("long")).alias("places"))
+
+
 def component_stats(spark, d):
     lab = ob.large_objects(ob.label(pixels.mask(_cells(spark, d), 0.15)), 3)
     return ob.object_stats(lab).select("scene", "epoch", _row(C("label")).alias("label"), "area_px", *[C(x).cast("long").alias(x) for x in ("x", "y", "width", "height")])
@@ -169,7 +181,12 @@ _CLASSES = f"""{_O}, {_MATCH}, s2 AS ({_LATER}), s1 AS ({_EARLIER}),
 _IOU = "CASE WHEN {u} = 0 THEN 1.0 ELSE {i} / {u} END"
 _F = "least(1.0, CASE WHEN {a} < 4 THEN 0.05::DOUBLE + {a} * (0.95::DOUBLE / 3) ELSE 1.0 END, CASE WHEN {a} >= 4 THEN 0.05::DOUBLE + (7 - {a}) * (0.95::DOUBLE / 3) ELSE 1.0 END)"
 
+_KERNEL = ", ".join(str(x) for x in pixels.ellipse(13))
+
 QUERIES = {
+    "tall_components": (tall_components, f"WITH RECURSIVE {_labels('o', 'p >= 0.15').replace(CELLS, TALL_CELLS)} SELECT scene, epoch, r, c, label FROM o"),
+    "wide_dilation": (wide_dilation, f"""WITH x AS (SELECT DISTINCT scene, epoch, r + dy AS r, c + dx AS c FROM (SELECT * FROM {TALL_CELLS} WHERE p >= 0.3), (VALUES {_KERNEL}) k(dy, dx))
+        SELECT scene, epoch, count(*) AS cells, CAST(sum(r * 8 + c) AS BIGINT) AS places FROM x WHERE r BETWEEN 0 AND 127 AND c BETWEEN 0 AND 7 GROUP BY scene, epoch"""),
     "scene_pixels": (scene_pixels, f"SELECT scene, epoch, count(*) AS cells, CAST(sum(r * 8 + c) AS BIGINT) AS places FROM {CELLS} WHERE p >= 0.15 GROUP BY scene, epoch"),
     "scene_support": (scene_support, f"SELECT scene, epoch, r, c FROM {CELLS} WHERE p > 0.25"),
     "dilate_mask": (dilate_mask, f"""WITH x AS (SELECT DISTINCT scene, epoch, CAST(r + i AS INTEGER) AS r, CAST(c + j AS INTEGER) AS c FROM (SELECT * FROM {CELLS} WHERE p >= 0.2), range(-1, 2) a(i), range(-1, 2) b(j))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlane.plans.bindings import table
-from rasterlane.sources import georef, projects
+from rasterlane.sources import catalogs, georef, projects
 
 C = F.col
 
@@ -27,8 +30,15 @@ def project_list(spark, d):
 
 
 def project_scope(spark, d):
-    p = table(spark, d, "part").select(C("p_partkey").cast("string").alias("id"), C("p_name").alias("name"), C("p_brand").alias("location_name"))
-    return projects.in_scope(p, ("konut", "steel", "#1"))
+    """Parts as projects at the places of the catalog, in each scope of the listing that they belong to."""
+    titles = F.array(*[F.lit(x[1]) for x in catalogs.HOTSPOTS])
+    p = table(spark, d, "part").select(C("p_partkey").cast("string").alias("id"), C("p_name").alias("name"), F.element_at(titles, (C("p_partkey") % len(catalogs.HOTSPOTS) + 1).cast("int")).alias("location_name"))
+    return reduce(DataFrame.unionByName, [projects.in_scope(p, words).withColumn("scope", F.lit(scope)) for scope, words in projects.SCOPES.items()])
+
+
+def project_recents(spark, d):
+    """The newest three."""
+    return projects.recent(_projects(spark, d), 3).select("id", "updated_at")
 
 
 def _store(spark, d):
@@ -70,10 +80,14 @@ def world_files(spark, d):
     return w.select("s_suppkey", "t.a", "t.b", "t.c", "t.d", "t.e", "t.f")
 
 
+_TITLES = ", ".join(f"'{x[1]}'" for x in catalogs.HOTSPOTS)
+
 QUERIES = {
     "project_search": (project_search, "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_type AS description FROM part WHERE contains(lower(p_name), 'st') OR contains(lower(p_type), 'st')"),
     "project_list": (project_list, "WITH p AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS u FROM orders) SELECT id, row_number() OVER (ORDER BY u DESC, id) AS place, row_number() OVER (ORDER BY u DESC, id) <= 5 AS recent FROM p"),
-    "project_scope": (project_scope, "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_brand AS location_name FROM part WHERE regexp_matches(lower(p_name || ' ' || p_brand), 'konut|steel|#1')"),
+    "project_scope": (project_scope, f"""WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, [{_TITLES}][p_partkey % {len(catalogs.HOTSPOTS)} + 1] AS location_name FROM part), t AS (SELECT *, lower(name || ' ' || location_name) AS x FROM p)
+        {" UNION ALL ".join(f"SELECT id, name, location_name, '{s}' AS scope FROM t WHERE regexp_matches(x, '{'|'.join(words)}')" for s, words in projects.SCOPES.items())}"""),
+    "project_recents": (project_recents, "SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders ORDER BY 2 DESC, 1 LIMIT 3"),
     "project_upsert": (project_upsert, """WITH o AS (SELECT o_orderkey AS k, 'İş ' || o_orderpriority AS name, strftime(o_orderdate, '%Y-%m-%d') AS t FROM orders), n AS (SELECT p_partkey * 10 AS k, p_name || ' v2' AS name FROM part)
         SELECT CAST(coalesce(n.k, o.k) AS VARCHAR) AS id, coalesce(n.name, o.name) AS name, coalesce(t, '2026-01-01') AS created_at, CASE WHEN n.k IS NULL THEN t ELSE '2026-01-02' END AS updated_at FROM o FULL JOIN n ON o.k = n.k"""),
     "project_delete": (project_delete, 'SELECT o_orderstatus AS description, count(*) AS "left" FROM orders WHERE o_orderkey NOT IN (SELECT p_partkey * 10 FROM part) GROUP BY 1'),

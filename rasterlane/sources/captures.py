@@ -12,6 +12,18 @@ ATTRIBUTES = ("SRC_DATE2", "SRC_DATE", "NICE_DESC", "SRC_DESC", "SAMP_RES")
 METADATA_LAYER = 6
 
 
+def layer_urls(config: DataFrame) -> DataFrame:
+    """release_id, layer_url of configuration documents (a column `config` of JSON: release id to an object with its layer's URL)."""
+    parsed = F.from_json("config", "map<string,struct<metadataLayerUrl:string>>")
+    return config.select(F.explode(parsed).alias("release_id", "v")).select("release_id", F.col("v.metadataLayerUrl").alias("layer_url")).where("layer_url IS NOT NULL").dropDuplicates(["release_id"])
+
+
+def at_years(points: DataFrame, releases: DataFrame) -> DataFrame:
+    """A row per point and yearly release: year, release_id. releases: the catalog's few rows, sent to all tasks as an array."""
+    every = F.array(*[F.struct(F.lit(r.year).alias("year"), F.lit(r.release_id).alias("release_id")) for r in releases.select("year", "release_id").orderBy("year").collect()])
+    return points.withColumn("_y", F.explode(every)).select(*points.columns, "_y.*")
+
+
 def query_url(layer_url: Column, lat: Column, lon: Column) -> Column:
     """The request for what covers a point."""
     point = F.url_encode(F.concat(lon.cast("string"), F.lit(","), lat.cast("string")))

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Yearly releases (id and date) and places with their zoom, grid and years.
+#: Yearly releases (id and date) and places with their zoom, grid, years and description.
 RELEASES = [
     ("2014", "5844", "2014-12-30", "2014 (Geçmiş Durum)"), ("2016", "18966", "2016-12-20", "2016"), ("2018", "23448", "2018-12-14", "2018"), ("2020", "29260", "2020-12-16", "2020"),
     ("2022", "45134", "2022-12-14", "2022"), ("2024", "16453", "2024-12-12", "2024"), ("2026", "26334", "2026-08-05", "2026 (Güncel Durum)"),
 ]
 HOTSPOTS = [
-    ("istanbul_fikirtepe", "İstanbul - Fikirtepe (Kentsel Dönüşüm)", 40.9902, 29.0520, 17, 3, "2014", "2026"),
-    ("ankara_mamak", "Ankara - Mamak Gülseren (Gecekondu Dönüşümü)", 39.9330, 32.9010, 17, 3, "2014", "2026"),
-    ("izmir_ornekkoy", "İzmir - Örnekköy (Kentsel Dönüşüm)", 38.4795, 27.1135, 17, 3, "2014", "2026"),
-    ("austin_pflugerville", "Austin, Teksas - Pflugerville Yeni Konut Siteleri", 30.4750, -97.6250, 17, None, "2014", "2026"),
-    ("dubai_hills", "Dubai - Dubai Hills Estate (Çölden Villa Kentine)", 25.1030, 55.2480, 17, None, "2014", "2026"),
+    ("istanbul_fikirtepe", "İstanbul - Fikirtepe (Kentsel Dönüşüm)", 40.9902, 29.0520, 17, 3, "2014", "2026", "Kadıköy'de az katlı eski konutların yıkılıp yerlerine yüksek blokların yapılması: yeniden yapılan, yıkılan ve korunan binalar bir arada."),
+    ("ankara_mamak", "Ankara - Mamak Gülseren (Gecekondu Dönüşümü)", 39.9330, 32.9010, 17, 3, "2014", "2026", "Gecekondu alanlarının yıkılıp toplu konut bloklarına dönüşmesi: yüzlerce yıkılan gecekondu ve yerlerine yapılan bloklar."),
+    ("izmir_ornekkoy", "İzmir - Örnekköy (Kentsel Dönüşüm)", 38.4795, 27.1135, 17, 3, "2014", "2026", "Karşıyaka'da tek katlı mahalle dokusunun yerini büyük konut bloklarına bırakması."),
+    ("austin_pflugerville", "Austin, Teksas - Pflugerville Yeni Konut Siteleri", 30.4750, -97.6250, 17, None, "2014", "2026", "Austin'in kuzey banliyösünde boş parsellerin tek katlı müstakil konut sokaklarıyla dolması."),
+    ("dubai_hills", "Dubai - Dubai Hills Estate (Çölden Villa Kentine)", 25.1030, 55.2480, 17, None, "2014", "2026", "2014'te boş çöl olan alanda yüzlerce villadan oluşan planlı bir yerleşimin kurulması."),
 ]
 FIRST_YEAR, LAST_YEAR = "2014", "2026"
 
@@ -29,7 +29,7 @@ def years(spark: SparkSession) -> DataFrame:
 
 
 def hotspots(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HOTSPOTS, "id string, title string, lat double, lon double, zoom int, grid_size int, year_t1 string, year_t2 string")
+    return spark.createDataFrame(HOTSPOTS, "id string, title string, lat double, lon double, zoom int, grid_size int, year_t1 string, year_t2 string, desc string")
 
 
 def with_release(rows: DataFrame, year: str, default: str, out: str) -> DataFrame:

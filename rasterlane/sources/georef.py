@@ -130,3 +130,15 @@ def pair_reference(pairs: DataFrame, least: float = 0.9) -> DataFrame:
     error = F.when(both & (overlap < least), "different_area")
     ok = lambda v: F.when(error.isNull(), v)
     return pairs.select("*", ok(F.when(own, F.col("transform2")).when(F.col("transform1").isNotNull(), resized)).alias("transform"), ok(F.when(own, F.col("epsg2")).otherwise(F.col("epsg1"))).alias("epsg"), error.alias("error"))
+
+
+def epsg_code(text: Column) -> Column:
+    """struct code, error of a code given as text, with or without its `EPSG:`; null text gives neither."""
+    code = F.regexp_extract(text, r"^\s*(?i:EPSG:)?\s*([0-9]{1,6})\s*$", 1).try_cast("int")
+    error = F.when(code.isNull(), "epsg_invalid").when(~projection.supported(code), "epsg_unsupported")
+    return F.when(text.isNotNull(), F.struct(F.when(error.isNull(), code).alias("code"), error.alias("error")))
+
+
+def summary(source: Column, epsg: Column, gsd_m: Column, bounds: Column) -> Column:
+    """What a georeference is shown as: source, label of its system, gsd and bounds."""
+    return F.struct(source.alias("source"), F.concat(F.lit("EPSG:"), epsg.cast("string")).alias("crs"), F.bround(gsd_m, 3).alias("gsd_m"), F.array(*[F.bround(bounds[k], 7) for k in "swne"]).alias("bounds"))

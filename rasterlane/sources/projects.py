@@ -12,8 +12,12 @@ _TEXT = ("id", "name", "description", "created_at", "updated_at", "created_at_fo
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _TEXT] + [T.StructField("is_shared", T.BooleanType()), T.StructField("zoom", T.IntegerType())])
 #: What keeps its first value when a project is saved again.
 FIRST_ONLY = ("created_at", "created_at_formatted")
-#: Keywords of the listing's scopes, over name, place and collection.
-SCOPES = {"kentsel": ("kentsel", "dönüşüm", "şehir"), "konut": ("konut", "site", "villa"), "sanayi": ("sanayi", "organize", "fabrika")}
+#: Keywords of the listing's scopes, over name, place and collection.
+SCOPES = {
+    "kentsel": ("kentsel", "dönüşüm", "fikirtepe", "kadıköy", "mamak", "örnekköy"),
+    "konut": ("konut", "başakşehir", "kayaşehir", "incek", "müstakil", "teksas"),
+    "sanayi": ("sanayi", "austin", "giga", "dubai", "fabrika", "lojistik"),
+}
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:

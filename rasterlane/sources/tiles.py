@@ -69,6 +69,28 @@ def missing_summary(tiles: DataFrame, key: list[str]) -> DataFrame:
     return n.join(whole, key).withColumn("note", rules.missing_text(F.col("missing"), F.col("total")))
 
 
+def placeholder() -> Column:
+    """The pixels of the placeholder: grey in all bands, row by row."""
+    return F.unhex(F.repeat(F.lit(f"{PLACEHOLDER:02X}"), 3 * TILE * TILE))
+
+
+def usable(tiles: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Tiles of the keys whose dates all have some imagery, and the other keys with an error."""
+    none = tiles.groupBy(*key, "epoch").agg(F.every("is_missing").alias("none")).where("none").select(*key).distinct()
+    return tiles.join(none, key, "left_anti"), none.withColumn("error", F.lit("no_imagery"))
+
+
+def invalid_cells(tiles: DataFrame, key: list[str]) -> DataFrame:
+    """Places in the grid (row, col) that are missing on either date: what both dates' probabilities are zeroed in."""
+    return tiles.where("is_missing").select(*key, "row", "col").distinct()
+
+
+def seen_captures(tiles: DataFrame, key: list[str]) -> DataFrame:
+    """Without the captures (epochs) that have no tile at all."""
+    seen = tiles.groupBy(*key, "epoch").agg(F.every("is_missing").alias("none")).where("NOT none").select(*key, "epoch")
+    return tiles.join(seen, [*key, "epoch"], "left_semi")
+
+
 def is_placeholder(flat_share: Column) -> Column:
     """Whether a tile is the placeholder, from the share of its cells that have the placeholder's grey in all bands."""
     return flat_share > 0.9

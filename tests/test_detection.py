@@ -29,3 +29,27 @@ def test_pixel_difference(spark):
     b = blocks.split(frames(spark, (0, picture(OLD)), (1, picture(NEW))), 128)
     got = sorted(classic.detect(b, size=128).collect(), key=lambda r: r.type)
     assert [r.type for r in got] == ["demolished", "existing", "new"] and got[1].confidence_pct == 95.0
+
+
+def city(spark, scene, shift):
+    """36 squares of 15 x 15 cells on both dates, the later ones moved."""
+    rows = [(scene, e, 8 + 24 * i + y, 8 + 24 * j + x + e * shift, 1.0, 160, 160) for e in (0, 1) for i in range(6) for j in range(6) for y in range(15) for x in range(15)]
+    return spark.createDataFrame(rows, "scene long, epoch int, r int, c int, p float, h int, w int")
+
+
+def test_each_scene_has_its_own_tolerance(spark):
+    both = city(spark, 1, 1).unionByName(city(spark, 2, 0))
+    got = {r.scene: r.tolerance_px for r in detection.tolerance(both, 6.0).collect()}
+    assert got == {1: 2.5, 2: 2.0}
+    alone = {r.scene: r.tolerance_px for s in (1, 2) for r in detection.tolerance(both.where(f"scene = {s}"), 6.0).collect()}
+    assert got == alone
+
+
+def test_wide_dilation_keeps_labels(spark):
+    from rasterlane.operators import pixels
+
+    cells = spark.createDataFrame([(1, 0, 3, 3, 40, 40, "a"), (1, 0, 39, 39, 40, 40, "b"), (1, 0, 16, 15, 40, 40, "a")], "scene long, epoch int, r int, c int, h int, w int, label string")
+    kernel = pixels.ellipse(11)
+    want = pixels._moved(cells, kernel, 1).select("scene", "epoch", "label", "r", "c", "h", "w").distinct()
+    got = pixels.dilate_blocks(cells, kernel, ["label"], block=8)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
