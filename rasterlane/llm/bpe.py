@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8_list
+from .common import blocks, bound_batches, table, utf8_list
 
 SPACE = "▁"
 REMEMBERED = 400_000  # chunks a worker remembers
@@ -119,19 +119,23 @@ def counter(path: str):
     return count
 
 
+MOST_BYTES = 2_000_000  # of text at once in a task
+
+
 def count_tokens(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes long, n_tokens long of every row. model_path: the vocabulary's file on the executors; by default
     they look up the public one where they run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model_path or default_model())
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, "text", MOST_BYTES)):
             texts = utf8_list(batch.column(1))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(t or b"") for t in texts], pa.int64()),
                 pa.array([count(t.decode()) if t else 0 for t in texts], pa.int64()),
             ], ["id", "n_bytes", "n_tokens"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_path, table, utf8_list, written
+from .common import blocks, bound_batches, drop_path, table, utf8_list, written
 
 #: Words of UTF-8 texts that still have their capitals: bytes over 0x7F are part of words.
 TOKEN_CASED = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -203,6 +203,7 @@ def _automaton(key: str, sent, window: int) -> SuffixAutomaton:
 def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id",
                  item_text: str = "text", most_item_words: int = 2_000_000) -> DataFrame:
     """docs plus _dc_words long, _dc_hits array<struct<start, end>> (stretches of word numbers) and _dc_items array<string>."""
+    bound_batches(docs.sparkSession)
     found = docs.withColumns({"_dc_words": F.lit(0).cast("long"), "_dc_hits": F.lit(None).cast("array<struct<start:int,end:int>>"), "_dc_items": F.lit(None).cast("array<string>")})
     schema = found.schema
     path = None

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, table, utf8_list, written
+from .common import blocks, bound_batches, crc_mod, table, utf8_list, written
 
 STATES = 8
 FLUSH = 100_000  # distinct words a task holds before it passes their counts on
@@ -180,6 +180,7 @@ def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     if top_words + rare_classes >= 1 << 16:
         raise ValueError(f"{top_words} top words and {rare_classes} rare classes do not fit 16-bit symbols")
     spark = docs.sparkSession
+    bound_batches(spark)
     send = spark.sparkContext.broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     training = rows.where(~F.col("held_out"))

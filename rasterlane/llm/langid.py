@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, table, utf8_list
+from .common import blocks, bound_batches, crc_mod, table, utf8_list
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
@@ -168,6 +168,7 @@ def train(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
 
 def predict(docs: DataFrame, net: ByteCNN | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `keep`, the language (string) and its score (double) under `names`, which must not be among them."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_li_text"), F.coalesce(F.regexp_like(F.col(text_col), F.lit(r"\p{L}")), F.lit(False)).alias("_li_letter"))
     sent = docs.sparkSession.sparkContext.broadcast(net and Predictor(net))
     schema = docs.select(*keep).withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)}).schema

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rasterlane.operators.graph import components
 
-from .common import blocks, drop_path, table, utf8_list, written
+from .common import blocks, bound_batches, drop_path, table, utf8_list, written
 
 UNIVERSE = 1 << 20
 FIRST_BANDS = 5
@@ -150,6 +150,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; documents are linked with Jaccard similarity >= num / den."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bands, per = banding(num / den)
     signed, _ = written(signatures(rows, k, bands, per), "signed")

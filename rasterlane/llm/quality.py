@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, table, utf8_list
+from .common import blocks, bound_batches, crc_mod, table, utf8_list
 
 MOST_BYTES = 2_000_000
 FEATURES = ["bytes", "words", "lines", "word_len", "longest_word", "upper", "digit", "punct", "symbol", "space", "high", "comma", "period", "pipe", "hash", "sentence_len", "distinct_words", "top_word", "distinct_lines", "dup_line_share", "caps_words", "vowel", "short_words", "long_words", "line_len", "distinct_first", "pair_repeat"]
@@ -138,6 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text_col: str =
 
 def predict(docs: DataFrame, trees: BoostedTrees, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """The columns `keep` and the score (double) under `name`, which must not be among them."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_q_text"))
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 

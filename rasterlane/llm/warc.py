@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_path, new_path, table, utf8_list, written
+from .common import blocks, bound_batches, drop_path, new_path, table, utf8_list, written
 
 #: Fixed values of the two formats: the fields of an ARC header line by version, and the end of a WARC record.
 ARC_FIELDS = {
@@ -186,6 +186,7 @@ def write_warc(records: DataFrame, path: str, min_bytes: int = 0, file_records:
     """records: RECORD. Writes gzipped WARC files into the folder `path`, of file_records records at most and of about file_bytes
     of payload. The records are evaluated twice, once for their narrow columns alone."""
     spark = records.sparkSession
+    bound_batches(spark)
     narrow, held = written(records.select("page_id", "digest", "n"), "digests")
     size = F.when(F.col("page_id") == "", None).otherwise(F.col("page_id").try_cast("long"))
     again = narrow.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max(F.struct(size.alias("k"), "page_id")).alias("first"), F.count("*").alias("times"))
