@@ -103,18 +103,41 @@ def cells(blocks: DataFrame) -> DataFrame:
 
 
 def tiles(images: DataFrame, tile: int = 1024, overlap: int = 64) -> DataFrame:
-    """Overlapping tiles of images, for a model: y0, x0 by the rule of starts; smaller images give one tile of their size."""
-    starts = images.select("*", F.explode(rules.tile_starts(F.col("h"), tile, overlap)).alias("y0")).select("*", F.explode(rules.tile_starts(F.col("w"), tile, overlap)).alias("x0"))
+    """Overlapping tiles of images, for a model: y0, x0 by the rule of starts; smaller images give one tile of their size. An image
+    goes to its task once, and its tiles leave it one by one."""
+    starts = images.select("scene", "epoch", "h", "w", "bands", "data", rules.tile_starts(F.col("h"), tile, overlap).alias("ys"), rules.tile_starts(F.col("w"), tile, overlap).alias("xs"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for r in frame.itertuples():
-                x = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, r.bands)[r.y0 : r.y0 + tile, r.x0 : r.x0 + tile]
-                out.append((r.scene, r.epoch, r.y0, r.x0, x.shape[0], x.shape[1], r.h, r.w, r.bands, x.astype(np.float32).tobytes()))
-            yield pd.DataFrame(out, columns=_NAMES)
+                whole = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, r.bands)
+                for y0 in r.ys:
+                    for x0 in r.xs:
+                        x = whole[y0 : y0 + tile, x0 : x0 + tile]
+                        yield pd.DataFrame([(r.scene, r.epoch, y0, x0, x.shape[0], x.shape[1], r.h, r.w, r.bands, x.astype(np.float32).tobytes())], columns=_NAMES)
+
+    return starts.mapInPandas(run, SCHEMA)
+
+
+#: Mean and deviation of each band that the segmenter was trained with.
+BAND_MEAN, BAND_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def normalised(rgb: np.ndarray) -> np.ndarray:
+    """Bands of 0 to 255 as the segmenter takes them."""
+    return ((np.asarray(rgb, np.float32) / 255 - np.array(BAND_MEAN, np.float32)) / np.array(BAND_STD, np.float32)).astype(np.float32)
+
+
+def full_tiles(model: Callable[[np.ndarray], np.ndarray], tile: int = 1024) -> Callable[[np.ndarray], np.ndarray]:
+    """A model of whole normalised tiles as one of tiles of any size: rows below and columns to the right are mirrored up to a full
+    tile, and what it says of them is cut off again."""
+
+    def run(rgb: np.ndarray) -> np.ndarray:
+        h, w = rgb.shape[:2]
+        padded = np.pad(rgb, ((0, max(0, tile - h)), (0, max(0, tile - w)), (0, 0)), mode="reflect")
+        return np.asarray(model(normalised(padded)))[:h, :w]
 
-    return starts.select("scene", "epoch", "y0", "x0", "h", "w", "bands", "data").mapInPandas(run, SCHEMA)
+    return run
 
 
 def bright(rgb: np.ndarray) -> np.ndarray:
@@ -124,7 +147,7 @@ def bright(rgb: np.ndarray) -> np.ndarray:
 
 def predicted(tile_rows: DataFrame, model: Callable[[np.ndarray], np.ndarray] = bright, tile: int = 1024, overlap: int = 64, size: int = 256) -> DataFrame:
     """Probabilities as blocks: the model on every tile, feathered, cut along the blocks' grid and blended where tiles overlap (four
-    pieces a block, or parts of them, at most). A model that needs full tiles pads its input itself; a lost worker's tiles run again."""
+    pieces a block, or parts of them, at most). A model that needs full normalised tiles comes wrapped in full_tiles; a lost worker's tiles run again."""
     ramp = np.minimum(1.0, np.minimum(*(np.concatenate([np.linspace(0.05, 1, overlap), np.ones(tile - overlap)])[::s] for s in (1, -1))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,27 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlane.functions import rules
 
+BLOCK = 64
+
+
+def _boxes(objects: DataFrame) -> DataFrame:
+    return objects.groupBy("scene", "label").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.first("h").alias("h"), F.first("w").alias("w"))
+
+
+def _inside(radius: int) -> Column:
+    """Of boxes: still in the image after a move by the radius."""
+    return (F.col("r0") >= radius) & (F.col("c0") >= radius) & (F.col("r1") + radius < F.col("h")) & (F.col("c1") + radius < F.col("w"))
+
 
 def best_shifts(objects: DataFrame, before: DataFrame, radius: int) -> DataFrame:
     """scene, label, dr, dc, quality of the shift within the radius at which the object's cells correlate best with the earlier
     probabilities inside its box: sum(p) / sqrt(n * sum of p² in the box). Ties: the first shift by rows, then columns.
 
     objects: scene, label, r, c; before: scene, r, c, p. Only objects that are inside the image by the radius take part: h, w.
-    Each object's box is moved by every shift, (2 radius + 1)² of them, and meets the cells in an equi-join."""
-    box = objects.groupBy("scene", "label").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.first("h").alias("h"), F.first("w").alias("w"))
-    box = box.where((F.col("r0") >= radius) & (F.col("c0") >= radius) & (F.col("r1") + radius < F.col("h")) & (F.col("c1") + radius < F.col("w")))
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    cells = box.select("scene", "label", "n", F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select("scene", "label", "n", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    own = objects.select("scene", "label", "r", "c", F.lit(1).alias("own"))
-    cells = cells.join(own, ["scene", "label", "r", "c"], "left").select("scene", "label", "n", "own", "r", "c", F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc"))
-    moved = cells.withColumns({"r": F.col("r") + F.col("dr"), "c": F.col("c") + F.col("dc")})
-    hit = moved.join(before.select("scene", "r", "c", "p"), ["scene", "r", "c"])
-    q = hit.groupBy("scene", "label", "n", "dr", "dc").agg(F.sum(F.when(F.col("own") == 1, F.col("p")).otherwise(0.0)).alias("num"), F.sum(F.col("p") * F.col("p")).alias("sq"))
+    The box is cut into pieces of BLOCK cells a side at most. A piece meets the earlier cells in its reach once and adds up all
+    (2 radius + 1)² shifts in numpy; the pieces' sums are added per object. So a task holds (BLOCK + 2 radius)² cells of a piece, whatever the
+    object's size."""
+    box = _boxes(objects).where(_inside(radius))
+    part = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / BLOCK).cast("int"), F.floor(F.col(b) / BLOCK).cast("int"))
+    piece = box.select("scene", "label", "r0", "r1", "c0", "c1", F.explode(span("r0", "r1")).alias("y")).select("*", F.explode(span("c0", "c1")).alias("x"))
+    top, left = F.col("y") * BLOCK, F.col("x") * BLOCK
+    piece = piece.select("scene", "label", "y", "x", *[e.cast("int").alias(n) for e, n in ((F.greatest("r0", top), "a0"), (F.least("r1", top + BLOCK - 1), "a1"), (F.greatest("c0", left), "b0"), (F.least("c1", left + BLOCK - 1), "b1"))])
+    reach = piece.withColumns({"u0": F.col("a0") - radius, "u1": F.col("a1") + radius, "v0": F.col("b0") - radius, "v1": F.col("b1") + radius})
+    reach = reach.select("*", F.explode(span("u0", "u1")).alias("by")).select("*", F.explode(span("v0", "v1")).alias("bx"))
+    near = reach.join(before.where("p IS NOT NULL").select("scene", part("r").alias("by"), part("c").alias("bx"), "r", "c", "p"), ["scene", "by", "bx"])
+    near = near.where(F.col("r").between(F.col("u0"), F.col("u1")) & F.col("c").between(F.col("v0"), F.col("v1")))
+    cols = ["scene", "label", "y", "x", "a0", "a1", "b0", "b1", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")]
+    own = objects.select("scene", "label", part("r").alias("y"), part("c").alias("x"), "r", "c").join(piece, ["scene", "label", "y", "x"])
+    rows = near.select(*cols, F.col("p").cast("double").alias("p")).unionByName(own.select(*cols, F.lit(None).cast("double").alias("p")))
+    n = 2 * radius + 1
+
+    def run(t: pa.Table) -> pa.Table:
+        a0, a1, b0, b1 = (t.column(k)[0].as_py() for k in ("a0", "a1", "b0", "b1"))
+        mine = np.array(t.column("p").is_null())
+        r, c, p = t.column("r").to_numpy() - a0, t.column("c").to_numpy() - b0, t.column("p").to_numpy(zero_copy_only=False)
+        field = np.zeros((3, a1 - a0 + n, b1 - b0 + n))  # p, p squared, whether the cell is there
+        field[:, r[~mine] + radius, c[~mine] + radius] = np.stack([p[~mine], p[~mine] ** 2, np.ones((~mine).sum())])
+        num, rest = np.zeros((n, n)), np.zeros((2, n, n))
+        for i, j in zip(r[mine].tolist(), c[mine].tolist()):
+            num += field[0, i : i + n, j : j + n]
+        for i in range(a1 - a0 + 1):
+            for j in range(b1 - b0 + 1):
+                rest += field[1:, i : i + n, j : j + n]
+        dr, dc = (v.ravel() for v in np.indices((n, n), np.int32) - radius)
+        some = rest[1].ravel() > 0
+        keys = {k: pa.repeat(t.column(k)[0], int(some.sum())) for k in ("scene", "label")}
+        return pa.table({**keys, "dr": dr[some], "dc": dc[some], "num": num.ravel()[some], "sq": rest[0].ravel()[some]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in objects.schema}
+    sums = rows.groupBy("scene", "label", "y", "x").applyInArrow(run, f"scene {kinds['scene']}, label {kinds['label']}, dr int, dc int, num double, sq double")
+    q = sums.groupBy("scene", "label", "dr", "dc").agg(F.sum("num").alias("num"), F.sum("sq").alias("sq")).join(box.select("scene", "label", "n"), ["scene", "label"])
     quality = F.when(F.col("sq") > 0, F.col("num") / F.sqrt(F.col("n") * F.when(F.col("sq") > 0, F.col("sq")))).otherwise(0.0)
     q = q.withColumn("quality", F.bround(quality, 9))
     best = F.max_by(F.struct("dr", "dc", "quality"), F.struct("quality", (-F.col("dr")).alias("a"), (-F.col("dc")).alias("b")))
@@ -31,9 +72,7 @@ def best_shifts(objects: DataFrame, before: DataFrame, radius: int) -> DataFrame
 
 def inside(objects: DataFrame, radius: int) -> DataFrame:
     """The objects that stay in the image when they move by the radius."""
-    box = objects.groupBy("scene", "label").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("h").alias("h"), F.first("w").alias("w"))
-    good = box.where((F.col("r0") >= radius) & (F.col("c0") >= radius) & (F.col("r1") + radius < F.col("h")) & (F.col("c1") + radius < F.col("w")))
-    return objects.join(good.select("scene", "label"), ["scene", "label"], "left_semi")
+    return objects.join(_boxes(objects).where(_inside(radius)).select("scene", "label"), ["scene", "label"], "left_semi")
 
 
 def sampled(objects: DataFrame, most: int) -> DataFrame:

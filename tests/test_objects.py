@@ -116,3 +116,51 @@ def test_resize_kernels():
     assert kernels.resized(x, 2, 2, "area").tolist() == [[2, 4], [10, 12]]
     assert kernels.resized(x, 2, 2, "nearest").tolist() == [[0, 2], [8, 10]]
     assert (kernels.resized(np.full((3, 3), 7, np.uint8), 6, 5, "cubic") == 7).all()
+
+
+def test_best_shifts_equal_every_shift_tried(spark):
+    """Objects over several pieces, with holes and missing cells, against sums over whole windows."""
+    radius, side = 3, 170
+    rnd = np.random.default_rng(4)
+    p = np.where(rnd.random((side, side)) < 0.9, rnd.random((side, side)).round(3), np.nan)
+    rows, want = [], {}
+    for label, (r0, c0, h, w) in enumerate([(60, 58, 80, 75), (5, 5, 4, 9), (3, 100, 1, 1), (0, 0, 5, 5)]):
+        own = rnd.random((h, w)) < 0.7
+        own[0, 0] = own[-1, -1] = True
+        rows += [(1, label, int(r) + r0, int(c) + c0, side, side) for r, c in np.argwhere(own)]
+        if r0 < radius:
+            continue
+        tried = []
+        for dr in range(-radius, radius + 1):
+            for dc in range(-radius, radius + 1):
+                box = np.nan_to_num(p[r0 + dr : r0 + dr + h, c0 + dc : c0 + dc + w])
+                sq = (box**2).sum()
+                tried.append((-round(float(box[own].sum() / np.sqrt(own.sum() * sq)) if sq else 0.0, 9), dr, dc))
+        want[label] = min(tried)
+    before = spark.createDataFrame([(1, r, c, None if np.isnan(p[r, c]) else float(p[r, c])) for r in range(side) for c in range(side)], "scene long, r int, c int, p double")
+    got = parallax.best_shifts(spark.createDataFrame(rows, "scene long, label long, r int, c int, h int, w int"), before, radius).collect()
+    assert {r.label: (r.dr, r.dc) for r in got} == {k: v[1:] for k, v in want.items()}
+    assert all(abs(r.quality + want[r.label][0]) < 2e-9 for r in got)
+
+
+def test_full_tiles_of_small_images(spark):
+    """Every tile reaches the model whole and normalised; its mirrored part does not come back."""
+    rnd = np.random.default_rng(5)
+    shapes, seen = [(20, 30), (70, 41), (32, 32)], []
+    images = spark.createDataFrame([(k, 0, h, w, 3, bytearray(rnd.integers(0, 256, (h, w, 3), np.uint8).tobytes())) for k, (h, w) in enumerate(shapes)], "scene long, epoch int, h int, w int, bands int, data binary")
+
+    def model(x):
+        if x.shape != (32, 32, 3):
+            raise ValueError(x.shape)
+        return x[..., 0] * 0.229 + 0.485
+
+    t = blocks.tiles(images, 32, 8)
+    assert t.count() == 1 + 3 * 2 + 1 and t.where("bh > 32 OR bw > 32").count() == 0
+    for r in blocks.predicted(t, blocks.full_tiles(model, 32), 32, 8, 16).collect():
+        whole = np.frombuffer(next(i.data for i in images.collect() if i.scene == r.scene), np.uint8).reshape(*shapes[r.scene], 3)[..., 0] / 255
+        part = whole[r.y0 : r.y0 + r.bh, r.x0 : r.x0 + r.bw]
+        seen.append(part.size)
+        assert np.allclose(np.frombuffer(r.data, np.float32).reshape(r.bh, r.bw), part, atol=1e-5)
+    assert sum(seen) == sum(h * w for h, w in shapes)
+    x = blocks.full_tiles(lambda v: v[..., 1], 8)(np.full((5, 6, 3), 255.0))
+    assert x.shape == (5, 6) and np.allclose(x, (1 - 0.456) / 0.224)
