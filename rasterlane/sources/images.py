@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlane.operators import kernels
+from rasterlane.sources import georef, tiff
+
+#: Names but those of TIFF files, which the image reader must not meet: it fails on damaged ones.
+NOT_TIFF = "{*[!fF],*.[gG][iI][fF],*.[jJ][fF][iI][fF]}"
 
 
 @F.pandas_udf(T.BinaryType())
@@ -22,13 +26,17 @@ def _rgb(data: pd.Series, h: pd.Series, w: pd.Series, bands: pd.Series) -> pd.Se
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, h, w, bands, data of PNG and JPEG files; files that are no image are left out."""
-    i = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    return i.select(F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), F.lit(3).alias("bands"), _rgb("data", "height", "width", "nChannels").alias("data"))
+    """path, h, w, bands, data of PNG, JPEG and TIFF files; files that are no image are left out."""
+    i = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", NOT_TIFF).load(path).select("image.*")
+    plain = i.select(F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), F.lit(3).alias("bands"), _rgb("data", "height", "width", "nChannels").alias("data"))
+    return plain.unionByName(tiff.read(spark, path))
 
 
 def sizes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("image").load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    """path, width, height; of TIFF files by their tags."""
+    other = spark.read.format("image").option("pathGlobFilter", NOT_TIFF).load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    tagged = spark.read.format("binaryFile").option("pathGlobFilter", tiff.NAMES).load(path).select("path", georef.tiff_tags("content").alias("t"))
+    return other.unionByName(tagged.select("path", "t.width", "t.height"))
 
 
 def resized(images: DataFrame, h: Column, w: Column, how: str) -> DataFrame:
@@ -95,3 +103,15 @@ def png(width: int, rgba: bytes) -> bytes:
 def png_of(width: pd.Series, rgba: pd.Series) -> pd.Series:
     """PNG files of RGBA bytes."""
     return pd.Series([png(w, d) for w, d in zip(width, rgba)])
+
+
+@F.pandas_udf(T.BinaryType())
+def _opaque(data: pd.Series) -> pd.Series:
+    """RGB bytes as RGBA."""
+    return pd.Series([np.insert(np.frombuffer(d, np.uint8).reshape(-1, 3), 3, 255, 1).tobytes() for d in data])
+
+
+def previews(images: DataFrame, most: int = 2048) -> DataFrame:
+    """images (RGB) with a column preview, a PNG as data URI, whose longer side has `most` cells at most."""
+    small = scaled(images, F.least(F.lit(1.0), F.lit(most) / F.greatest("h", "w")))
+    return small.withColumn("preview", F.concat(F.lit("data:image/png;base64,"), F.base64(png_of("w", _opaque("data")))))

@@ -1,14 +1,16 @@
 """Sources, project store, exports and functions over small inputs."""
 
+import base64
 import json
 import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rasterlane.functions import geo, projection, rules
-from rasterlane.sources import captures, catalogs, export, georef, images, projects, tiles
+from rasterlane.sources import captures, catalogs, export, georef, images, projects, tiff, tiles
 
 
 def one(spark, **cols):
@@ -138,3 +140,103 @@ def test_stretch(spark):
     c = spark.range(101).select(F.lit(1).alias("scene"), F.lit(0).alias("epoch"), F.lit(0).alias("r"), F.col("id").cast("int").alias("c"), F.lit(0).alias("band"), (F.col("id") * 10.0).alias("v"))
     v = [r.v for r in images.stretched(c).orderBy("c").collect()]
     assert v[0] == 0 and v[100] == 255 and v[50] == 127
+
+
+def tiff_bytes(x, order="<", planes=False, pack=bytes, code=1, rows=2, tile=0, predictor=1, meaning=1, palette=()):
+    """A TIFF of x (h, w, bands) in strips of some rows, or in square tiles."""
+    h, w, n = x.shape
+    parts = []
+    for p in [x[:, :, b : b + 1] for b in range(n)] if planes else [x]:
+        for y in range(0, h, tile or rows):
+            for c in range(0, w, tile or w):
+                q = p[y : y + (tile or rows), c : c + (tile or w)]
+                if tile:
+                    q = np.pad(q, ((0, tile - q.shape[0]), (0, tile - q.shape[1]), (0, 0)))
+                if predictor == 2:
+                    q = np.diff(q, axis=1, prepend=np.zeros_like(q[:, :1]))
+                parts.append(pack(q.astype(x.dtype.newbyteorder(order)).tobytes()))
+    body = b"".join(parts)
+    at = 8 + np.cumsum([0] + [len(p) for p in parts])[:-1]
+    many = [(258, 3, [x.dtype.itemsize * 8] * n), (324 if tile else 273, 4, at.tolist()), (325 if tile else 279, 4, [len(p) for p in parts])]
+    many += [(320, 3, palette)] if palette else []
+    single = {256: w, 257: h, 259: code, 262: meaning, 277: n, 284: 1 + planes, 317: predictor, 339: {"u": 1, "i": 2, "f": 3}[x.dtype.kind]} | ({322: tile, 323: tile} if tile else {278: rows})
+    entries = sorted([*many, *[(t, 3, [v]) for t, v in single.items()]])
+    start = 8 + len(body)
+    extra, out = start + 2 + 12 * len(entries) + 4, b""
+    table = struct.pack(order + "H", len(entries))
+    for t, kind, v in entries:
+        raw = struct.pack(f"{order}{len(v)}{'H' if kind == 3 else 'I'}", *v)
+        if len(raw) > 4:
+            out, raw = out + raw, struct.pack(order + "I", extra + len(out))
+        table += struct.pack(order + "HHI", t, kind, len(v)) + raw.ljust(4, b"\0")
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", start) + body + table + b"\0" * 4 + out
+
+
+def lzw(data):
+    """Greedy codes as the format wants them, without a full table."""
+    table, bits, width, word = {bytes([i]): i for i in range(256)}, "", 9, b""
+    bits += format(256, "09b")
+    n = 258
+    for i in range(len(data)):
+        nxt = word + data[i : i + 1]
+        if nxt in table:
+            word = nxt
+            continue
+        bits += format(table[word], f"0{width}b")
+        table[nxt], n = n, n + 1
+        width = max(width, n.bit_length())
+        word = data[i : i + 1]
+    bits += format(table[word], f"0{width}b")
+    n += 1
+    bits += format(257, f"0{max(width, n.bit_length())}b")
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def plain_rgb(x):
+    x = np.repeat(x[:, :, :1], 3, 2) if x.shape[2] < 3 else x[:, :, :3]
+    x = x.astype(np.float32)
+    if x.max() > 255:
+        low, high = np.percentile(x, (2, 98))
+        x = (x - np.float32(low)) / np.float32(max(high - low, 1e-6)) * np.float32(255)
+    return np.clip(x, 0, 255).astype(np.uint8)
+
+
+def test_tiff_pixels(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    eight, sixteen = rng.integers(0, 256, (7, 9, 4), np.uint8), rng.integers(0, 4000, (7, 9, 3), np.uint16)
+    smooth = (np.arange(40 * 50 * 3).reshape(40, 50, 3) // 7 % 251).astype(np.uint8)
+    cases = {
+        "four": (eight, {}), "gray": (eight[:, :, :1], {"order": ">"}), "two": (eight[:, :, :2], {}), "planes": (sixteen, {"planes": True}), "big": (sixteen, {"order": ">", "pack": zlib.compress, "code": 8, "predictor": 2}),
+        "tiles": (sixteen, {"tile": 16, "pack": zlib.compress, "code": 32946}), "float": ((sixteen / 20).astype(np.float32), {}), "bits": (eight, {"code": 32773, "pack": lambda b: b"".join(bytes([0, v]) for v in b)}),
+        "lzw": (smooth, {"code": 5, "pack": lzw, "rows": 40, "predictor": 2}), "lzw2": (smooth, {"code": 5, "pack": lzw, "rows": 20}),
+    }
+    for name, (x, how) in cases.items():
+        (tmp_path / f"{name}.tif").write_bytes(tiff_bytes(x, **how))
+    palette = [(i * (k + 1) % 256) * 257 for k in range(3) for i in range(256)]
+    for name, x, how in (("inverse", 255 - eight[:, :, :1], {"meaning": 0}), ("palette", eight[:, :, :1], {"meaning": 3, "palette": palette})):
+        (tmp_path / f"{name}.tif").write_bytes(tiff_bytes(x, **how))
+    cases["inverse"] = (eight[:, :, :1], {})
+    cases["palette"] = (np.concatenate([eight[:, :, :1].astype(int) * (k + 1) % 256 for k in range(3)], 2).astype(np.uint8), {})
+    (tmp_path / "cut.tif").write_bytes(tiff_bytes(eight)[:60])
+    (tmp_path / "none.tiff").write_bytes(b"")
+    (tmp_path / "odd.tif").write_bytes(tiff_bytes(eight, code=7))
+    got = {r.path.split("/")[-1][:-4]: r for r in images.read(spark, str(tmp_path)).collect()}
+    assert set(got) == set(cases)
+    for name, (x, _) in cases.items():
+        r = got[name]
+        assert (r.h, r.w, r.bands) == (*x.shape[:2], 3)
+        off = np.frombuffer(r.data, np.uint8).reshape(*x.shape[:2], 3).astype(int) - plain_rgb(x)
+        assert np.abs(off).max() <= (1 if x.max() > 255 else 0), name
+    assert images.sizes(spark, str(tmp_path)).where("path like '%big.tif'").first().width == 9
+
+
+def test_previews(spark, tmp_path):
+    x = np.random.default_rng(1).integers(0, 256, (6, 8, 3), np.uint8)
+    (tmp_path / "a.tif").write_bytes(tiff_bytes(x))
+    for most, side in ((4, 4), (100, 8)):
+        uri = images.previews(images.read(spark, str(tmp_path)), most).first().preview
+        (tmp_path / f"{most}").mkdir()
+        (tmp_path / f"{most}" / "b.png").write_bytes(base64.b64decode(uri.split(",")[1]))
+        back = images.read(spark, str(tmp_path / f"{most}")).first()
+        assert uri.startswith("data:image/png;base64,") and back.w == side
+    assert bytes(back.data) == x.tobytes()
