@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, hmm, hnsw, langid, minhash, mixing, quality, warc
+from . import bpe, chat, decontam, elkan, hmm, hnsw, langid, minhash, mixing, quality, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_chat_format": chat.op9_chat_format,
         "op10_warc": warc.op10_warc,
+        "op11_elkan_clusters": elkan.op11_elkan_clusters,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_mix_sources": mixing.ORACLE,
         "op9_chat_format": chat.ORACLE,
         "op10_warc": warc.ORACLE,
+        "op11_elkan_clusters": elkan.ORACLE,
     }
