@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, elkan, hmm, hnsw, langid, minhash, mixing, quality, warc
+from . import align, bpe, chat, decontam, elkan, hmm, hnsw, langid, minhash, mixing, quality, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_chat_format": chat.op9_chat_format,
         "op10_warc": warc.op10_warc,
         "op11_elkan_clusters": elkan.op11_elkan_clusters,
+        "op12_align_tokenizers": align.op12_align_tokenizers,
     }
 
 
