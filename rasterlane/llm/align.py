@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +40,13 @@ from .common import blocks, bound_batches, table, utf8_list, written
 
 BLOCK_BYTES, BLOCK_ROWS = 2_000_000, 4096
 PIECE = 1_000_000  # characters cut into chunks at once
-REMEMBERED, LONGEST = 200_000, 64  # chunks a worker remembers, and the characters of one
+REMEMBERED = 400_000  # chunks a worker remembers
+RUN = 20_000  # characters encoded at once
 ID_B = 32  # bits of an id of B within a pair
 _GROUP = re.compile(rb"[\x00-\x02]*\x03")
 _ZERO_WIDTH = r"\u180e\u200b-\u200d\u2060\ufeff"  # not white space to every library
 _CUT = re.compile(rf"[^\s{_ZERO_WIDTH}] (?=[\s\S])")
+_ENDS_WHITE = re.compile(rf"[\s{_ZERO_WIDTH}]\Z")
 _ODD_SPACE = re.compile(rf"[\s{_ZERO_WIDTH}] ")
 
 
@@ -58,11 +61,34 @@ def groups_of(a_ends: np.ndarray, b_ends: np.ndarray, n_bytes: int) -> list[tupl
     labels = np.zeros(n_bytes, np.uint8)
     labels[a_ends - 1] |= 1
     labels[b_ends - 1] |= 2
-    return [(s.count(b"\x01") + 1, s.count(b"\x02") + 1) for s in _GROUP.findall(labels.tobytes())]
+    return [*map(_label_counts, _GROUP.findall(labels.tobytes().translate(None, b"\0")))]
+
+
+@lru_cache(maxsize=4096)
+def _label_counts(span: bytes) -> tuple[int, int]:
+    return span.count(b"\x01") + 1, span.count(b"\x02") + 1
+
+
+class Chunks:
+    """What is known of chunks, as arrays by their number: tokens of A and of B, groups, and where their pairs are; their texts of groups."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, 1 if bytes differ
+        self.starts = np.zeros(0, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+        self.said: list[bytes] = []
+
+    def add(self, chunks: list[str], counts: list, said: list[bytes], pairs: list[np.ndarray]) -> None:
+        self.number.update(zip(chunks, range(len(self.said), len(self.said) + len(chunks))))
+        new = np.array(counts, np.int64).reshape(-1, 4)
+        self.starts = np.concatenate([self.starts, len(self.pairs) + np.cumsum(new[:, 2]) - new[:, 2]])
+        self.counts, self.pairs = np.concatenate([self.counts, new]), np.concatenate([self.pairs, *pairs])
+        self.said += said
 
 
 class Aligner:
-    """chunk, without its leading space -> (tokens of A, of B, groups, their text, pairs linked), or None if bytes differ."""
+    """Counts, texts of groups and linked pairs of texts, by way of their chunks. A chunk is written without the space that it begins with."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -75,13 +101,15 @@ class Aligner:
         self.a_bytes = [bytes(at.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.names = [*map(str, range(max(len(self.a_bytes), len(self.b_bytes))))]
         with open(a_path, encoding="utf-8") as f:
             split = json.load(f)["pre_tokenizer"]
         self.cut = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not any(x != SPACE and y == SPACE for p in pieces for x, y in zip(p, p[1:]))
-        self.known: dict[str, tuple | None] = {}
+        self.known = Chunks()
 
     def chunks(self, text: str) -> Iterator[list[str]]:
-        """Lists of chunks, each without the space that it begins with."""
+        """Lists of chunks, one list for each PIECE of the text."""
         if not self.cut:
             yield [text]
             return
@@ -100,53 +128,88 @@ class Aligner:
         ends = [m.end() - 1 for m in _CUT.finditer(text)]
         return [text[i:j] for i, j in zip([0, *(e + 1 for e in ends)], [*ends, len(text)])]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes the chunks that are not known yet."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(chunks).difference(self.known))
-        if not new:
-            return
-        for chunk, a, b in zip(new, self.a.encode_batch([" " + c for c in new], add_special_tokens=False), self.b.encode(new, num_threads=1)):
-            self.known[chunk] = self.aligned(" " + chunk, a.ids, b)
-
-    def aligned(self, text: str, a: list[int], b: list[int]) -> tuple | None:
+    def learn(self, chunks: set[str]) -> None:
+        """Encodes the chunks that are not known yet: many in one text where they may follow each other."""
+        if len(self.known.said) > REMEMBERED or len(self.known.pairs) > 8 * REMEMBERED:
+            self.known = Chunks()
+        runs, size = [[]], 0
+        for c in chunks.difference(self.known.number):
+            if not self.cut or not c or _ENDS_WHITE.search(c):
+                runs.insert(0, [c])
+                continue
+            runs[-1].append(c)
+            size += len(c)
+            if size > RUN:
+                runs.append([])
+                size = 0
+        told = [(run, self._encoded(run)) for run in runs if run]
+        told = [x for run, got in told for x in ([(run, got)] if got or len(run) == 1 else [([c], self._encoded([c])) for c in run])]
+        bad = ([(0, 0, 0, 1)], [b""], np.zeros(0, np.int64))
+        told = [(run, got or bad) for run, got in told]
+        self.known.add([c for run, _ in told for c in run], [n for _, got in told for n in got[0]], [t for _, got in told for t in got[1]], [got[2] for _, got in told])
+
+    def _encoded(self, run: list[str]) -> tuple | None:
+        """Counts and texts of groups by chunk, pairs of all, of chunks that make up one text; None if bytes differ."""
+        text = " " + " ".join(run)
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
         whole = text.encode()
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        groups = groups_of(np.cumsum([*map(len, a_bytes)]), np.cumsum([*map(len, b_bytes)]), len(whole))
-        said, pairs, i, j = [], [], 0, 0
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        groups, names = groups_of(a_ends, b_ends, len(whole)), self.names
+        said, i, j = [], 0, 0
         for m, n in groups:
-            said.append(",".join(map(str, a[i : i + m])) + "|" + ",".join(map(str, b[j : j + n])))
+            if m == n == 1:
+                said.append(f"{a[i]}|{b[j]}")
+            else:
+                said.append(",".join([names[x] for x in a[i : i + m]]) + "|" + ",".join([names[x] for x in b[j : j + n]]))
             i, j = i + m, j + n
-            pairs.append(a[i - 1] << ID_B | b[j - 1])
-        return len(a), len(b), len(groups), ";".join(said).encode(), tuple(pairs)
-
-    def document(self, text: str) -> tuple[int, int, int, str, dict[int, int]]:
-        """n_a, n_b, n_groups, digest, and how many links each pair has."""
-        n_a = n_b = n_groups = 0
-        digest, links, first = hashlib.sha256(), Counter(), True
-        for chunks in self.chunks(text):
-            self.learn(chunks)
-            got = [*map(self.known.__getitem__, chunks)]
-            if None in got:
-                self.forget(chunks)
-                return 0, 0, 0, "", {}
-            n_a, n_b, n_groups = n_a + sum(g[0] for g in got), n_b + sum(g[1] for g in got), n_groups + sum(g[2] for g in got)
-            digest.update((b"" if first else b";") + b";".join([g[3] for g in got]))
-            first = False
-            for chunk, times in Counter(chunks).items():
-                for pair in self.known[chunk][4]:
-                    links[pair] += times
-            self.forget(chunks)
-        return n_a, n_b, n_groups, digest.hexdigest(), links
-
-    def forget(self, chunks: list[str]) -> None:
-        """Long chunks are not kept."""
-        for c in chunks:
-            if len(c) > LONGEST:
-                self.known.pop(c, None)
+        last = np.cumsum(np.array(groups, np.int64), 0) - 1  # of each group's tokens
+        group_ends = a_ends[last[:, 0]]
+        ends = np.cumsum([len(c.encode()) + 1 for c in run])
+        upto = np.stack([np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, group_ends)] + [np.zeros(len(run), np.int64)], 1)
+        cuts = [0, *upto[:, 2].tolist()]
+        return np.diff(upto, axis=0, prepend=0).tolist(), [";".join(said[x:y]).encode() for x, y in zip(cuts, cuts[1:])], a_ids[last[:, 0]] << ID_B | b_ids[last[:, 1]]
+
+    def measured(self, texts: list[list[str]]) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
+        """Of each list of chunks: its four counts, the text of its groups, and the pair of every link."""
+        self.learn(set().union(*texts))
+        known = self.known
+        sizes = np.array([*map(len, texts)], np.int64)
+        at = np.fromiter(map(known.number.__getitem__, chain.from_iterable(texts)), np.int64, sizes.sum())
+        start = 0
+        for n in sizes.tolist():
+            mine = at[start : start + n]
+            start += n
+            counts = known.counts[mine]
+            many = counts[:, 2]
+            ends = np.cumsum(many)
+            where = np.repeat(known.starts[mine] - ends + many, many) + np.arange(ends[-1] if n else 0)
+            yield counts.sum(0), b";".join(map(known.said.__getitem__, mine.tolist())), known.pairs[where]
+
+    def documents(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        """n_a, n_b, n_groups, digest, distinct pairs and how many links each has."""
+        out: list[tuple | None] = [None] * len(texts)
+        short = [i for i, t in enumerate(texts) if len(t) <= PIECE]
+        for i, got in zip(short, self.measured([next(self.chunks(texts[i])) if texts[i] else [] for i in short])):
+            out[i] = self._whole([got])
+        return [x or self._whole(got for chunks in self.chunks(texts[i]) for got in self.measured([chunks])) for i, x in enumerate(out)]
+
+    def _whole(self, parts) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
+        counts, digest, links = np.zeros(4, np.int64), hashlib.sha256(), Counter()
+        pairs = n = np.zeros(0, np.int64)
+        for at, (more, said, linked) in enumerate(parts):
+            digest.update(b";" + said if at else said)
+            counts += more
+            if counts[3]:
+                return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+            pairs, n = np.unique(linked, return_counts=True)
+            if at or len(said) > PIECE:  # more parts may follow
+                links.update(dict(zip(pairs.tolist(), n.tolist())))
+        if links:
+            pairs, n = np.array([*links], np.int64), np.array([*links.values()], np.int64)
+        return (*counts[:3].tolist(), digest.hexdigest() if counts[2] else "", pairs, n)
 
 
 @lru_cache(maxsize=2)
@@ -160,6 +223,13 @@ def default_byte_level() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _decoded(raw: bytes | None) -> str:
+    try:
+        return (raw or b"").decode()
+    except UnicodeDecodeError:
+        return ""
+
+
 def _one(values, kind: pa.DataType) -> pa.Array:
     """One row that holds all values."""
     values = pa.array(values, kind)
@@ -173,29 +243,24 @@ def aligned_blocks(rows: DataFrame, a_path: str | None, b_path: str | None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = aligner(a_path or default_byte_level(), b_path or default_model())
-        block, told, seen, size, id_type = TaskContext.get().partitionId() << 32, [], {}, 0, None
+        block, told, size, id_type = TaskContext.get().partitionId() << 32, [], 0, None
 
         def flush() -> pa.RecordBatch:
-            totals = np.zeros(len(seen), np.int64)
-            at, n = np.array([p for t in told for p in t[5]], np.int64), np.array([c for t in told for c in t[6]], np.int64)
+            n = np.concatenate([t[6] for t in told])
+            pairs, at = np.unique(np.concatenate([t[5] for t in told]), return_inverse=True)
+            totals = np.zeros(len(pairs), np.int64)
             np.add.at(totals, at, n)
             columns = [pa.array([block], pa.int64()), _one([t[0] for t in told], id_type), *(_one([t[i] for t in told], pa.int64()) for i in (1, 2, 3)), _one([t[4] for t in told], pa.string()),
-                       _one(list(seen), pa.int64()), _one(totals, pa.int64()), _one([len(t[5]) for t in told], pa.int32()), _one(at, pa.int32()), _one(n, pa.int64())]
+                       _one(pairs, pa.int64()), _one(totals, pa.int64()), _one([len(t[5]) for t in told], pa.int32()), _one(at, pa.int32()), _one(n, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
         for batch in (part for whole in batches for part in blocks(whole, "text", BLOCK_BYTES)):
-            id_type = batch.schema.field(0).type
-            for i, raw in zip(batch.column(0).to_pylist(), utf8_list(batch.column(1))):
-                try:
-                    text = (raw or b"").decode()
-                except UnicodeDecodeError:
-                    text = ""
-                n_a, n_b, n_groups, digest, links = align.document(text) if text else (0, 0, 0, "", {})
-                told.append((i, n_a, n_b, n_groups, digest, [seen.setdefault(p, len(seen)) for p in links], list(links.values())))
-                size += len(raw or b"")
-                if size >= BLOCK_BYTES or len(told) >= BLOCK_ROWS:
-                    yield flush()
-                    block, told, seen, size = block + 1, [], {}, 0
+            id_type, raw = batch.schema.field(0).type, utf8_list(batch.column(1))
+            told += [(i, *of) for i, of in zip(batch.column(0).to_pylist(), align.documents([*map(_decoded, raw)]))]
+            size += sum(len(t or b"") for t in raw)
+            if size >= BLOCK_BYTES or len(told) >= BLOCK_ROWS:
+                yield flush()
+                block, told, size = block + 1, [], 0
         if told:
             yield flush()
 

@@ -76,19 +76,19 @@ def test_equals_whole_texts(spark, monkeypatch):
 def test_pieces_of_long_texts(text, monkeypatch):
     """A text cut into short pieces has the same groups."""
     monkeypatch.setattr(align, "PIECE", 3)
-    monkeypatch.setattr(align, "LONGEST", 2)
+    monkeypatch.setattr(align, "REMEMBERED", 2)
+    monkeypatch.setattr(align, "RUN", 2)
     one = align.Aligner(align.default_byte_level(), align.default_model())
-    na, nb, ng, sha, links = one.document(text)
-    assert (0, na, nb, ng, sum(links.values()), sha) == (0, *(p := plain([(0, text)])[0])[1:5], p[7])
+    [(na, nb, ng, sha, _, links)] = one.documents([text])
+    assert (0, na, nb, ng, sum(links), sha) == (0, *(p := plain([(0, text)])[0])[1:5], p[7])
 
 
 def test_without_cuts():
     """A vocabulary that allows no cut is encoded whole."""
     one = align.Aligner(align.default_byte_level(), align.default_model())
-    cut = [one.document(t)[:4] for t in ODD if t]
-    one.cut = False
-    one.known.clear()
-    assert [one.document(t)[:4] for t in ODD if t] == cut
+    cut = [d[:4] for d in one.documents([t or "" for t in ODD])]
+    one.cut, one.known = False, align.Chunks()
+    assert [d[:4] for d in one.documents([t or "" for t in ODD])] == cut
 
 
 def test_groups():
