@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, bpe, chat, decontam, elkan, hmm, hnsw, langid, minhash, mixing, quality, warc
+from . import align, bpe, chat, decontam, elkan, hmm, hnsw, langid, minhash, mixing, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_warc": warc.op10_warc,
         "op11_elkan_clusters": elkan.op11_elkan_clusters,
         "op12_align_tokenizers": align.op12_align_tokenizers,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
