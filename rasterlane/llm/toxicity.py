@@ -16,7 +16,7 @@ Bounds: `most_rows` labelled documents of each class (by a hash of their ids) an
 
 Defined cases: null and empty texts have no occurrence and get the curve's least value; without labels scores are 0, with
 one class alone they are that class's share; null labels teach nothing, of an id's labels the greatest counts, and of rows that
-share an id the least text teaches; texts of any length are read whole, in pieces with their windows; repeated rows are each
+share an id the least text teaches; of rows that share the least hash of their five-word shingles (near copies) one teaches; texts of any length are read whole, in pieces with their windows; repeated rows are each
 scored; columns pass through `keep`; an empty table gives no rows.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -248,6 +249,16 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
         yield batch, [(t or b"").decode(errors="replace") for t in utf8_list(batch.column(batch.schema.get_field_index(column)))]
 
 
+def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of five words in a row, which near copies mostly share."""
+    for batch, texts in _texts(batches, "text"):
+        least = []
+        for text in texts:
+            w = text.lower().split()
+            least.append(min(zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "sketch"])
+
+
 def candidates(sample: DataFrame, terms: tuple, most: int, factor: float) -> list[tuple[str, bool, float]]:
     """(letters, mostly a whole word, logarithm of odds) of what marks toxic documents that hold none of the terms so far, best first."""
 
@@ -364,7 +375,10 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text_col: str =
     if not counts.get(1) or not counts.get(0):
         return ToxicityModel(curve=(9.0 if counts.get(1) else -1000.0, 0.0, 0.0))
     rows = docs.select(F.col(id_col).alias("_x_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "_x_id")
-    sample, path = written(rows.groupBy("_x_id").agg(F.min("y").alias("y"), F.min("text").alias("text")), "labelled")
+    rows = rows.groupBy("_x_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    # near copies would make the words of one document look like many documents' words: one of each sketch teaches
+    rows = rows.mapInArrow(_with_sketch, f"{rows.schema['_x_id'].simpleString().replace(':', ' ')}, y int, text string, sketch long")
+    sample, path = written(rows.groupBy("sketch", "y").agg(F.min_by("text", "_x_id").alias("text")), "labelled")
     terms, ordinary = calibrated(sample, learned_terms(sample, most_terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
