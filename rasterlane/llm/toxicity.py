@@ -387,7 +387,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text_col: str =
             got = [find.features(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], ["y", "most", "total"])
 
-    got = sample.select("y", "text").mapInArrow(run, "y int, most double, total double").orderBy("y", "most", "total").toPandas()  # 2 x most_rows at most
+    got = sample.select("y", "text").mapInArrow(run, "y int, most double, total double").toPandas().sort_values(["y", "most", "total"])  # 2 x most_rows at most
     drop_path(spark, path)
     y = got["y"].to_numpy(np.float64)
     if not 0 < y.sum() < len(y):
