@@ -4,6 +4,8 @@ Other codes are unsupported and give null, which callers report. UTM uses the us
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,24 +71,24 @@ def ground_distance(first: Column, second: Column) -> Column:
     return let(F.struct(first.alias("p"), second.alias("q")), of)
 
 
-def _points(t: Column, epsg: Column, *at: tuple[Column, Column]) -> Column:
+def _points(t: Column, system: Column, convert: Callable, *at: tuple[Column, Column]) -> Column:
     """Array of lon, lat at places (column, row) of an image."""
-    return let(F.struct(t.alias("t"), epsg.alias("epsg")), lambda v: F.transform(F.array(*[apply_affine(v["t"], c, r) for c, r in at]), lambda p: to_lonlat(p["x"], p["y"], v["epsg"])))
+    return let(F.struct(t.alias("t"), system.alias("system")), lambda v: F.transform(F.array(*[apply_affine(v["t"], c, r) for c, r in at]), lambda p: convert(p["x"], p["y"], v["system"])))
 
 
-def image_bounds(t: Column, width: Column, height: Column, epsg: Column) -> Column:
-    """Bounds of an image's corners."""
+def image_bounds(t: Column, width: Column, height: Column, system: Column, convert: Callable = to_lonlat, known: Callable = supported) -> Column:
+    """Bounds of an image's corners. The system is a code, or what else `convert` takes; `known` says whether it can be used."""
     zero = F.lit(0)
 
     def of(corners: Column) -> Column:
         lats, lons = F.transform(corners, lambda p: p["lat"]), F.transform(corners, lambda p: p["lon"])
         return F.struct(F.array_min(lats).alias("s"), F.array_min(lons).alias("w"), F.array_max(lats).alias("n"), F.array_max(lons).alias("e"))
 
-    return F.when(supported(epsg) & t.isNotNull(), let(_points(t, epsg, (zero, zero), (width, zero), (width, height), (zero, height)), of))
+    return F.when(known(system) & t.isNotNull(), let(_points(t, system, convert, (zero, zero), (width, zero), (width, height), (zero, height)), of))
 
 
-def image_gsd(t: Column, width: Column, height: Column, epsg: Column) -> Column:
+def image_gsd(t: Column, width: Column, height: Column, system: Column, convert: Callable = to_lonlat, known: Callable = supported) -> Column:
     """Metres a pixel at the image's centre: the mean, by product, of a step right and a step down."""
     x, y = width / 2, height / 2
     step = lambda p, i: ground_distance(F.element_at(p, 1), F.element_at(p, i))
-    return F.when(supported(epsg) & t.isNotNull(), let(_points(t, epsg, (x, y), (x + 1, y), (x, y + 1)), lambda p: F.sqrt(step(p, 2) * step(p, 3))))
+    return F.when(known(system) & t.isNotNull(), let(_points(t, system, convert, (x, y), (x + 1, y), (x, y + 1)), lambda p: F.sqrt(step(p, 2) * step(p, 3))))

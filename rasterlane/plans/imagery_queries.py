@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterlane.functions import geo, rules
+from rasterlane.functions import crs, geo, rules
 from rasterlane.operators import timeline
 from rasterlane.plans import object_queries
 from rasterlane.plans.bindings import POINTS, points, table
 from rasterlane.plans.point_queries import _TX, _TY
-from rasterlane.sources import captures, catalogs, georef, tiles
+from rasterlane.sources import captures, catalogs, georef, tiles, wkt
 
 C = F.col
 
@@ -98,6 +98,37 @@ def manual_georeference(spark, d):
     return p.select("id", "valid", F.bround("t.a", 6).alias("a"), F.bround("t.c", 6).alias("c"), F.bround("t.e", 6).alias("e"), F.bround("t.f", 6).alias("f"), C("s.crs").alias("crs"), C("s.gsd_m").alias("gsd_m"), F.element_at("s.bounds", 1).alias("south"))
 
 
+def national_grid(spark, d):
+    """Customers as points of the 3-degree grids of Türkiye, with and without zone numbers, in degrees."""
+    k = C("c_custkey")
+    zone, numbered = (k % 7).cast("int"), k % 2 == 1
+    x = C("c_acctbal").cast("double") * 10 + 500000 + F.when(numbered, (zone + 9) * 1000000.0).otherwise(0.0)
+    c = table(spark, d, "customer").select(k, x.alias("x"), (k % 600 * 1000 + 3980000).cast("double").alias("y"), F.when(numbered, 5269 + zone).otherwise(5253 + zone).cast("int").alias("epsg"))
+    c = c.select("c_custkey", "epsg", crs.to_lonlat(C("x"), C("y"), crs.from_epsg(C("epsg"))).alias("p"))
+    return c.select("c_custkey", "epsg", F.bround("p.lon", 8).alias("lon"), F.bround("p.lat", 8).alias("lat"))
+
+
+def conic_grid(spark, d):
+    """Customers as points of the European conic grid, in degrees."""
+    c = table(spark, d, "customer").select("c_custkey", (C("c_acctbal").cast("double") * 100 + 4000000).alias("x"), (C("c_custkey") % 2000 * 1000 + 2000000).cast("double").alias("y"))
+    c = c.select("c_custkey", crs.to_lonlat(C("x"), C("y"), crs.from_epsg(F.lit(3034))).alias("p"))
+    return c.select("c_custkey", F.bround("p.lon", 8).alias("lon"), F.bround("p.lat", 8).alias("lat"))
+
+
+def prj_systems(spark, d):
+    """Texts of .prj files of both WKT dialects that parts stand for, and what is read of them."""
+    k = C("p_partkey")
+    middle, east = (k % 40 * 3 - 60).cast("string"), (k % 9 * 100000 + 500000).cast("string")
+    start = lambda name, sphere: F.concat(F.lit('PROJCS["'), C("p_name"), F.lit(f'",GEOGCS["g",DATUM["{name}",SPHEROID["s",{sphere}]],PRIMEM["Greenwich",0],UNIT["Degree",0.0174532925199433]],PROJECTION["'))
+    rest = F.concat(F.lit('"],PARAMETER["Central_Meridian",'), middle, F.lit('],PARAMETER["False_Easting",'), east, F.lit('],PARAMETER["Scale_Factor",0.9996],UNIT["Meter",1]'))
+    esri = F.concat(start("D_WGS_1984", "6378137,298.257223563"), F.lit("Transverse_Mercator"), rest, F.lit("]"))
+    ogc = F.concat(start("European_Datum_1950", "6378388,297"), F.lit("Transverse_Mercator"), rest, F.lit(',AUTHORITY["EPSG","'), (k % 5000 + 2000).cast("string"), F.lit('"]]'))
+    text = F.when(k % 5 == 0, F.concat(start("D_WGS_1984", "6378137,298.257223563"), F.lit("Albers"), rest, F.lit("]"))).when(k % 5 == 1, ogc).when(k % 5 == 2, F.concat(F.lit("EPSG:"), (k % 7 + 5253).cast("string"))).when(k % 5 == 3, esri).otherwise(F.substring(esri, 1, 90))
+    c = wkt.system_of(text)
+    t = table(spark, d, "part").select("p_partkey", c.alias("c"))
+    return t.select("p_partkey", C("c.kind").alias("kind"), C("c.a").alias("a"), F.bround("c.lon0", 6).alias("lon0"), C("c.k0").alias("k0"), C("c.fe").alias("fe"), C("c.epsg").alias("epsg"), C("c.name").alias("name"), F.element_at("c.shift", 1).alias("shift_x"))
+
+
 def epsg_codes(spark, d):
     k = C("p_partkey")
     text = F.when(k % 6 == 0, F.concat(F.lit("EPSG:"), (32600 + k % 80).cast("string"))).when(k % 6 == 1, "4326").when(k % 6 == 2, C("p_brand")).when(k % 6 == 3, " epsg: 3857 ").when(k % 6 == 4, F.lit("2154"))
@@ -128,6 +159,22 @@ _TILES = f"""p AS (SELECT id, lat, lon, 17 AS zoom, {_G} AS g, {_R1} AS r1, {_R2
     m AS (SELECT id, count(*) FILTER (gone) AS missing, count(*) AS total FROM (SELECT id, tr, tc, bool_or(gone) AS gone FROM t GROUP BY ALL) GROUP BY id),
     n AS (SELECT id, bool_or(none) AS no_imagery FROM (SELECT id, epoch, bool_and(gone) AS none FROM t GROUP BY ALL) GROUP BY id)"""
 
+#: The usual series with the third flattening of GRS 80 put in, to the fourth order.
+_N = "(1 / 298.257222101 / (2 - 1 / 298.257222101))::DOUBLE"
+_GEODETIC_SQL = "degrees(chi + (2 * n - 2 * n^2 / 3 - 2 * n^3 + 116 * n^4 / 45) * sin(2 * chi) + (7 * n^2 / 3 - 8 * n^3 / 5 - 227 * n^4 / 45) * sin(4 * chi) + (56 * n^3 / 15 - 136 * n^4 / 35) * sin(6 * chi) + 4279 * n^4 / 630 * sin(8 * chi))"
+_TMERC_SQL = f"""WITH t AS (SELECT c_custkey, CAST(c_custkey % 7 AS INTEGER) AS zone, c_custkey % 2 = 1 AS numbered, CAST(c_acctbal AS DOUBLE) * 10 AS east, CAST(c_custkey % 600 * 1000 + 3980000 AS DOUBLE) AS y, {_N} AS n FROM customer),
+    s AS (SELECT *, y / r AS xi, east / r AS eta FROM (SELECT *, 6378137.0::DOUBLE / (1 + n) * (1 + n^2 / 4 + n^4 / 64) AS r FROM t)),
+    u AS (SELECT *, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta) - b4 * sin(8 * xi) * cosh(8 * eta) AS xi2,
+                 eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta) - b4 * cos(8 * xi) * sinh(8 * eta) AS eta2
+          FROM (SELECT *, n / 2 - 2 * n^2 / 3 + 37 * n^3 / 96 - n^4 / 360 AS b1, n^2 / 48 + n^3 / 15 - 437 * n^4 / 1440 AS b2, 17 * n^3 / 480 - 37 * n^4 / 840 AS b3, 4397 * n^4 / 161280 AS b4 FROM s))
+    SELECT c_custkey, CAST(CASE WHEN numbered THEN 5269 ELSE 5253 END + zone AS INTEGER) AS epsg, round_even(degrees(atan2(sinh(eta2), cos(xi2))) + 27 + 3 * zone, 8) AS lon, round_even({_GEODETIC_SQL}, 8) AS lat FROM (SELECT *, asin(sin(xi2) / cosh(eta2)) AS chi FROM u)"""
+_CONIC_SQL = f"""WITH e AS (SELECT {_N} AS n, sqrt(1 / 298.257222101 * (2 - 1 / 298.257222101))::DOUBLE AS e),
+    p AS (SELECT *, cos(radians(35)) / sqrt(1 - (e * sin(radians(35)))^2) AS m1, cos(radians(65)) / sqrt(1 - (e * sin(radians(65)))^2) AS m2,
+                 asinh(tan(radians(35))) - e * atanh(e * sin(radians(35))) AS q1, asinh(tan(radians(65))) - e * atanh(e * sin(radians(65))) AS q2, asinh(tan(radians(52))) - e * atanh(e * sin(radians(52))) AS q0 FROM e),
+    c AS (SELECT *, 6378137.0::DOUBLE * m1 / k * exp(k * q1) AS size FROM (SELECT *, (ln(m1) - ln(m2)) / (q2 - q1) AS k FROM p)),
+    t AS (SELECT c_custkey, n, k, size, CAST(c_acctbal AS DOUBLE) * 100 AS east, size * exp(-k * q0) - (CAST(c_custkey % 2000 * 1000 + 2000000 AS DOUBLE) - 2800000) AS north FROM customer, c)
+    SELECT c_custkey, round_even(degrees(atan2(east, north) / k) + 10, 8) AS lon, round_even({_GEODETIC_SQL}, 8) AS lat FROM (SELECT *, pi() / 2 - 2 * atan(exp(-ln(size / sqrt(east^2 + north^2)) / k)) AS chi FROM t)"""
+
 QUERIES = {
     "tile_scan": (tile_scan, f"WITH {_TILES} SELECT id, missing, total, no_imagery, CASE WHEN missing > 0 THEN missing || '/' || total END AS note FROM m JOIN n USING (id)"),
     "usable_pairs": (usable_pairs, f"WITH {_TILES} SELECT id, CASE WHEN NOT no_imagery THEN missing END AS zeroed, CASE WHEN no_imagery THEN 'no_imagery' END AS error FROM m JOIN n USING (id) WHERE no_imagery OR missing > 0"),
@@ -143,6 +190,12 @@ QUERIES = {
                CAST(CASE WHEN k % 3 > 0 THEN 32601 + k % 60 WHEN k % 2 = 0 THEN 4326 END AS INTEGER) AS epsg FROM v"""),
     "sidecar_choice": (sidecar_choice, "SELECT 'img/' || p_partkey AS stem, ' text ' || CASE WHEN p_partkey % 3 = 0 THEN 'JGW' WHEN p_partkey % 2 = 0 THEN 'tfw' WHEN p_partkey % 5 = 0 THEN 'pgw' END || ' ' AS world, CASE WHEN p_partkey % 7 = 0 THEN 'text prj' END AS prj FROM part"),
     "manual_georeference": (manual_georeference, f"SELECT id, lon - 1 >= -180 AND lon + 1 <= 180 AS valid, 0.015625::DOUBLE AS a, round_even(CAST(lon - 1 AS DOUBLE), 6) AS c, -0.015625::DOUBLE AS e, round_even(CAST(lat + 1 AS DOUBLE), 6) AS f, 'EPSG:4326' AS crs, 1.235::DOUBLE AS gsd_m, round_even(CAST(lat - 1 AS DOUBLE), 7) AS south FROM {POINTS}"),
+    "national_grid": (national_grid, _TMERC_SQL),
+    "conic_grid": (conic_grid, _CONIC_SQL),
+    "prj_systems": (prj_systems, """WITH t AS (SELECT p_partkey, p_name, p_partkey % 5 AS k, p_partkey % 40 * 3 - 60 AS lon0, p_partkey % 9 * 100000 + 500000 AS fe FROM part)
+        SELECT p_partkey, CASE WHEN k IN (1, 2, 3) THEN 'tmerc' END AS kind, CASE k WHEN 1 THEN 6378388.0 WHEN 2 THEN 6378137.0 WHEN 3 THEN 6378137.0 END::DOUBLE AS a, CAST(CASE k WHEN 1 THEN lon0 WHEN 2 THEN p_partkey % 7 * 3 + 27 WHEN 3 THEN lon0 END AS DOUBLE) AS lon0,
+               CAST(CASE k WHEN 1 THEN 0.9996 WHEN 2 THEN 1 WHEN 3 THEN 0.9996 END AS DOUBLE) AS k0, CAST(CASE k WHEN 1 THEN fe WHEN 2 THEN 500000 WHEN 3 THEN fe END AS DOUBLE) AS fe, CAST(CASE k WHEN 1 THEN p_partkey % 5000 + 2000 WHEN 2 THEN p_partkey % 7 + 5253 END AS INTEGER) AS epsg,
+               CASE WHEN k IN (1, 3) THEN p_name END AS name, CAST(CASE WHEN k = 1 THEN -84.1 END AS DOUBLE) AS shift_x FROM t"""),
     "epsg_codes": (epsg_codes, """WITH t AS (SELECT p_partkey, p_partkey % 6 AS k, 32600 + p_partkey % 80 AS utm FROM part)
         SELECT p_partkey, CAST(CASE k WHEN 0 THEN CASE WHEN utm BETWEEN 32601 AND 32660 THEN utm END WHEN 1 THEN 4326 WHEN 3 THEN 3857 END AS INTEGER) AS code,
                CASE k WHEN 0 THEN CASE WHEN utm NOT BETWEEN 32601 AND 32660 THEN 'epsg_unsupported' END WHEN 2 THEN 'epsg_invalid' WHEN 4 THEN 'epsg_unsupported' END AS error FROM t"""),

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlane.functions import geo, projection
+from rasterlane.functions import crs, geo, projection
+from rasterlane.sources import wkt
 from rasterlane.sources.shared import written
 
 #: Sidecar extensions in order of precedence, tag codes and key numbers.
@@ -99,24 +100,28 @@ def sidecars(files: DataFrame) -> DataFrame:
 def georeferences(images: DataFrame, files: DataFrame) -> DataFrame:
     """images (path, content, epsg given or null, width, height) with transform, epsg, source, error, bounds, gsd_m.
 
-    TIFF tags come first, then a world file, whose system is that given, that of the .prj (as EPSG code in its text), or degrees where
-    the numbers can be such. What has no usable system gets an error."""
+    TIFF tags come first, then a world file, whose system is that given, that of the .prj (WKT, PROJ string or code), or degrees where
+    the numbers can be such. What has no usable system gets an error. `system` is the struct of `functions.crs`."""
     i = images.withColumn("stem", stem(F.col("path"))).withColumn("tags", F.when(F.lower(extension(F.col("path"))).isin("tif", "tiff"), tiff_tags("content")))
     i = i.join(sidecars(files), "stem", "left")
     keys = F.when(F.col("tags.keys").isNotNull(), geo_keys(F.col("tags.keys"))).otherwise(F.create_map().cast("map<int,int>"))
     i = i.withColumn("keys", keys).withColumn("from_tiff", tiff_transform(F.col("tags.scale"), F.col("tags.tie"), F.col("tags.matrix"), F.col("keys"))).withColumn("from_world", world_file(F.col("world")))
-    tiff = F.col("from_tiff").isNotNull()
-    prj = F.regexp_extract("prj", r'(?i)EPSG["\s:,]+([0-9]{4,5})[^0-9]*$', 1).try_cast("int")
+    tiff, world = F.col("from_tiff").isNotNull(), F.col("world").isNotNull()
     degrees = (F.abs("from_world.c") <= 180) & (F.abs("from_world.f") <= 90)
-    code = F.when(tiff, tiff_epsg(F.col("keys"), F.col("epsg"))).when(F.col("world").isNotNull(), F.coalesce(F.col("epsg"), prj, F.when(F.col("prj").isNull() & degrees, 4326)))
+    i = i.withColumn("read", F.when(~tiff & F.col("epsg").isNull(), wkt.system_of(F.col("prj"))))
+    ending = F.regexp_extract("prj", r'(?i)EPSG["\s:,]+([0-9]{4,5})[^0-9]*$', 1).try_cast("int")  # of a text that is otherwise not understood
+    code = F.when(tiff, tiff_epsg(F.col("keys"), F.col("epsg"))).when(world, F.coalesce(F.col("epsg"), F.when(F.col("prj").isNull(), F.when(degrees, 4326)).when(F.col("read").isNull(), ending)))
     i = i.withColumn("transform", F.coalesce("from_tiff", "from_world")).withColumn("code", code)
-    error = F.when(F.col("transform").isNull() & F.col("world").isNotNull(), "world_file").when(F.col("transform").isNotNull() & F.col("code").isNull(), "crs_unknown").when(F.col("transform").isNotNull() & ~projection.supported(F.col("code")), "crs_unsupported")
+    i = i.withColumn("system", F.when(F.col("code").isNull(), F.col("read")).otherwise(crs.from_epsg(F.col("code"))))
+    error = F.when(F.col("transform").isNull() & world, "world_file").when(F.col("transform").isNotNull() & F.col("system").isNull(), F.when(F.col("code").isNull(), "crs_unknown").otherwise("crs_unsupported"))
     i = i.withColumn("error", error).withColumn("transform", F.when(F.col("error").isNull(), F.col("transform")))
-    i = i.withColumn("is_tiff", tiff).drop("stem", "tags", "keys", "from_tiff", "from_world", "world", "prj", "content", "epsg")
+    i = i.withColumn("is_tiff", tiff).drop("stem", "tags", "keys", "from_tiff", "from_world", "world", "prj", "content", "epsg", "read")
     i, _ = written(i, "georef")  # the projections below name the transform many times: it is not worked out anew each time
     source = F.when(F.col("transform").isNotNull(), F.when(F.col("is_tiff"), "geotiff").otherwise("worldfile"))
-    bounds = projection.image_bounds(F.col("transform"), F.col("width"), F.col("height"), F.col("code"))
-    return i.select(*[c for c in images.columns if c not in ("epsg", "content")], "transform", F.col("code").alias("epsg"), source.alias("source"), "error", bounds.alias("bounds"), projection.image_gsd(F.col("transform"), F.col("width"), F.col("height"), F.col("code")).alias("gsd_m"))
+    place = (F.col("transform"), F.col("width"), F.col("height"), F.col("system"))
+    number = F.coalesce("code", "system.epsg")
+    name = F.coalesce(F.concat(F.lit("EPSG:"), number.cast("string")), "system.name")
+    return i.select(*[c for c in images.columns if c not in ("epsg", "content")], "transform", number.alias("epsg"), source.alias("source"), "error", crs.image_bounds(*place).alias("bounds"), crs.image_gsd(*place).alias("gsd_m"), name.alias("crs_name"), "system")
 
 
 def pair_reference(pairs: DataFrame, least: float = 0.9) -> DataFrame:
