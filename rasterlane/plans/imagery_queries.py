@@ -9,7 +9,7 @@ from rasterlane.operators import timeline
 from rasterlane.plans import object_queries
 from rasterlane.plans.bindings import POINTS, points, table
 from rasterlane.plans.point_queries import _TX, _TY
-from rasterlane.sources import captures, catalogs, georef, tiles, wkt
+from rasterlane.sources import captures, catalogs, georef, jpeg, tiles, wkt
 
 C = F.col
 
@@ -129,6 +129,30 @@ def prj_systems(spark, d):
     return t.select("p_partkey", C("c.kind").alias("kind"), C("c.a").alias("a"), F.bround("c.lon0", 6).alias("lon0"), C("c.k0").alias("k0"), C("c.fe").alias("fe"), C("c.epsg").alias("epsg"), C("c.name").alias("name"), F.element_at("c.shift", 1).alias("shift_x"))
 
 
+
+def _supplier_tiles(spark, d):
+    """Tiles of both dates of every supplier's place, each a flat JPEG of a grey that its key tells; every seventh is missing and
+    every eleventh is not readable."""
+    k = C("s_suppkey")
+    p = table(spark, d, "supplier").select(k.alias("id"), (k % 120 - 60).cast("double").alias("lat"), (k % 340 - 170).cast("double").alias("lon"), (k % 3 + 1).cast("int").alias("grid_size"), F.lit("2014").alias("year_t1"), F.lit("2024").alias("year_t2"))
+    t = tiles.pair(p).withColumns({"number": C("ty") + C("tx") + C("epoch"), "grey": ((C("ty") + C("tx") + C("epoch")) % 97 + 60).cast("int")})
+    files = spark.range(60, 157).select(C("id").cast("int").alias("grey"), jpeg.jpeg_of(F.lit(256), F.lit(256), F.unhex(F.repeat(F.format_string("%02x", C("id").cast("int")), 3 * 256 * 256))).alias("file"))
+    file = F.when(C("number") % 11 == 0, F.lit("no image").cast("binary")).otherwise(C("file"))
+    return t.join(F.broadcast(files), "grey").select(C("id").alias("scene"), "epoch", "grid_size", "row", "col", "number", "grey", F.when(C("number") % 7 != 0, file).alias("content"))  # 97 files
+
+
+def tile_mosaic(spark, d):
+    """Images of both dates put together from tiles: size, grey at the middle of each tile in order, and how many are placeholders."""
+    b = tiles.mosaic(_supplier_tiles(spark, d).repartition(spark.sparkContext.defaultParallelism, "scene", "epoch", "row", "col"))  # few rows, much work
+    byte = lambda i: F.conv(F.hex(F.substring("data", 3 * 4 * (128 * 256 + 128) + i, 1)), 16, 10).cast("int")
+    sign, rest = byte(4), byte(3)  # of a float, the last byte first: exponent, and the leading bits of a whole number up to 255
+    level = F.when(sign == 0, 0).otherwise(F.floor((rest.bitwiseAND(127) + 128) / F.pow(F.lit(2.0), 134 - (sign * 2 + F.shiftright(rest, 7)))))
+    t = b.select("scene", "epoch", "h", "w", "is_placeholder", F.struct("y0", "x0", level.cast("int").alias("v")).alias("at"))
+    t = t.groupBy("scene", "epoch").agg(F.max("h").alias("h"), F.max("w").alias("w"), F.count_if("is_placeholder").alias("placeholders"), F.sort_array(F.collect_list("at")).alias("all"))
+    return t.select("scene", "epoch", "h", "w", "placeholders", F.array_join(F.transform("all", lambda x: x["v"]), ",").alias("greys"))
+
+
+
 def epsg_codes(spark, d):
     k = C("p_partkey")
     text = F.when(k % 6 == 0, F.concat(F.lit("EPSG:"), (32600 + k % 80).cast("string"))).when(k % 6 == 1, "4326").when(k % 6 == 2, C("p_brand")).when(k % 6 == 3, " epsg: 3857 ").when(k % 6 == 4, F.lit("2154"))
@@ -190,6 +214,11 @@ QUERIES = {
                CAST(CASE WHEN k % 3 > 0 THEN 32601 + k % 60 WHEN k % 2 = 0 THEN 4326 END AS INTEGER) AS epsg FROM v"""),
     "sidecar_choice": (sidecar_choice, "SELECT 'img/' || p_partkey AS stem, ' text ' || CASE WHEN p_partkey % 3 = 0 THEN 'JGW' WHEN p_partkey % 2 = 0 THEN 'tfw' WHEN p_partkey % 5 = 0 THEN 'pgw' END || ' ' AS world, CASE WHEN p_partkey % 7 = 0 THEN 'text prj' END AS prj FROM part"),
     "manual_georeference": (manual_georeference, f"SELECT id, lon - 1 >= -180 AND lon + 1 <= 180 AS valid, 0.015625::DOUBLE AS a, round_even(CAST(lon - 1 AS DOUBLE), 6) AS c, -0.015625::DOUBLE AS e, round_even(CAST(lat + 1 AS DOUBLE), 6) AS f, 'EPSG:4326' AS crs, 1.235::DOUBLE AS gsd_m, round_even(CAST(lat - 1 AS DOUBLE), 7) AS south FROM {POINTS}"),
+    "tile_mosaic": (tile_mosaic, f"""WITH p AS (SELECT s_suppkey AS scene, CAST(s_suppkey % 120 - 60 AS DOUBLE) AS lat, CAST(s_suppkey % 340 - 170 AS DOUBLE) AS lon, CAST(s_suppkey % 3 + 1 AS INTEGER) AS n FROM supplier),
+        o AS (SELECT *, CAST(floor((lon + 180) / 360 * 131072 - n / 2.0 + 0.5) AS BIGINT) AS x, CAST(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 131072 - n / 2.0 + 0.5) AS BIGINT) AS y FROM p),
+        t AS (SELECT scene, n, epoch, r.i AS r, c.i AS c, y + r.i + x + c.i + epoch AS number FROM o, (SELECT unnest(range(3)) AS i) r, (SELECT unnest(range(3)) AS i) c, (SELECT unnest(range(2)) AS epoch) WHERE r.i < n AND c.i < n)
+        SELECT scene, CAST(epoch AS INTEGER) AS epoch, CAST(max(n) * 256 AS INTEGER) AS h, CAST(max(n) * 256 AS INTEGER) AS w, count(*) FILTER (number % 7 = 0 OR number % 11 = 0) AS placeholders,
+               string_agg(CASE WHEN number % 7 = 0 OR number % 11 = 0 THEN 200 ELSE number % 97 + 60 END, ',' ORDER BY r, c) AS greys FROM t GROUP BY scene, epoch"""),
     "national_grid": (national_grid, _TMERC_SQL),
     "conic_grid": (conic_grid, _CONIC_SQL),
     "prj_systems": (prj_systems, """WITH t AS (SELECT p_partkey, p_name, p_partkey % 5 AS k, p_partkey % 40 * 3 - 60 AS lon0, p_partkey % 9 * 100000 + 500000 AS fe FROM part)

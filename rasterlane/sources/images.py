@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlane.operators import kernels
-from rasterlane.sources import georef, tiff
+from rasterlane.sources import georef, jpeg, tiff
 
 #: Names but those of TIFF files, which the image reader must not meet: it fails on damaged ones.
 NOT_TIFF = "{*[!fF],*.[gG][iI][fF],*.[jJ][fF][iI][fF]}"
@@ -33,10 +33,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sizes(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height; of TIFF files by their tags."""
-    other = spark.read.format("image").option("pathGlobFilter", NOT_TIFF).load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
-    tagged = spark.read.format("binaryFile").option("pathGlobFilter", tiff.NAMES).load(path).select("path", georef.tiff_tags("content").alias("t"))
-    return other.unionByName(tagged.select("path", "t.width", "t.height"))
+    """path, width, height of PNG, JPEG and TIFF files, by headers and tags; no pixel is decoded. Files that are no image are left out."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    kind = F.lower(georef.extension(F.col("path"))).isin("tif", "tiff")
+    tagged = files.where(kind).select("path", georef.tiff_tags("content").alias("t")).select("path", "t.width", "t.height")
+    other = files.where(~kind).select("path", jpeg.header_size(F.col("content")).alias("s")).select("path", "s.width", "s.height")
+    return other.where("width IS NOT NULL").unionByName(tagged)
 
 
 def resized(images: DataFrame, h: Column, w: Column, how: str) -> DataFrame:
@@ -111,7 +113,8 @@ def _opaque(data: pd.Series) -> pd.Series:
     return pd.Series([np.insert(np.frombuffer(d, np.uint8).reshape(-1, 3), 3, 255, 1).tobytes() for d in data])
 
 
-def previews(images: DataFrame, most: int = 2048) -> DataFrame:
-    """images (RGB) with a column preview, a PNG as data URI, whose longer side has `most` cells at most."""
+def previews(images: DataFrame, most: int = 2048, kind: str = "png") -> DataFrame:
+    """images (RGB) with a column preview, a data URI of a PNG or JPEG (quality 90), whose longer side has `most` cells at most."""
     small = scaled(images, F.least(F.lit(1.0), F.lit(most) / F.greatest("h", "w")))
-    return small.withColumn("preview", F.concat(F.lit("data:image/png;base64,"), F.base64(png_of("w", _opaque("data")))))
+    file = png_of("w", _opaque("data")) if kind == "png" else jpeg.jpeg_of("h", "w", "data")
+    return small.withColumn("preview", F.concat(F.lit(f"data:image/{kind};base64,"), F.base64(file)))

@@ -1,19 +1,22 @@
 """Tile grids read through a cache folder of files named {release}_{zoom}_{row}_{column}.jpg.
 
 What a grid needs is a relation of keys; it meets the cached files in a join, what is missing may be fetched by a function in tasks,
-spread over the cluster, and what stays missing is a flat placeholder with a flag. Fetched tiles are returned apart, to be added
+spread over the cluster, and what stays missing has a flag and no content; the mosaic makes a flat placeholder of it. Fetched tiles are returned apart, to be added
 to the cache; placeholders never are."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlane.functions import geo
-from rasterlane.sources import catalogs
+from rasterlane.operators import blocks
+from rasterlane.sources import catalogs, jpeg
 
 KEY = ["release_id", "zoom", "ty", "tx"]
 TILE, PLACEHOLDER = 256, 200
@@ -74,6 +77,55 @@ def placeholder() -> Column:
     return F.unhex(F.repeat(F.lit(f"{PLACEHOLDER:02X}"), 3 * TILE * TILE))
 
 
+def mosaic(tiles: DataFrame) -> DataFrame:
+    """Tiles (scene, epoch, grid_size, row, col, content) as the blocks of the images that they make up, in the columns of
+    operators.blocks, and is_placeholder, whether over nine tenths of a block are the placeholder's grey.
+
+    A tile is one block: no task holds more than a tile. Tiles without content and files that are not readable are the
+    placeholder; of tiles in another size the top left part counts, and what they leave open is black."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat = np.full((TILE, TILE, 3), PLACEHOLDER, np.float32)
+        for frame in frames:
+            data, grey = [], []
+            for content in frame["content"]:
+                x, block = jpeg.pixels_or_none(content), flat
+                if x is not None:
+                    block = np.zeros((TILE, TILE, 3), np.float32)
+                    block[: x.shape[0], : x.shape[1]] = x[:TILE, :TILE]
+                data.append(block.tobytes())
+                grey.append(float((block == PLACEHOLDER).all(2).mean()))
+            yield frame.drop(columns="content").assign(data=data, grey=grey)
+
+    side = (F.col("grid_size") * TILE).cast("int")
+    place = {"y0": F.col("row") * TILE, "x0": F.col("col") * TILE, "bh": F.lit(TILE), "bw": F.lit(TILE), "h": side, "w": side, "bands": F.lit(3)}
+    t = tiles.select(F.col("scene").cast("long").alias("scene"), F.col("epoch").cast("int").alias("epoch"), *[v.cast("int").alias(k) for k, v in place.items()], "content")
+    out = t.mapInPandas(run, blocks.SCHEMA + ", grey double")
+    return out.withColumn("is_placeholder", is_placeholder(F.col("grey"))).drop("grey")
+
+
+def stitched(tiles: DataFrame) -> DataFrame:
+    """Tiles as whole images: scene, epoch, h, w, bands, data (uint8, row by row). A request has few tiles (rules.valid_grid_size bounds
+    a side), so an image's size is bounded; larger areas stay blocks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        h, w = rows[0]["h"], rows[0]["w"]
+        out = np.full((h, w, 3), PLACEHOLDER, np.uint8)
+        for r in rows:
+            out[r["y0"] : r["y0"] + TILE, r["x0"] : r["x0"] + TILE] = np.frombuffer(r["data"], np.float32).reshape(TILE, TILE, 3)
+        return pa.table({"scene": pa.array([rows[0]["scene"]], pa.int64()), **{k: pa.array([v], pa.int32()) for k, v in (("epoch", rows[0]["epoch"]), ("h", h), ("w", w), ("bands", 3))}, "data": pa.array([out.tobytes()], pa.binary())})
+
+    return mosaic(tiles).select("scene", "epoch", "h", "w", "y0", "x0", "data").groupBy("scene", "epoch").applyInArrow(run, "scene long, epoch int, h int, w int, bands int, data binary")
+
+
+def without_imagery(tiles: DataFrame) -> DataFrame:
+    """Cells (scene, r, c) of tiles that are missing on either date."""
+    side = F.sequence(F.lit(0), F.lit(TILE - 1))
+    bad = invalid_cells(tiles, ["scene"]).select("scene", "row", "col", F.explode(side).alias("dr"))
+    return bad.select("scene", (F.col("row") * TILE + F.col("dr")).alias("r"), F.col("col"), F.explode(side).alias("dc")).select("scene", "r", (F.col("col") * TILE + F.col("dc")).alias("c"))
+
+
 def usable(tiles: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Tiles of the keys whose dates all have some imagery, and the other keys with an error."""
     none = tiles.groupBy(*key, "epoch").agg(F.every("is_missing").alias("none")).where("none").select(*key).distinct()
