@@ -82,7 +82,17 @@ def world_files(spark, d):
 
 _TITLES = ", ".join(f"'{x[1]}'" for x in catalogs.HOTSPOTS)
 
+def project_json(spark, d):
+    """What the store shows of JSON columns: texts of parts that are whole, broken off, empty or absent."""
+    k = C("p_partkey")
+    whole = F.to_json(F.struct(k.alias("part"), C("p_name").alias("name"), F.array(k, k + 1).alias("at")))
+    text = F.when(k % 5 == 0, F.expr("substring(whole, 1, length(whole) - 1)")).when(k % 5 == 1, "").when(k % 5 < 4, C("whole"))
+    t = projects.with_valid_json(table(spark, d, "part").withColumn("whole", whole).select("p_partkey", text.alias("stats"), F.concat(F.lit("["), C("p_size"), F.when(k % 3 == 0, ",").otherwise("]")).alias("coords")))
+    return t.select("p_partkey", F.variant_get(F.try_parse_json("stats"), "$.at[1]", "long").alias("second"), C("stats").isNull().alias("no_stats"), "coords")
+
+
 QUERIES = {
+    "project_json": (project_json, "SELECT p_partkey, CASE WHEN p_partkey % 5 IN (2, 3) THEN p_partkey + 1 END AS second, p_partkey % 5 IN (0, 4) AS no_stats, CASE WHEN p_partkey % 3 > 0 THEN '[' || p_size || ']' END AS coords FROM part"),
     "project_search": (project_search, "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_type AS description FROM part WHERE contains(lower(p_name), 'st') OR contains(lower(p_type), 'st')"),
     "project_list": (project_list, "WITH p AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS u FROM orders) SELECT id, row_number() OVER (ORDER BY u DESC, id) AS place, row_number() OVER (ORDER BY u DESC, id) <= 5 AS recent FROM p"),
     "project_scope": (project_scope, f"""WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, [{_TITLES}][p_partkey % {len(catalogs.HOTSPOTS)} + 1] AS location_name FROM part), t AS (SELECT *, lower(name || ' ' || location_name) AS x FROM p)

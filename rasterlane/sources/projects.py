@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlane.sources.shared import written
+from rasterlane.sources.shared import drop_path, written
 
 _TEXT = ("id", "name", "description", "created_at", "updated_at", "created_at_formatted", "updated_at_formatted", "source_type", "location_name", "year_t1", "year_t2", "thumbnail_url", "coords", "stats", "results_data")
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _TEXT] + [T.StructField("is_shared", T.BooleanType()), T.StructField("zoom", T.IntegerType())])
@@ -108,42 +111,108 @@ def prepared(rows: DataFrame, now: Column | None = None) -> DataFrame:
     return rows.select(*[out.get(f.name, text(f.name, "")).cast(f.dataType).alias(f.name) for f in SCHEMA.fields])
 
 
-class ProjectStore:
-    """Versions of the table in a folder; each change writes the next one, readers take the last that is complete."""
+JSON_COLUMNS = ("coords", "stats", "results_data")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = lambda p: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(s.getPath().getName()[1:]) for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getPath().getName()[1:].isdigit() and done(s.getPath()))
+def with_valid_json(rows: DataFrame) -> DataFrame:
+    """Rows whose JSON columns are null where their text cannot be parsed; empty texts stay."""
+    return rows.withColumns({c: F.when((F.col(c) == "") | F.try_parse_json(c).isNotNull(), F.col(c)) for c in JSON_COLUMNS if c in rows.columns})
 
-    def all(self) -> DataFrame:
-        v = self._versions()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{v[-1]}") if v else self.spark.createDataFrame([], SCHEMA)
 
-    def _put(self, rows: DataFrame) -> None:
-        v = self._versions()
-        rows.write.parquet(f"{self.path}/v{v[-1] + 1 if v else 1}")
+class Conflict(RuntimeError):
+    """Others have changed the store each time that a change was tried."""
+
+
+class ProjectStore:
+    """Versions of the table in a folder. A change writes a data folder of its own and then the next commit file, which names it and
+    which only one writer can make; who comes late applies the change to what is new. Readers take the last commit, so a write
+    that breaks off leaves nothing but a folder that `clean` removes."""
+
+    def __init__(self, spark: SparkSession, path: str, tries: int = 5):
+        self.spark, self.path, self.tries = spark, path.rstrip("/"), tries
+        self._file = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._file(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._file(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _commits(self) -> dict[int, str]:
+        """Data folder of each version; a commit file that is still empty does not count. Folders v1, v2, ... are of stores without
+        commit files."""
+        out = {int(n[1:]): n for n in self._names(self.path) if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._file(f"{self.path}/{n}/_SUCCESS"))}
+        for n in self._names(f"{self.path}/_commits"):
+            if n.isdigit():
+                stream = self._fs.open(self._file(f"{self.path}/_commits/{n}"))
+                try:
+                    name = bytes(stream.readAllBytes()).decode()
+                finally:
+                    stream.close()
+                if name.endswith("\n"):
+                    out[int(n)] = name.strip()
+        return out
+
+    def _read(self, commits: dict[int, str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{commits[max(commits)]}") if commits else self.spark.createDataFrame([], SCHEMA)
+
+    def all(self) -> DataFrame:
+        return self._read(self._commits())
+
+    def _committed(self, version: int, name: str) -> bool:
+        """Whether the commit file could be made."""
+        at = self._file(f"{self.path}/_commits/{version:012d}")
+        if self._fs.exists(at):
+            return False
+        try:
+            stream = self._fs.create(at, False)
+        except Exception as e:  # another writer was faster
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
+        stream.write(bytearray(f"{name}\n".encode()))
+        stream.close()
+        return True
+
+    def _change(self, of: Callable[[DataFrame], DataFrame]) -> None:
+        """The next version is what `of` makes of the last."""
+        for _ in range(self.tries):
+            commits = self._commits()
+            name = f"data-{uuid.uuid4().hex}"
+            of(self._read(commits)).write.parquet(f"{self.path}/{name}")
+            if self._committed(max(commits, default=0) + 1, name):
+                return
+            drop_path(self.spark, f"{self.path}/{name}")
+        raise Conflict(f"{self.tries} tries")
+
+    def clean(self, keep: int = 10) -> None:
+        """Removes all versions but the last `keep`, and data without a commit. No change may be under way."""
+        commits = self._commits()
+        kept = set(sorted(commits)[-keep:])
+        names = {commits[v] for v in kept}
+        for n in self._names(self.path):
+            if (n.startswith("data-") or n[:1] == "v" and n[1:].isdigit()) and n not in names:
+                drop_path(self.spark, f"{self.path}/{n}")
+        for n in self._names(f"{self.path}/_commits"):
+            if n.isdigit() and int(n) not in kept:
+                drop_path(self.spark, f"{self.path}/_commits/{n}")
 
     def save(self, rows: DataFrame) -> None:
-        fresh, _ = written(prepared(rows), "projects")  # ids are drawn once
-        self._put(upserted(self.all(), fresh))
+        fresh, path = written(prepared(rows), "projects")  # ids are drawn once
+        self._change(lambda now: upserted(now, fresh))
+        drop_path(self.spark, path)
 
     def delete(self, id_: str) -> bool:
         """Whether there was one."""
         found = not self.get(id_).isEmpty()
         if found:
-            self._put(self.all().where(F.col("id") != id_))
+            self._change(lambda now: now.where(F.col("id") != id_))
         return found
 
     def clear(self) -> None:
-        self._put(self.spark.createDataFrame([], SCHEMA))
+        self._change(lambda now: now.where(F.lit(False)))
 
     def get(self, id_: str) -> DataFrame:
-        return self.all().where(F.col("id") == id_)
+        return with_valid_json(self.all().where(F.col("id") == id_))
 
     def list(self, text: str | None = None) -> DataFrame:
-        return search(self.all().drop("results_data"), text).orderBy(*newest_first())
+        return with_valid_json(search(self.all().drop("results_data"), text)).orderBy(*newest_first())

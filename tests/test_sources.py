@@ -116,6 +116,47 @@ def test_project_store(spark, tmp_path):
     assert s.all().count() == 0
 
 
+def test_project_store_commits(spark, tmp_path, monkeypatch):
+    """A write that breaks off, a commit file without its end, and a writer who comes in between."""
+    path = f"file://{tmp_path}/p"
+    s = projects.ProjectStore(spark, path)
+    one = lambda i, name: spark.createDataFrame([(i, name, "{bad", '{"k": 1}')], "id string, name string, stats string, coords string")
+    s.save(one("a", "A"))
+    (tmp_path / "p" / "data-broken").mkdir()
+    (tmp_path / "p" / "_commits" / "000000000002").write_text("data-bro")  # never finished
+    assert [r.name for r in s.all().collect()] == ["A"]
+    (tmp_path / "p" / "_commits" / "000000000002").unlink()
+    r = s.get("a").first()
+    assert r.stats is None and r.coords == '{"k": 1}' and s.all().first().stats == "{bad"
+
+    other, real, calls = projects.ProjectStore(spark, path), s._committed, []
+
+    def late(version, name):
+        if not calls:
+            calls.append(version)
+            other.save(one("b", "B"))  # commits the same version first
+        return real(version, name)
+
+    monkeypatch.setattr(s, "_committed", late)
+    s.save(one("c", "C"))
+    assert calls == [2] and sorted(r.id for r in s.all().collect()) == ["a", "b", "c"] and max(s._commits()) == 3
+    monkeypatch.setattr(s, "_committed", lambda *a: False)
+    with pytest.raises(projects.Conflict):
+        s.clear()
+    assert s.all().count() == 3
+    monkeypatch.undo()
+    s.clean(keep=1)
+    assert [*s._commits()] == [3] and len([*(tmp_path / "p").glob("data-*")]) == 1 and s.all().count() == 3
+
+
+def test_project_store_reads_older_folders(spark, tmp_path):
+    s = projects.ProjectStore(spark, f"file://{tmp_path}/p")
+    projects.prepared(spark.createDataFrame([("a", "A")], "id string, name string")).write.parquet(f"file://{tmp_path}/p/v4")
+    (tmp_path / "p" / "v5").mkdir()  # broke off
+    s.save(spark.createDataFrame([("b", "B")], "id string, name string"))
+    assert sorted(r.id for r in s.all().collect()) == ["a", "b"] and max(s._commits()) == 5
+
+
 def test_exports(spark, tmp_path):
     r = spark.createDataFrame([(1, "new", None, 2.5)], "id int, type string, area_m2 double, confidence_pct double")
     doc = json.loads(export.geojson(r).first().geojson)
