@@ -20,6 +20,7 @@ from rasterlane.sources import catalogs, jpeg
 
 KEY = ["release_id", "zoom", "ty", "tx"]
 TILE, PLACEHOLDER = 256, 200
+AT_ONCE = 16  # tiles whose pixels a task holds at once, 0.8 MB each
 ANALYSIS_ZOOM = 17
 
 
@@ -86,7 +87,7 @@ def mosaic(tiles: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat = np.full((TILE, TILE, 3), PLACEHOLDER, np.float32)
-        for frame in frames:
+        for frame in (whole.iloc[i : i + AT_ONCE] for whole in frames for i in range(0, len(whole), AT_ONCE)):
             data, grey = [], []
             for content in frame["content"]:
                 x, block = jpeg.pixels_or_none(content), flat
