@@ -7,11 +7,11 @@ lock step. The beam starts narrow, at every size of shard; a query whose links f
 does the whole block while an audit of some of its queries against all of the shard finds a link missing. Beams double until both
 are content; one that has become as wide as the shard holds all of it, and is scored as one matrix product. Candidates are confirmed
 by cosine in double precision. A task passes on, for each query, the number of vectors that it links to, and of the links only a
-spanning forest, from which components are found.
+spanning forest, from which components are found. A class has a number of its own; its smallest id goes with it and names components.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite number links with nothing and stays; so does a null
-id, whose component is null; vectors of different lengths do not link; repeated rows count as vectors of their own, equal
-vectors link; an empty table gives no rows; other columns are left out. Ids are whole numbers.
+id, whose component is null; vectors of different lengths do not link; repeated rows, and rows that share an id, count as vectors of their own:
+equal vectors link, vectors of one id do so only if they are near, and two components can then bear one name; an empty table gives no rows; other columns are left out. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlane.operators.graph import components
+from rasterlane.sources.shared import drop_path
 
 from .common import table, written
 
@@ -151,11 +152,13 @@ class Graph:
         return near, sim
 
 
-def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, cut: float, beam: int = 32, audited: int = 64, seed: int = 1) -> tuple[np.ndarray, np.ndarray, dict]:
+def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, cut: float, beam: int = 32, audited: int = 64, seed: int = 1, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
     """Pairs (query, node) with cosine >= cut in double precision, and what the search did. exact, q: unit rows. Beams widen as the
     module says. Of the queries of every block, `audited` are held against the whole shard at each width: those that come
-    closest to a node, where links are likeliest, and as many by chance."""
+    closest to a node, where links are likeliest, and as many by chance. own: the node that a query itself is (-1: none); it is
+    found with ease, so audits leave it out."""
     n, rng = len(exact), np.random.default_rng(seed)
+    own = np.full(len(q), -1) if own is None else own
     out: list[tuple[np.ndarray, np.ndarray]] = []
     did = {"searched": 0, "whole": 0, "audited_links": 0, "audit_found": 0, "widest": 0}
     slack = cut - 1e-4  # of cosines in single precision
@@ -183,10 +186,14 @@ def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, cut: float, beam: int
             a, b = a[ok], b[ok]
             full = hit.sum(1) > width // 2  # in a dense place more may lie beyond what the beam has come to
             rest = np.flatnonzero(~full)
-            close = rest[np.argsort(-sim[rest, 0], kind="stable")[: audited // 2]]
+            nearest = np.where(near[rest] == own[todo[rest], None], -3, sim[rest]).max(1, initial=-3)
+            close = rest[np.argsort(-nearest, kind="stable")[: audited // 2]]
             some = np.union1d(close, rng.choice(rest, min(audited // 2, len(rest)), replace=False)) if len(rest) else rest
-            want = (q[todo[some]] @ exact.T >= cut).sum(1)
-            got = np.bincount(a, minlength=len(todo))[some]
+            all_links = q[todo[some]] @ exact.T >= cut
+            self_ = np.flatnonzero(own[todo[some]] >= 0)
+            all_links[self_, own[todo[some][self_]]] = False
+            want = all_links.sum(1)
+            got = np.bincount(a[b != own[todo[a]]], minlength=len(todo))[some]
             did["audited_links"] += int(want.sum())
             did["audit_found"] += int(got.sum())
             width *= 2
@@ -226,7 +233,7 @@ def near_duplicates(vectors: DataFrame, cut: float = 0.95, id_col: str = "vec_id
     """vec_id, n_links, component_id, kept of every row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
-    classes, _ = written(rows.where(fine).groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("times")).withColumn("dim", F.size("v")), "classes")
+    classes, _ = written(rows.where(fine).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("times")).withColumns({"dim": F.size("v"), "node": F.monotonically_increasing_id()}), "classes")
     n = classes.count()
     shards, parts = max(least_shards, math.ceil(n / shard_rows)), max(1, math.ceil(n / block_rows))
     members = classes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
@@ -235,37 +242,44 @@ def near_duplicates(vectors: DataFrame, cut: float = 0.95, id_col: str = "vec_id
         x = _matrix(t.column("v"))
         g = Graph(unit(x))
         blob = lambda y: pa.array([y.tobytes()], pa.binary())
-        return pa.table({"dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "node": blob(t.column("node").to_numpy()), "times": blob(t.column("times").to_numpy()), "x": blob(x), "layers": pa.array([[y.tobytes() for y in g.layers]], pa.list_(pa.binary()))})
+        return pa.table({"dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "id": blob(t.column("id").to_numpy()), "node": blob(t.column("node").to_numpy()), "times": blob(t.column("times").to_numpy()), "x": blob(x), "layers": pa.array([[y.tobytes() for y in g.layers]], pa.list_(pa.binary()))})
 
-    built, _ = written(members.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, node binary, times binary, x binary, layers array<binary>"), "graphs")
+    built, graphs = written(members.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, id binary, node binary, times binary, x binary, layers array<binary>"), "graphs")
     numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = built.withColumn("part", numbers(parts))
     right = classes.withColumns({"part": F.pmod(F.xxhash64("node", F.lit("part")), F.lit(parts)).cast("int")}).withColumn("shard", numbers(shards))
 
     def query(shard: pa.Table, part: pa.Table) -> pa.Table:
-        kinds = {"node": pa.int64(), "links": pa.int64(), "v": pa.int64()}
+        kinds = {k: pa.int64() for k in ("node", "id", "links", "v", "v_id")}
         if not shard.num_rows or not part.num_rows:
             return pa.table({k: pa.array([], x) for k, x in kinds.items()})
         of = lambda name, kind: np.frombuffer(shard.column(name)[0].as_py(), kind)
-        node, times = of("node", np.int64), of("times", np.int64)
+        node, ids, times = of("node", np.int64), of("id", np.int64), of("times", np.int64)
         exact = unit(of("x", np.float64).reshape(len(node), -1))
         g = Graph.__new__(Graph)
         g.x, g.layers = exact.astype(np.float32), [np.frombuffer(y, np.int32).reshape(len(node), -1) for y in shard.column("layers")[0].as_py()]
         mine = part.column("node").to_numpy()
-        a, b, _ = linked(g, exact, unit(_matrix(part.column("v"))), cut)
+        order = np.argsort(node)
+        at = order[np.minimum(np.searchsorted(node, mine, sorter=order), len(node) - 1)]
+        a, b, _ = linked(g, exact, unit(_matrix(part.column("v"))), cut, own=np.where(node[at] == mine, at, -1))
         other = mine[a] != node[b]
         a, b = a[other], b[other]
         links = np.bincount(a, times[b], minlength=len(mine)).astype(np.int64)
         u, v = forest(mine[a], node[b])
-        counted = links > 0
-        return pa.table({"node": pa.array(np.concatenate([mine[counted], u]), pa.int64()), "links": pa.array(np.concatenate([links[counted], np.zeros(len(u), np.int64)]), pa.int64()),
-                         "v": pa.array([None] * int(counted.sum()) + v.tolist(), pa.int64())})
+        known, first = np.unique(np.concatenate([mine, node]), return_index=True)
+        id_of = lambda x: np.concatenate([part.column("id").to_numpy(), ids])[first[np.searchsorted(known, x)]]
+        counted = np.flatnonzero(links > 0)
+        none, heads = [None] * len(counted), np.concatenate([mine[counted], u])
+        cols = {"node": heads, "id": id_of(heads), "links": np.concatenate([links[counted], np.zeros(len(u), np.int64)]), "v": none + v.tolist(), "v_id": none + id_of(v).tolist()}
+        return pa.table({k: pa.array(cols[k], x) for k, x in kinds.items()})
 
     keys = ["dim", "shard", "part"]
-    found, _ = written(left.groupBy(*keys).cogroup(right.select(*keys, "node", "v").groupBy(*keys)).applyInArrow(query, "node long, links long, v long"), "found")
+    found, _ = written(left.groupBy(*keys).cogroup(right.select(*keys, "node", "id", "v").groupBy(*keys)).applyInArrow(query, "node long, id long, links long, v long, v_id long"), "found")
+    drop_path(vectors.sparkSession, graphs)
     counts = found.where(F.col("v").isNull()).groupBy("node").agg(F.sum("links").alias("links"))
-    labels = components(found.where(F.col("v").isNotNull()).select(F.col("node").alias("u"), "v"))
-    told = classes.join(counts, "node", "left").join(labels, "node", "left").select("v", "times", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
+    named = components(found.where(F.col("v").isNotNull()).select(F.struct("id", "node").alias("u"), F.struct(F.col("v_id").alias("id"), F.col("v").alias("node")).alias("v")))
+    labels = named.select("node.node", F.col("label.id").alias("label"))
+    told = classes.join(counts, "node", "left").join(labels, "node", "left").select("v", "times", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "id").alias("label"))
     out = rows.join(told, "v", "left")
     own = F.coalesce("label", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce(F.col("links") + F.col("times") - 1, F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))

@@ -121,6 +121,38 @@ def test_embedding_links(spark):
     assert hnsw.near_duplicates(d.where("vec_id < 0")).count() == 0
 
 
+def test_embedding_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(4)
+    heads = rng.standard_normal((40, 8))
+    vectors = np.concatenate([heads, heads + 0.02 * rng.standard_normal((40, 8)), heads[:5]])
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [1.0, 0.001, 0.0]), (7, [0.001, 1.0, 0.0])]
+    rows += [(int(i), v.tolist()) for i, v in zip(rng.integers(100, 130, len(vectors)), vectors)]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=32).collect()
+    n = len(rows)
+    u = [hnsw.unit(np.array([v]))[0] for _, v in rows]
+    near = np.array([[len(u[i]) == len(u[j]) and float(u[i] @ u[j]) >= 0.95 for j in range(n)] for i in range(n)])
+    reach = near.copy()
+    for k in range(n):
+        reach |= reach[:, [k]] & reach[[k]]
+    want = [(rows[i][0], int(near[i].sum()) - 1, min(rows[j][0] for j in range(n) if reach[i, j])) for i in range(n)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(want)
+    assert [w[1] for w in want[:6]] == [1] * 6 and all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_audits_leave_out_the_query_itself():
+    rng = np.random.default_rng(8)
+    heads = rng.standard_normal((600, 16))
+    x = hnsw.unit(np.concatenate([heads, heads + 0.01 * rng.standard_normal(heads.shape)]))
+    a, b, did = hnsw.linked(hnsw.Graph(x), x, x, 0.95, own=np.arange(len(x)))
+    assert {(i, j) for i, j in zip(a, b) if i != j} == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95)) if i != j}
+    assert 0 < did["audited_links"] <= did["audit_found"] * 1.1
+    lost = hnsw.Graph(x)
+    for layer in lost.layers:
+        layer[:] = -1  # nothing can be reached: the beams must grow to the whole shard
+    a, b, did = hnsw.linked(lost, x, x, 0.95, own=np.arange(len(x)))
+    assert did["whole"] == len(x) and len(a) == int((x @ x.T >= 0.95).sum())
+
+
 def test_graph_recall():
     rng = np.random.default_rng(0)
     x = hnsw.unit(rng.standard_normal((1500, 24)))
