@@ -9,7 +9,7 @@ from rasterlane.sources.shared import drop_path, written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: u, v long. node and label (its component's smallest node) of every node that has a link.
+    """links: u, v of one ordered type, numbers or structs. node and label (its component's smallest node) of every node that has a link.
 
     Large-star and small-star steps by turns: every node's larger neighbours, then the node and its smaller ones, are hung on the
     smallest neighbour, until each component is a star. Minima are summed by key before they are joined to the links, so that a
