@@ -1,14 +1,18 @@
-"""Outlines of objects, and cells of polygons. An object's cells meet in one row; objects are independent of each other."""
+"""Outlines of objects, and cells of polygons.
+
+`outline_points` numbers the corners of an object of any size: pieces of its border are traced inside blocks and put in order by
+list ranking. `outlines` gives rings as arrays, for objects whose cells fit a row. Polygons are filled row by row in the JVM."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlane.operators import kernels
+from rasterlane.sources.shared import drop_path, written
 
 POINT = T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])
 RING = T.ArrayType(POINT)
@@ -60,21 +64,142 @@ def smallest_rectangle(rings: pd.Series) -> pd.Series:
 
 
 def filled(rings: DataFrame, key: list[str]) -> DataFrame:
-    """key, r, c: the cells of each ring inside the image (h, w), its border included."""
-    @F.pandas_udf(RING)
-    def run(points: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-        def one(p, h, w):
-            r = _ring(p)
-            if not r:
-                return []
-            x0, y0 = max(0, min(x for x, _ in r)), max(0, min(y for _, y in r))
-            x1, y1 = min(w - 1, max(x for x, _ in r)), min(h - 1, max(y for _, y in r))
-            if x1 < x0 or y1 < y0:
-                return []
-            on = kernels.filled([(x - x0, y - y0) for x, y in r], y1 - y0 + 1, x1 - x0 + 1)
-            return _points([(x + x0, y + y0) for y, x in np.argwhere(on)])
-
-        return pd.Series([one(*v) for v in zip(points, h, w)])
-
-    at = rings.select(*key, "h", "w", F.explode(run("ring", "h", "w")).alias("p"))
-    return at.select(*key, "h", "w", F.col("p.y").alias("r"), F.col("p.x").alias("c"))
+    """key, h, w, r, c: the cells of each ring (column ring) inside the image (h, w): centres inside by the even-odd rule, and the border.
+
+    Every side of a ring gives its crossing with each row of cells, half open; crossings of a row are sorted, and each odd one opens a
+    span that the next one closes. So a ring is as many groups as it has rows. A null or empty ring has no cells."""
+    at = [*key, "h", "w"]
+    n, v = F.size("ring"), lambda i: F.element_at("ring", i.cast("int"))
+    sides = rings.where(n > 0).select(*at, F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(v(i).alias("a"), v(i % n + 1).alias("b")))).alias("_s"))
+    whole = lambda p, f: F.col(f"_s.{p}.{f}").cast("long")
+    sides = sides.select(*at, whole("a", "x").alias("_x0"), whole("a", "y").alias("_y0"), whole("b", "x").alias("_x1"), whole("b", "y").alias("_y1"))
+    top, end = F.greatest(F.least("_y0", "_y1"), F.lit(0)), F.least(F.greatest("_y0", "_y1"), F.col("h")) - 1
+    rows = sides.where(end >= top).withColumn("_y", F.explode(F.sequence(top, end)))
+    cross = rows.select(*at, "_y", (F.col("_x0") + (F.col("_y") - F.col("_y0")) * (F.col("_x1") - F.col("_x0")) / (F.col("_y1") - F.col("_y0"))).alias("_x"))
+    line = Window.partitionBy(*at, "_y").orderBy("_x")
+    spans = cross.select(*at, "_y", F.ceil("_x").alias("_from"), (F.ceil(F.lead("_x").over(line)) - 1).alias("_to"), F.row_number().over(line).alias("_i")).where("_i % 2 = 1")
+    spans = spans.select(*at, "_y", F.greatest("_from", F.lit(0)).alias("_from"), F.least("_to", F.col("w") - 1).alias("_to")).where("_to >= _from")
+    inside = spans.select(*at, F.col("_y").alias("r"), F.explode(F.sequence("_from", "_to")).alias("c"))
+    steps = F.greatest(F.abs(F.col("_x1") - F.col("_x0")), F.abs(F.col("_y1") - F.col("_y0")), F.lit(1))
+    t = F.when(F.col("_i") == F.col("_n"), 1.0).otherwise(F.col("_i") * (1.0 / F.col("_n")))
+    dots = sides.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))))
+    border = dots.select(*at, *[F.rint(F.col(f"_{q}0") + (F.col(f"_{q}1") - F.col(f"_{q}0")) * t).cast("long").alias(o) for q, o in (("y", "r"), ("x", "c"))])
+    border = border.where("r >= 0 AND c >= 0 AND r < h AND c < w")
+    return inside.unionByName(border).withColumns({"r": F.col("r").cast("int"), "c": F.col("c").cast("int")}).distinct()
+
+
+#: Directions of the eight neighbours as (row, column), clockwise from the right.
+AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+
+def _edge(r, c, d):
+    """The number of the step that reaches cell (r, c) in direction d; r below 2^31, c below 2^28."""
+    return (r << 31) | (c << 3) | d
+
+
+def border_pieces(r: np.ndarray, c: np.ndarray, by: int, bx: int, size: int) -> list[dict]:
+    """Pieces of borders in a block, from the set cells within two cells of it.
+
+    The step from a set cell to a set neighbour is followed by that to the first set cell clockwise from where it came. This pairs
+    steps one to one, so they fall into cycles; those inside four set cells in a square are left out. A step belongs to the block of
+    the cell it reaches. A piece begins at a step from outside, or at one that an outline may start with: from a cell that has no
+    set cell before it, to its first neighbour. It has the number of its first step (node), of the step after its last (next), its corners
+    in order (the cells left by a turning step), and where an outline may start, that cell (row, column)."""
+    y0, x0 = by * size, bx * size
+    on = np.zeros((size + 6, size + 6), bool)  # three cells around the block: set ones reach two
+    on[r - y0 + 3, c - x0 + 3] = True
+    roll = lambda y, x, d: on[y + AROUND[d][0], x + AROUND[d][1]]
+    qs, ds = [], []
+    for d, (i, j) in enumerate(AROUND):
+        y, x = np.nonzero(on[3:-3, 3:-3] & on[3 - i : size + 3 - i, 3 - j : size + 3 - j])
+        y, x = y + 3, x + 3
+        py, px = y - i, x - j
+        square = roll(py, px, (d - 1) % 8) & roll(py, px, (d + 1) % 8) if d % 2 else roll(py, px, (d - 2) % 8) & roll(y, x, (d - 2) % 8)
+        keep = ~square
+        qs.append(np.stack([y[keep], x[keep]], 1))
+        ds.append(np.full(int(keep.sum()), d))
+    q, d = np.concatenate(qs), np.concatenate(ds)
+    if not len(q):
+        return []
+    step = np.array(AROUND)
+    p = q - step[d]
+    near = lambda at, way: on[at[:, 0] + step[way, 0], at[:, 1] + step[way, 1]]
+    ahead, behind = np.full(len(q), -1), np.full(len(q), -1)
+    for k in range(1, 9):
+        way = (d + 4 + k) % 8
+        ahead = np.where((ahead < 0) & near(q, way), way, ahead)
+        way = (d - k) % 8
+        behind = np.where((behind < 0) & near(p, way), way, behind)
+    turns = (behind + 4) % 8 != d
+    first = np.full(len(q), 8)
+    for way in range(3, -1, -1):
+        first = np.where(near(p, np.full(len(q), way)), way, first)
+    free = ~np.any([near(p, np.full(len(q), way)) for way in (4, 5, 6, 7)], 0)
+    may_start = free & (first == d)
+    foreign = (p < 3).any(1) | (p >= size + 3).any(1)
+    head = may_start | foreign
+    n = q + step[ahead]
+    place = lambda at: (at[:, 0].astype(np.int64) + y0 - 3, at[:, 1].astype(np.int64) + x0 - 3)
+    number, after = _edge(*place(q), d), _edge(*place(n), ahead)
+    order = np.argsort(number)
+    to = order[np.minimum(np.searchsorted(number, after, sorter=order), len(order) - 1)]
+    inner = number[to] == after
+    pr, pc = place(p)
+    out = []
+    for h in np.flatnonzero(head).tolist():
+        e, corners = h, []
+        while True:
+            if turns[e]:
+                corners.append({"x": int(pc[e]), "y": int(pr[e])})
+            if not inner[e] or head[to[e]]:
+                break
+            e = int(to[e])
+        out.append({"node": int(number[h]), "next": int(after[e]), "corners": corners, "start": {"r": int(pr[h]), "c": int(pc[h])} if may_start[h] else None})
+    return out
+
+
+def outline_points(cells: DataFrame, key: list[str], size: int = 256) -> DataFrame:
+    """key, n (long, from 0), x, y: the corners of the outer border of each object, in the order of `kernels.outline`. cells: key, r, c;
+    the key is not null, places are not negative, rows may repeat. Of an object in several parts that with the first cell is outlined.
+
+    No object meets in one group: a block has its own cells and those within two of it. Pieces of borders are then ranked by pointer
+    doubling: each knows how many corners lie between itself and a piece further back, and takes over what that one knows, until
+    all that lie on an outer border have come to its start. Every round is written to the shared folder."""
+    spark = cells.sparkSession
+    at = cells.select(*key, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    blocks = lambda x: F.array_distinct(F.array(*[F.floor((F.col(x) + i) / size) for i in (-2, 2)]))
+    spread = at.withColumn("_by", F.explode(blocks("r"))).withColumn("_bx", F.explode(blocks("c"))).where("_by >= 0 AND _bx >= 0")
+    kinds = {f.name: f.dataType for f in at.schema.fields}
+    piece = T.StructType([T.StructField(k, kinds[k]) for k in key] + T._parse_datatype_string("node long, next long, corners array<struct<x:int,y:int>>, start struct<r:long,c:long>").fields)
+
+    def trace(names: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found = border_pieces(frame["r"].to_numpy(), frame["c"].to_numpy(), int(names[-2]), int(names[-1]), size)
+        return pd.DataFrame([{**dict(zip(key, names)), **f} for f in found], columns=piece.names)
+
+    pieces, pieces_path = written(spread.groupBy(*key, "_by", "_bx").applyInPandas(trace, piece), "pieces")
+    firsts = at.groupBy(*key).agg(F.min(F.struct("r", "c")).alias("_first"))
+    starts = pieces.where("start IS NOT NULL").groupBy(*key).agg(F.min(F.struct("start.r", "start.c", "node")).alias("_s"))
+    starts = firsts.join(starts, key, "left").withColumn("_node", F.when((F.col("_s.r") == F.col("_first.r")) & (F.col("_s.c") == F.col("_first.c")), F.col("_s.node")))
+    starts, starts_path = written(starts.select(*key, "_first", "_node"), "starts")
+    count = F.size("corners").cast("long")
+    back = pieces.select(*key, F.col("next").alias("node"), F.col("node").alias("back"), count.alias("_k"))
+    heads = starts.where("_node IS NOT NULL").select(*key, F.col("_node").alias("node"), F.lit(True).alias("_is_start"))
+    chain = back.join(heads, [*key, "node"], "left").select(*key, "node", F.when(F.col("_is_start").isNull(), F.col("back")).alias("back"), F.when(F.col("_is_start").isNull(), F.col("_k")).otherwise(0).alias("_k"))
+    chain, path = written(chain, "chain")
+    done = chain.where("back IS NULL").count()
+    while done:
+        far = chain.select(*key, F.col("node").alias("back"), F.col("back").alias("_back"), F.col("_k").alias("_far"))
+        step = chain.join(far, [*key, "back"], "left").select(*key, "node", F.col("_back").alias("back"), (F.col("_k") + F.coalesce("_far", F.lit(0))).alias("_k"))
+        new, new_path = written(step, "chain")
+        now = new.where("back IS NULL").count()
+        drop_path(spark, path)
+        chain, path, before, done = new, new_path, done, now
+        if now == before:  # what is left lies around holes and never comes to a start
+            break
+    ranked = chain.where("back IS NULL").select(*key, "node", "_k").join(pieces.select(*key, "node", "corners"), [*key, "node"])
+    ring = ranked.select(*key, "_k", F.posexplode("corners").alias("_i", "_p")).select(*key, (F.col("_k") + F.col("_i")).alias("n"), "_p.x", "_p.y")
+    alone = starts.where("_node IS NULL").select(*key, F.lit(0).cast("long").alias("n"), F.col("_first.c").cast("int").alias("x"), F.col("_first.r").cast("int").alias("y"))
+    out, _ = written(ring.unionByName(alone), "outline")
+    for p in (path, pieces_path, starts_path):
+        drop_path(spark, p)
+    return out

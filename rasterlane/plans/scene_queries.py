@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from rasterlane.functions import rules
 from rasterlane.operators import objects as ob
-from rasterlane.operators import parallax, pixels, timeline
-from rasterlane.plans.bindings import CELLS, TALL_CELLS, blocks, tall_blocks
+from rasterlane.operators import parallax, pixels, polygons, timeline
+from rasterlane.plans.bindings import CELLS, TALL_CELLS, blocks, table, tall_blocks
 
 C = F.col
 OBJECT, SUPPORT, MIN_PX = 0.10, 0.05, 2
@@ -51,6 +51,26 @@ def tall_components(spark, d):
     return lab.select("scene", "epoch", "r", "c", _row(C("label")).alias("label"))
 
 
+def outline_corners(spark, d):
+    """Corners of the outer border of every object of the tall scenes, in order, over the borders of 8 x 8 blocks."""
+    lab = ob.label(pixels.mask(pixels.pixels(tall_blocks(spark, d)), 0.15), 8)
+    ring = polygons.outline_points(lab.select("scene", "epoch", _row(C("label")).alias("label"), "r", "c"), ["scene", "epoch", "label"], 8)
+    return ring.select("scene", "epoch", "label", "n", "x", "y")
+
+
+def polygon_cells(spark, d):
+    """Cells of a polygon of five points for each order, some of it outside of its image of 40 x 48 cells: how many, and where they lie."""
+    k = C("o_orderkey")
+    at = lambda a, n: (k * a % n - 6).cast("int")
+    ring = F.array(*[F.struct(at(a, 60).alias("x"), at(b, 52).alias("y")) for a, b in CORNERS])
+    rings = table(spark, d, "orders").select(k.alias("id"), F.lit(40).alias("h"), F.lit(48).alias("w"), ring.alias("ring"))
+    return polygons.filled(rings, ["id"]).groupBy("id").agg(F.count("*").alias("cells"), F.sum((C("r") * 48 + C("c")).cast("long")).alias("places"))
+
+
+#: Factors of an order's key, for the x and y of each point.
+CORNERS = [(7, 11), (13, 5), (29, 17), (31, 37), (19, 41)]
+
+
 def wide_dilation(spark, d):
     """A kernel of 13 x 13 over the same scenes, grown in blocks of 16 x 16."""
     grown = pixels.dilate_blocks(pixels.mask(pixels.pixels(tall_blocks(spark, d)), 0.3), pixels.ellipse(13), block=16)
@@ -185,6 +205,22 @@ _KERNEL = ", ".join(str(x) for x in pixels.ellipse(13))
 
 QUERIES = {
     "tall_components": (tall_components, f"WITH RECURSIVE {_labels('o', 'p >= 0.15').replace(CELLS, TALL_CELLS)} SELECT scene, epoch, r, c, label FROM o"),
+    "outline_corners": (outline_corners, f"""WITH RECURSIVE {_labels('o', 'p >= 0.15').replace(CELLS, TALL_CELLS)},
+        way(d, i, j) AS (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)),
+        e AS MATERIALIZED (SELECT a.scene, a.epoch, a.label, a.r AS pr, a.c AS pc, d, b.r, b.c FROM o a, way JOIN o b ON b.scene = a.scene AND b.epoch = a.epoch AND b.r = a.r + i AND b.c = a.c + j),
+        nx AS MATERIALIZED (SELECT e.scene, e.epoch, e.pr, e.pc, e.d, e.r, e.c, arg_min(f.d, (f.d - e.d + 11) % 8) AS d2 FROM e JOIN e f ON f.scene = e.scene AND f.epoch = e.epoch AND f.pr = e.r AND f.pc = e.c GROUP BY ALL),
+        st AS MATERIALIZED (SELECT scene, epoch, label, pr, pc, min(d) AS d FROM e WHERE pr * 8 + pc = label GROUP BY ALL),
+        walk AS (SELECT *, 0 AS i FROM st UNION ALL SELECT w.scene, w.epoch, w.label, x.r, x.c, x.d2, w.i + 1 FROM walk w JOIN nx x ON x.scene = w.scene AND x.epoch = w.epoch AND x.pr = w.pr AND x.pc = w.pc AND x.d = w.d
+          ANTI JOIN st ON st.scene = w.scene AND st.epoch = w.epoch AND st.label = w.label AND st.pr = x.r AND st.pc = x.c AND st.d = x.d2),
+        turn AS (SELECT *, lag(d) OVER (PARTITION BY scene, epoch, label ORDER BY i) AS was FROM walk)
+        SELECT scene, epoch, label, row_number() OVER (PARTITION BY scene, epoch, label ORDER BY i) - 1 AS n, CAST(pc AS INTEGER) AS x, CAST(pr AS INTEGER) AS y FROM turn WHERE was IS DISTINCT FROM d
+        UNION ALL SELECT scene, epoch, label, 0, CAST(c AS INTEGER), CAST(r AS INTEGER) FROM o WHERE (scene, epoch, label) NOT IN (SELECT (scene, epoch, label) FROM st) AND r * 8 + c = label"""),
+    "polygon_cells": (polygon_cells, f"""WITH v AS (SELECT o_orderkey AS id, i, CAST(o_orderkey * a % 60 - 6 AS BIGINT) AS x, CAST(o_orderkey * b % 52 - 6 AS BIGINT) AS y FROM orders, (VALUES {", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(CORNERS))}) k(i, a, b)),
+        s AS (SELECT p.id, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM v p JOIN v q ON q.id = p.id AND q.i = (p.i + 1) % {len(CORNERS)}),
+        inner_ AS (SELECT s.id, y, x FROM s JOIN range(0, 40) a(y) ON (y0 <= y) <> (y1 <= y) JOIN range(0, 48) b(x) ON x < x0 + CAST((y - y0) * (x1 - x0) AS DOUBLE) / (y1 - y0) GROUP BY s.id, y, x HAVING count(*) % 2 = 1),
+        line AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0), 1) AS m FROM s), dot AS (SELECT *, unnest(range(0, m + 1)) AS i FROM line),
+        t AS (SELECT id, CAST(round_even(y0 + (y1 - y0) * f, 0) AS BIGINT) AS y, CAST(round_even(x0 + (x1 - x0) * f, 0) AS BIGINT) AS x FROM (SELECT *, CASE WHEN i = m THEN 1e0 ELSE i * (1e0 / m) END AS f FROM dot))
+        SELECT id, count(*) AS cells, CAST(sum(y * 48 + x) AS BIGINT) AS places FROM (SELECT * FROM inner_ UNION SELECT id, y, x FROM t WHERE y BETWEEN 0 AND 39 AND x BETWEEN 0 AND 47) GROUP BY id"""),
     "wide_dilation": (wide_dilation, f"""WITH x AS (SELECT DISTINCT scene, epoch, r + dy AS r, c + dx AS c FROM (SELECT * FROM {TALL_CELLS} WHERE p >= 0.3), (VALUES {_KERNEL}) k(dy, dx))
         SELECT scene, epoch, count(*) AS cells, CAST(sum(r * 8 + c) AS BIGINT) AS places FROM x WHERE r BETWEEN 0 AND 127 AND c BETWEEN 0 AND 7 GROUP BY scene, epoch"""),
     "scene_pixels": (scene_pixels, f"SELECT scene, epoch, count(*) AS cells, CAST(sum(r * 8 + c) AS BIGINT) AS places FROM {CELLS} WHERE p >= 0.15 GROUP BY scene, epoch"),

@@ -164,3 +164,32 @@ def test_full_tiles_of_small_images(spark):
     assert sum(seen) == sum(h * w for h, w in shapes)
     x = blocks.full_tiles(lambda v: v[..., 1], 8)(np.full((5, 6, 3), 255.0))
     assert x.shape == (5, 6) and np.allclose(x, (1 - 0.456) / 0.224)
+
+
+def test_outlines_by_list_ranking_equal_the_traced_ones(spark):
+    rng = np.random.default_rng(12)
+    snake = np.zeros((40, 40), bool)
+    for i in range(0, 40, 4):
+        snake[i] = True
+        snake[i : i + 5, 39 if i % 8 == 0 else 0] = True
+    hole = np.ones((33, 27), bool)
+    hole[5:25, 4:22] = False
+    masks = [snake, hole, np.ones((1, 1), bool), np.ones((1, 19), bool), np.eye(23, dtype=bool), np.eye(9, dtype=bool)[::-1], np.ones((2, 1), bool)]
+    masks += [rng.random((30, 30)) < p for p in (0.3, 0.5, 0.6, 0.8)]
+    rows = [(k, "a" if k % 2 else "b", int(r), int(c)) for k, on in enumerate(masks) for r, c in np.argwhere(on)]
+    cells = spark.createDataFrame(rows + rows[:50], "k int, kind string, r int, c int")
+    for size in (5, 64):
+        got = {}
+        for p in polygons.outline_points(cells, ["k", "kind"], size).orderBy("k", "n").collect():
+            got.setdefault(p.k, []).append((p.n, p.x, p.y))
+        for k, on in enumerate(masks):
+            assert got[k] == [(i, x, y) for i, (x, y) in enumerate(kernels.outline(on))], (size, k)
+    assert polygons.outline_points(cells.where("k < 0"), ["k"]).count() == 0
+
+
+def test_rows_fill_polygons_as_the_plain_rule(spark):
+    rng = np.random.default_rng(2)
+    rings = [[(int(x), int(y)) for x, y in rng.integers(-6, 26, (n, 2))] for n in (1, 2, 3, 3, 4, 5, 7, 9, 12, 30)] + [[(0, 0), (9, 0), (9, 9), (0, 9)], [(30, 30), (40, 30), (40, 40)], []]
+    d = spark.createDataFrame([(k, 17, 21, [{"x": x, "y": y} for x, y in r]) for k, r in enumerate(rings)] + [(99, 5, 5, None)], "k int, h int, w int, ring array<struct<x:int,y:int>>")
+    got = {(p.k, p.r, p.c) for p in polygons.filled(d, ["k"]).collect()}
+    assert got == {(k, int(y), int(x)) for k, r in enumerate(rings) if r for y, x in np.argwhere(kernels.filled(r, 17, 21))}
