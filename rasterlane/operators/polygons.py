@@ -5,6 +5,8 @@ list ranking. `outlines` gives rings as arrays, for objects whose cells fit a ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -172,11 +174,32 @@ def outline_points(cells: DataFrame, key: list[str], size: int = 256) -> DataFra
     kinds = {f.name: f.dataType for f in at.schema.fields}
     piece = T.StructType([T.StructField(k, kinds[k]) for k in key] + T._parse_datatype_string("node long, next long, corners array<struct<x:int,y:int>>, start struct<r:long,c:long>").fields)
 
-    def trace(names: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found = border_pieces(frame["r"].to_numpy(), frame["c"].to_numpy(), int(names[-2]), int(names[-1]), size)
-        return pd.DataFrame([{**dict(zip(key, names)), **f} for f in found], columns=piece.names)
-
-    pieces, pieces_path = written(spread.groupBy(*key, "_by", "_bx").applyInPandas(trace, piece), "pieces")
+    group = [*key, "_by", "_bx"]
+
+    def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks follow each other in order, so that many small ones share a batch; the last of a batch may go on in the next."""
+
+        def pieces_of(frame: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+            heads, by, bx = frame[key].to_numpy(object), frame["_by"].to_numpy(), frame["_bx"].to_numpy()
+            r, c, out = frame["r"].to_numpy(), frame["c"].to_numpy(), []
+            own = (r // size == by) & (c // size == bx)
+            for a, b in zip(bounds, bounds[1:]):
+                if own[a:b].any():
+                    name = dict(zip(key, heads[a]))
+                    out += [{**name, **f} for f in border_pieces(r[a:b], c[a:b], int(by[a]), int(bx[a]), size)]
+            return pd.DataFrame(out, columns=piece.names)
+
+        left = None
+        for frame in frames:
+            frame = frame if left is None else pd.concat([left, frame], ignore_index=True)
+            if len(frame):
+                at = np.flatnonzero((frame[group] != frame[group].shift()).any(axis=1)).tolist()
+                left = frame.iloc[at[-1] :].drop_duplicates()
+                yield pieces_of(frame, at)
+        if left is not None:
+            yield pieces_of(left, [0, len(left)])
+
+    pieces, pieces_path = written(spread.repartition(*group).sortWithinPartitions(*group).mapInPandas(trace, piece), "pieces")
     firsts = at.groupBy(*key).agg(F.min(F.struct("r", "c")).alias("_first"))
     starts = pieces.where("start IS NOT NULL").groupBy(*key).agg(F.min(F.struct("start.r", "start.c", "node")).alias("_s"))
     starts = firsts.join(starts, key, "left").withColumn("_node", F.when((F.col("_s.r") == F.col("_first.r")) & (F.col("_s.c") == F.col("_first.c")), F.col("_s.node")))
