@@ -21,14 +21,40 @@ def _inside(radius: int) -> Column:
     return (F.col("r0") >= radius) & (F.col("c0") >= radius) & (F.col("r1") + radius < F.col("h")) & (F.col("c1") + radius < F.col("w"))
 
 
+def _unit(x: np.ndarray) -> float:
+    """The power of two that takes values up to the largest of x to whole numbers of about 20 bits."""
+    return 2.0 ** (20 - max(0, int(np.ceil(np.log2(max(1.0, np.abs(x).max()))))))
+
+
+def _correlated(field: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sums of the field over the set cells of own at each place where own fits into it, by Fourier transforms.
+
+    Values are taken to 2^-40 (of the largest, if that is over 1) as two whole numbers, the real and the imaginary part of one transform;
+    their sums are far below 2^53, so rounding gives them exactly, and equal shifts get equal sums."""
+    unit = _unit(field)
+    high = np.rint(field * unit)
+    low = np.rint((field * unit - high) * 2.0**20)
+    got = np.fft.ifft2(np.fft.fft2(high + 1j * low) * np.conj(np.fft.fft2(own, field.shape)))
+    got = got[: field.shape[0] - own.shape[0] + 1, : field.shape[1] - own.shape[1] + 1]
+    return (np.rint(got.real) + np.rint(got.imag) / 2.0**20) / unit
+
+
+def _windowed(x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Sums of x over every window of h x w cells from a summed-area table of whole numbers (x to 2^-40 of its largest, if over 1)."""
+    unit = _unit(x) * 2.0**20
+    area = np.zeros((x.shape[0] + 1, x.shape[1] + 1), np.int64)
+    area[1:, 1:] = np.rint(x * unit).astype(np.int64).cumsum(0).cumsum(1)
+    return (area[h:, w:] - area[:-h, w:] - area[h:, :-w] + area[:-h, :-w]) / unit
+
+
 def best_shifts(objects: DataFrame, before: DataFrame, radius: int) -> DataFrame:
     """scene, label, dr, dc, quality of the shift within the radius at which the object's cells correlate best with the earlier
     probabilities inside its box: sum(p) / sqrt(n * sum of p² in the box). Ties: the first shift by rows, then columns.
 
     objects: scene, label, r, c; before: scene, r, c, p. Only objects that are inside the image by the radius take part: h, w.
-    The box is cut into pieces of BLOCK cells a side at most. A piece meets the earlier cells in its reach once and adds up all
-    (2 radius + 1)² shifts in numpy; the pieces' sums are added per object. So a task holds (BLOCK + 2 radius)² cells of a piece, whatever the
-    object's size."""
+    The box is cut into pieces of BLOCK cells a side at most. A piece meets the earlier cells in its reach once; `_correlated` and
+    `_windowed` give the sums of all (2 radius + 1)² shifts at once, and the pieces' sums are added per object. So a task holds
+    (BLOCK + 2 radius)² cells of a piece, whatever the object's size."""
     box = _boxes(objects).where(_inside(radius))
     part = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
     span = lambda a, b: F.sequence(F.floor(F.col(a) / BLOCK).cast("int"), F.floor(F.col(b) / BLOCK).cast("int"))
@@ -48,18 +74,13 @@ def best_shifts(objects: DataFrame, before: DataFrame, radius: int) -> DataFrame
         a0, a1, b0, b1 = (t.column(k)[0].as_py() for k in ("a0", "a1", "b0", "b1"))
         mine = np.array(t.column("p").is_null())
         r, c, p = t.column("r").to_numpy() - a0, t.column("c").to_numpy() - b0, t.column("p").to_numpy(zero_copy_only=False)
-        field = np.zeros((3, a1 - a0 + n, b1 - b0 + n))  # p, p squared, whether the cell is there
-        field[:, r[~mine] + radius, c[~mine] + radius] = np.stack([p[~mine], p[~mine] ** 2, np.ones((~mine).sum())])
-        num, rest = np.zeros((n, n)), np.zeros((2, n, n))
-        for i, j in zip(r[mine].tolist(), c[mine].tolist()):
-            num += field[0, i : i + n, j : j + n]
-        for i in range(a1 - a0 + 1):
-            for j in range(b1 - b0 + 1):
-                rest += field[1:, i : i + n, j : j + n]
+        field, there, own = np.zeros((a1 - a0 + n, b1 - b0 + n)), np.zeros((a1 - a0 + n, b1 - b0 + n)), np.zeros((a1 - a0 + 1, b1 - b0 + 1))
+        field[r[~mine] + radius, c[~mine] + radius], there[r[~mine] + radius, c[~mine] + radius], own[r[mine], c[mine]] = p[~mine], 1, 1
+        num, sq, seen = _correlated(field, own), _windowed(field**2, *own.shape), _windowed(there, *own.shape)
         dr, dc = (v.ravel() for v in np.indices((n, n), np.int32) - radius)
-        some = rest[1].ravel() > 0
+        some = seen.ravel() > 0
         keys = {k: pa.repeat(t.column(k)[0], int(some.sum())) for k in ("scene", "label")}
-        return pa.table({**keys, "dr": dr[some], "dc": dc[some], "num": num.ravel()[some], "sq": rest[0].ravel()[some]})
+        return pa.table({**keys, "dr": dr[some], "dc": dc[some], "num": num.ravel()[some], "sq": sq.ravel()[some]})
 
     kinds = {f.name: f.dataType.simpleString() for f in objects.schema}
     sums = rows.groupBy("scene", "label", "y", "x").applyInArrow(run, f"scene {kinds['scene']}, label {kinds['label']}, dr int, dc int, num double, sq double")
