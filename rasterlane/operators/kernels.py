@@ -140,31 +140,63 @@ def simplified(ring: list[tuple], slack: float) -> list[tuple]:
     return [ring[i] for i in sorted(keep)]
 
 
-def smallest_rectangle(ring: list[tuple]) -> list[tuple[int, int]]:
-    """Corners of the least rectangle around the points, cut to whole numbers: one side lies on a side of the hull."""
-    pts = sorted(set(ring))
+def hull(points: list[tuple]) -> list[tuple]:
+    """Corners of the convex hull of whole-number points (x, y), in the order of a rising angle of its sides, from the least point."""
+    pts = sorted(set(points))
     if len(pts) < 3:
-        return [tuple(pts[0]), tuple(pts[0]), tuple(pts[-1]), tuple(pts[-1])]
+        return pts
     turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    hull: list = []
+    out: list = []
     for run in (pts, pts[::-1]):
-        base = len(hull)
+        base = len(out)
         for q in run:
-            while len(hull) > base + 1 and turn(hull[-2], hull[-1], q) <= 0:
-                hull.pop()
-            hull.append(q)
-        hull.pop()
-    h = np.array(hull, float)
-    best = None
-    for e in np.roll(h, -1, 0) - h:
-        u = e / np.hypot(*e)
-        axes = np.array([u, [-u[1], u[0]]])
-        t = h @ axes.T
-        lo, hi = t.min(0), t.max(0)
-        size = float(np.prod(hi - lo))
-        if best is None or size < best[0] - 1e-9:
-            best = (size, np.array([[lo[0], lo[1]], [hi[0], lo[1]], [hi[0], hi[1]], [lo[0], hi[1]]]) @ axes)
-    return [(int(x), int(y)) for x, y in best[1]]
+            while len(out) > base + 1 and turn(out[-2], out[-1], q) <= 0:
+                out.pop()
+            out.append(q)
+        out.pop()
+    return out
+
+
+def calipers(corners: list[tuple]) -> np.ndarray:
+    """Of each side of a hull: how far the corners reach along it (least, most) and away from it, in whole numbers times its length.
+
+    The corner that is farthest in a direction lies where the sides' angles pass it, so each is found by bisection; its neighbours
+    are compared too, so that rounded angles do no harm."""
+    h = np.array(corners, np.int64)
+    e = np.roll(h, -1, 0) - h
+    angle = np.unwrap(np.arctan2(e[:, 1], e[:, 0]))
+    across = np.stack([-e[:, 1], e[:, 0]], 1)
+    out = []
+    for d, turn in ((-e, 1.5), (e, 0.5), (across, 1.0)):  # sides turn by so much, in half turns, until they pass the farthest corner
+        at = np.searchsorted(angle, angle[0] + np.mod(angle + turn * np.pi - angle[0], 2 * np.pi))
+        near = h[(at[:, None] + np.arange(-1, 2)) % len(h)]
+        out.append((near * d[:, None, :]).sum(2).max(1))
+    return np.stack([-out[0], out[1], out[2] - (h * across).sum(1)], 1)
+
+
+def least_rectangle(corners: list[tuple]) -> tuple[float, list[tuple[int, int]]]:
+    """Area and corners, cut to whole numbers, of the least rectangle around a hull: one side lies on a side of the hull."""
+    if len(corners) < 3:
+        return 0.0, [tuple(corners[0]), tuple(corners[0]), tuple(corners[-1]), tuple(corners[-1])]
+    h = np.array(corners, np.int64)
+    e = np.roll(h, -1, 0) - h
+    lo, hi, away = calipers(corners).T
+    size = (hi - lo).astype(float) * away / (e**2).sum(1)
+    best = 0
+    for i in range(1, len(size)):
+        if size[i] < size[best] - 1e-9:
+            best = i
+    n = np.hypot(*e[best])
+    u = e[best] / n
+    axes = np.array([u, [-u[1], u[0]]])
+    base = float(h[best] @ axes[1])
+    box = np.array([[lo[best] / n, base], [hi[best] / n, base], [hi[best] / n, base + away[best] / n], [lo[best] / n, base + away[best] / n]]) @ axes
+    return float(size[best]), [(int(x), int(y)) for x, y in np.round(box, 9)]
+
+
+def smallest_rectangle(ring: list[tuple]) -> list[tuple[int, int]]:
+    """Corners of the least rectangle around the points of a ring."""
+    return least_rectangle(hull(ring))[1]
 
 
 def filled(ring: list[tuple], h: int, w: int) -> np.ndarray:

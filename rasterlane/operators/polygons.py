@@ -65,6 +65,35 @@ def smallest_rectangle(rings: pd.Series) -> pd.Series:
     return pd.Series([_points(kernels.smallest_rectangle(_ring(p))) if len(p) else [] for p in rings])
 
 
+@F.pandas_udf(RING)
+def _hull(points: pd.Series) -> pd.Series:
+    return pd.Series([_points(kernels.hull(_ring(p))) for p in points])
+
+
+@F.pandas_udf(T.StructType([T.StructField("area", T.DoubleType()), T.StructField("ring", RING)]))
+def _least(hulls: pd.Series) -> pd.DataFrame:
+    found = [kernels.least_rectangle(_ring(p)) for p in hulls]
+    return pd.DataFrame({"area": [a for a, _ in found], "ring": [_points(r) for _, r in found]})
+
+
+def hulls(cells: DataFrame, key: list[str], rows: int = 256) -> DataFrame:
+    """key and hull: the corners of the convex hull of each object's cells. cells: key, r, c; cells may repeat.
+
+    A row of cells counts by its two ends, which are found before the shuffle. Hulls of `rows` rows are built first, then those of
+    `rows` squared, then the whole: a hull of whole-number points has few corners (about the 2/3 power of its side), so no step holds an object's cells."""
+    ends = cells.groupBy(*key, F.col("r").cast("int").alias("r")).agg(F.min("c").alias("a"), F.max("c").alias("b"))
+    part = ends.withColumn("_p", F.explode(F.array_distinct(F.array(*[F.struct(F.col(x).cast("int").alias("x"), F.col("r").alias("y")) for x in "ab"]))))
+    for step in (rows, rows * rows):
+        block = F.floor(F.col("_p.y") / step).alias("_b")
+        part = part.groupBy(*key, block).agg(F.collect_list("_p").alias("_p")).select(*key, F.explode(_hull("_p")).alias("_p"))
+    return part.groupBy(*key).agg(F.collect_list("_p").alias("_p")).select(*key, _hull("_p").alias("hull"))
+
+
+def least_rectangles(cells: DataFrame, key: list[str], rows: int = 256) -> DataFrame:
+    """key, hull, area and ring of the least rectangle around each object's cells, whatever its size; objects in a line have an area of 0."""
+    return hulls(cells, key, rows).withColumn("_l", _least("hull")).select(*key, "hull", F.col("_l.area").alias("area"), F.col("_l.ring").alias("ring"))
+
+
 def filled(rings: DataFrame, key: list[str]) -> DataFrame:
     """key, h, w, r, c: the cells of each ring (column ring) inside the image (h, w): centres inside by the even-odd rule, and the border.
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from rasterlane.functions import rules
 from rasterlane.operators import objects as ob
 from rasterlane.operators import parallax, pixels, polygons, timeline
+from rasterlane.operators.percentiles import percentiles
 from rasterlane.plans.bindings import CELLS, TALL_CELLS, blocks, table, tall_blocks
+from rasterlane.sources import images
 
 C = F.col
 OBJECT, SUPPORT, MIN_PX = 0.10, 0.05, 2
@@ -58,6 +60,28 @@ def outline_corners(spark, d):
     return ring.select("scene", "epoch", "label", "n", "x", "y")
 
 
+def least_rectangles(spark, d):
+    """Hull and least rectangle of every object of the tall scenes, merged over blocks of 8 rows."""
+    lab = ob.label(pixels.mask(pixels.pixels(tall_blocks(spark, d)), 0.15), 8)
+    box = polygons.least_rectangles(lab.select("scene", "epoch", _row(C("label")).alias("label"), "r", "c"), ["scene", "epoch", "label"], 8)
+    return box.select("scene", "epoch", "label", F.size("hull").cast("long").alias("corners"), F.abs(rules.polygon_area2(C("hull"))).cast("long").alias("hull_area2"), F.bround("area", 6).alias("area"))
+
+
+def cell_percentiles(spark, d):
+    """Percentiles of all cells of a date of the tall scenes, and the cells that are at least the upper one."""
+    v = pixels.pixels(tall_blocks(spark, d)).select("epoch", "p")
+    q = percentiles(v, ["epoch"], "p", [0.02, 0.5, 0.98])
+    over = v.join(F.broadcast(q.select("epoch", C("q")[2].alias("top"))), "epoch").groupBy("epoch").agg(F.count_if(C("p") >= C("top")).alias("over"))  # two rows
+    return q.join(over, "epoch").select("epoch", "n", "over", *[F.bround(C("q")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))])
+
+
+def band_stretch(spark, d):
+    """Cells of two dates as values of 16 bits, a third of the scenes as values of 8, stretched between the percentiles of their date."""
+    k = F.when(C("scene") % 3 == 0, 200).otherwise(20000)
+    v = pixels.pixels(tall_blocks(spark, d)).select("scene", "epoch", "r", "c", F.lit(0).alias("band"), F.floor(F.abs("p") * k).cast("double").alias("v"))
+    return images.stretched(v).groupBy("scene", "epoch").agg(F.sum("v").alias("total"), F.count_if(C("v") == 0).alias("low"), F.count_if(C("v") == 255).alias("high"), F.sum(C("v") * (C("r") * 8 + C("c"))).cast("long").alias("places"))
+
+
 def polygon_cells(spark, d):
     """Cells of a polygon of five points for each order, some of it outside of its image of 40 x 48 cells: how many, and where they lie."""
     k = C("o_orderkey")
@@ -215,6 +239,21 @@ QUERIES = {
         turn AS (SELECT *, lag(d) OVER (PARTITION BY scene, epoch, label ORDER BY i) AS was FROM walk)
         SELECT scene, epoch, label, row_number() OVER (PARTITION BY scene, epoch, label ORDER BY i) - 1 AS n, CAST(pc AS INTEGER) AS x, CAST(pr AS INTEGER) AS y FROM turn WHERE was IS DISTINCT FROM d
         UNION ALL SELECT scene, epoch, label, 0, CAST(c AS INTEGER), CAST(r AS INTEGER) FROM o WHERE (scene, epoch, label) NOT IN (SELECT (scene, epoch, label) FROM st) AND r * 8 + c = label"""),
+    "least_rectangles": (least_rectangles, f"""WITH RECURSIVE {_labels('o', 'p >= 0.15').replace(CELLS, TALL_CELLS)},
+        ob AS MATERIALIZED (SELECT scene, epoch, label, r AS y, c AS x FROM o), kinds AS (SELECT DISTINCT scene, epoch, label FROM ob),
+        pr AS (SELECT a.scene, a.epoch, a.label, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy FROM ob a JOIN ob b ON b.scene = a.scene AND b.epoch = a.epoch AND b.label = a.label AND (a.x, a.y) <> (b.x, b.y)),
+        side AS MATERIALIZED (SELECT p.scene, p.epoch, p.label, p.x, p.y, dx, dy, max((q.x - p.x) * dx + (q.y - p.y) * dy) - min((q.x - p.x) * dx + (q.y - p.y) * dy) AS along, max((q.y - p.y) * dx - (q.x - p.x) * dy) AS away
+            FROM pr p JOIN ob q ON q.scene = p.scene AND q.epoch = p.epoch AND q.label = p.label GROUP BY ALL HAVING min((q.y - p.y) * dx - (q.x - p.x) * dy) >= 0),
+        edge AS (SELECT scene, epoch, label, arg_max(x * dy - y * dx, dx * dx + dy * dy) AS twice FROM side GROUP BY scene, epoch, label, dx // gcd(dx, dy), dy // gcd(dx, dy)),
+        n AS (SELECT scene, epoch, label, count(*) AS corners, CAST(sum(twice) AS BIGINT) AS hull_area2 FROM edge GROUP BY ALL),
+        ar AS (SELECT scene, epoch, label, min(along * away / CAST(dx * dx + dy * dy AS DOUBLE)) AS area FROM side GROUP BY ALL)
+        SELECT k.scene, k.epoch, k.label, coalesce(corners, 1) AS corners, coalesce(hull_area2, 0) AS hull_area2, round_even(coalesce(area, 0), 6) AS area FROM kinds k LEFT JOIN n USING (scene, epoch, label) LEFT JOIN ar USING (scene, epoch, label)"""),
+    "cell_percentiles": (cell_percentiles, f"""WITH v AS (SELECT epoch, CAST(p AS DOUBLE) AS p FROM {TALL_CELLS}), q AS (SELECT epoch, count(*) AS n, quantile_cont(p, 0.02) AS low, quantile_cont(p, 0.5) AS middle, quantile_cont(p, 0.98) AS high FROM v GROUP BY epoch)
+        SELECT q.epoch, n, (SELECT count(*) FROM v WHERE v.epoch = q.epoch AND v.p >= q.high) AS "over", round_even(low, 6) AS low, round_even(middle, 6) AS middle, round_even(high, 6) AS high FROM q"""),
+    "band_stretch": (band_stretch, f"""WITH v AS (SELECT scene, epoch, r, c, floor(abs(CAST(p AS DOUBLE)) * CASE WHEN scene % 3 = 0 THEN 200 ELSE 20000 END) AS v FROM {TALL_CELLS}),
+        q AS (SELECT scene, epoch, quantile_cont(v, 0.02) AS low, quantile_cont(v, 0.98) AS high, max(v) AS top FROM v GROUP BY ALL),
+        s AS (SELECT scene, epoch, r, c, CAST(floor(greatest(0, least(255, CASE WHEN top > 255 THEN (v - low) / greatest(high - low, 1e-6) * 255 ELSE v END))) AS BIGINT) AS v FROM v JOIN q USING (scene, epoch))
+        SELECT scene, epoch, CAST(sum(v) AS BIGINT) AS total, count(*) FILTER (v = 0) AS low, count(*) FILTER (v = 255) AS high, CAST(sum(v * (r * 8 + c)) AS BIGINT) AS places FROM s GROUP BY scene, epoch"""),
     "polygon_cells": (polygon_cells, f"""WITH v AS (SELECT o_orderkey AS id, i, CAST(o_orderkey * a % 60 - 6 AS BIGINT) AS x, CAST(o_orderkey * b % 52 - 6 AS BIGINT) AS y FROM orders, (VALUES {", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(CORNERS))}) k(i, a, b)),
         s AS (SELECT p.id, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM v p JOIN v q ON q.id = p.id AND q.i = (p.i + 1) % {len(CORNERS)}),
         inner_ AS (SELECT s.id, y, x FROM s JOIN range(0, 40) a(y) ON (y0 <= y) <> (y1 <= y) JOIN range(0, 48) b(x) ON x < x0 + CAST((y - y0) * (x1 - x0) AS DOUBLE) / (y1 - y0) GROUP BY s.id, y, x HAVING count(*) % 2 = 1),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlane.operators import kernels
+from rasterlane.operators.percentiles import percentiles
 from rasterlane.sources import georef, jpeg, tiff
 
 #: Names but those of TIFF files, which the image reader must not meet: it fails on damaged ones.
@@ -65,7 +66,7 @@ def scaled(images: DataFrame, scale: Column) -> DataFrame:
 
 def stretched(cells: DataFrame) -> DataFrame:
     """scene, epoch, r, c, band, v (0 to 255) of cells with more than 8 bits: between the 2nd and 98th percentile of their image."""
-    lim = cells.groupBy("scene", "epoch").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("q"), F.max("v").alias("top"))
+    lim = percentiles(cells, ["scene", "epoch"], "v", [0.02, 0.98, 1.0]).select("scene", "epoch", "q", F.col("q")[2].alias("top"))
     wide = (F.col("v") - F.col("q")[0]) / F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1e-6)) * 255
     value = F.when(F.col("top") > 255, wide).otherwise(F.col("v"))
     return cells.join(lim, ["scene", "epoch"]).select("scene", "epoch", "r", "c", "band", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value))).cast("int").alias("v"))

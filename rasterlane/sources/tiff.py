@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterlane.operators.percentiles import percentiles
+
 #: Fixed values of the format: tags, sizes of field kinds, compressions, sample formats.
 WIDTH, HEIGHT, BITS, COMPRESSION, MEANING, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, PALETTE = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 320
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 322, 323, 324, 325, 339
@@ -151,11 +153,11 @@ def levels(parts: DataFrame) -> DataFrame:
         for f in frames:
             for r in f.itertuples():
                 v, n = np.unique(np.frombuffer(r.data, np.float32).reshape(-1, r.n)[:, :3], return_counts=True)
-                yield pd.DataFrame({"path": r.path, "v": v.astype(float), "k": n})
+                yield pd.DataFrame({"path": r.path, "v": v, "k": n})
 
-    counted = parts.where("band < 3").select("path", "n", "data").mapInPandas(run, "path string, v double, k long")
-    q = counted.groupBy("path").agg(F.max("v").alias("top"), F.percentile("v", F.array(F.lit(0.02), F.lit(0.98)), F.col("k")).alias("q"))
-    return q.select("path", "top", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    counted = parts.where("band < 3").select("path", "n", "data").mapInPandas(run, "path string, v float, k long")
+    q = percentiles(counted, ["path"], "v", [0.02, 0.98, 1.0], "k")
+    return q.select("path", F.col("q")[2].alias("top"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

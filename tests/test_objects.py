@@ -193,3 +193,57 @@ def test_rows_fill_polygons_as_the_plain_rule(spark):
     d = spark.createDataFrame([(k, 17, 21, [{"x": x, "y": y} for x, y in r]) for k, r in enumerate(rings)] + [(99, 5, 5, None)], "k int, h int, w int, ring array<struct<x:int,y:int>>")
     got = {(p.k, p.r, p.c) for p in polygons.filled(d, ["k"]).collect()}
     assert got == {(k, int(y), int(x)) for k, r in enumerate(rings) if r for y, x in np.argwhere(kernels.filled(r, 17, 21))}
+
+
+def test_sums_of_all_shifts():
+    """Transforms and area tables give the sums that windows give, also for values over 1 and below 0."""
+    rnd = np.random.default_rng(8)
+    for h, w, n, top in ((5, 7, 3, 1.0), (1, 1, 9, 1.0), (64, 40, 21, 1.0), (6, 6, 5, 900.0)):
+        own = (rnd.random((h, w)) < 0.6).astype(float)
+        field = (rnd.random((h + n - 1, w + n - 1)) - 0.1).astype(np.float32).astype(float) * top
+        view = np.lib.stride_tricks.sliding_window_view(field, (h, w))
+        assert np.allclose(parallax._correlated(field, own), (view * own).sum((2, 3)), rtol=0, atol=1e-9 * top)
+        assert np.allclose(parallax._windowed(field, h, w), view.sum((2, 3)), rtol=0, atol=1e-9 * top)
+    assert not parallax._correlated(np.zeros((9, 9)), np.ones((3, 3))).any()
+
+
+def test_shift_of_radius_48(spark):
+    """One object over several pieces moved by 41 and -37 is found there."""
+    side, (dr, dc) = 300, (41, -37)
+    rnd = np.random.default_rng(9)
+    own = rnd.random((80, 90)) < 0.5
+    own[0, 0] = own[-1, -1] = True
+    at = np.argwhere(own) + 100
+    later = spark.createDataFrame([(1, 7, int(r), int(c), side, side) for r, c in at], "scene long, label long, r int, c int, h int, w int")
+    before = spark.createDataFrame([(1, int(r) + dr, int(c) + dc, 0.9) for r, c in at], "scene long, r int, c int, p double")
+    got = parallax.best_shifts(later, before, 48).collect()
+    assert [(r.label, r.dr, r.dc, r.quality) for r in got] == [(7, dr, dc, 1.0)]
+
+
+def test_calipers_equal_all_corners():
+    rnd = np.random.default_rng(10)
+    for _ in range(1500):
+        m = int(rnd.integers(1, 40))
+        h = kernels.hull([tuple(map(int, p)) for p in rnd.integers(-m, m + 1, (int(rnd.integers(1, 30)), 2))])
+        if len(h) >= 3:
+            e = np.roll(h, -1, 0) - np.array(h)
+            along, across = np.array(h) @ e.T, np.array(h) @ np.stack([-e[:, 1], e[:, 0]])
+            assert (kernels.calipers(h) == np.stack([along.min(0), along.max(0), across.max(0) - across.min(0)], 1)).all()
+    assert kernels.hull([(3, 4), (3, 4)]) == [(3, 4)] and kernels.hull([(0, 0), (2, 2), (1, 1)]) == [(0, 0), (2, 2)]
+
+
+def test_hulls_merged_over_blocks(spark):
+    """A disc, a tilted bar, a line, one cell and a repeated cell, in blocks of 3 rows and in one."""
+    y, x = np.mgrid[0:60, 0:60]
+    shapes = [(y - 30) ** 2 + (x - 25) ** 2 <= 20**2, (abs(y - 2 * x + 20) <= 6) & (x < 38), y == x, (y == 5) & (x == 9)]
+    rows = [(k, int(r), int(c)) for k, s in enumerate(shapes) for r, c in np.argwhere(s)]
+    d = spark.createDataFrame(rows + [(3, 5, 9), (None, 1, 1)], "k int, r int, c int")
+    for step in (3, 256):
+        got = {r.k: r for r in polygons.least_rectangles(d, ["k"], step).collect()}
+        assert set(got) == {0, 1, 2, 3, None}
+        for k, s in enumerate(shapes):
+            want = kernels.hull([(int(c), int(r)) for r, c in np.argwhere(s)])
+            assert [(p.x, p.y) for p in got[k].hull] == want
+            assert (got[k].area, [(p.x, p.y) for p in got[k].ring]) == kernels.least_rectangle(want)
+        assert got[2].area == got[3].area == 0 and len(got[3].hull) == 1
+    assert polygons.least_rectangles(d.where("k > 9"), ["k"]).count() == 0
