@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterlane.functions import rules
+from rasterlane.operators import classic
 from rasterlane.operators import objects as ob
 from rasterlane.operators import parallax, pixels, polygons, timeline
 from rasterlane.operators.percentiles import percentiles
@@ -67,6 +68,32 @@ def least_rectangles(spark, d):
     return box.select("scene", "epoch", "label", F.size("hull").cast("long").alias("corners"), F.abs(rules.polygon_area2(C("hull"))).cast("long").alias("hull_area2"), F.bround("area", 6).alias("area"))
 
 
+def changed_regions(spark, d):
+    """Regions of the tall scenes in which both dates differ, closed and opened by five cells, over the borders of 8 x 8 blocks."""
+    v = pixels.pixels(tall_blocks(spark, d))
+    at = ["scene", "r", "c", "h", "w"]
+    both = v.groupBy(*at).agg(*[F.max(F.when(C("epoch") == e, C("p").cast("double"))).alias(f"p{e}") for e in (0, 1)]).where("p0 IS NOT NULL AND p1 IS NOT NULL")
+    diff = both.select("scene", F.lit(0).alias("epoch"), "r", "c", F.abs(C("p1") - C("p0")).alias("p"), "h", "w")
+    region = classic.changed_regions(diff, DIFFERENT, 8).select("scene", "r", "c", _row(C("label")).alias("label"))
+    stats = region.join(diff.select("scene", "r", "c", "p"), ["scene", "r", "c"]).groupBy("scene", "label")
+    return stats.agg(F.count("*").alias("cells"), F.sum((C("r") * 8 + C("c")).cast("long")).alias("places"), F.bround(F.avg("p"), 6).alias("diff"))
+
+
+def existing_structures(spark, d):
+    """Boxes of the later date's objects that lie on few cells of the earlier date and on few of the boxes kept before them."""
+    v = pixels.pixels(tall_blocks(spark, d))
+    box = ob.object_stats(ob.label(pixels.mask(v.where("epoch = 1"), 0.25), 8)).select("scene", _row(C("label")).alias("label"), *[C(x).cast("int").alias(x) for x in ("x", "y", "width", "height")])
+    right, low = C("x") + C("width") - 1, C("y") + C("height") - 1
+    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((C("x"), C("y")), (right, C("y")), (right, low), (C("x"), low))])
+    found = box.select("scene", "label", ring.alias("ring"), (C("width") * C("height")).cast("double").alias("area_px"), F.lit(128).alias("h"), F.lit(8).alias("w"))
+    kept = classic.existing(found, pixels.mask(v.where("epoch = 0"), 0.2), 0.5)
+    return kept.select("scene", "label", "area_px", "area_m2", F.bround("perimeter_m", 6).alias("perimeter_m"))
+
+
+#: From which difference of two cells on a place counts as changed.
+DIFFERENT = 0.27
+
+
 def cell_percentiles(spark, d):
     """Percentiles of all cells of a date of the tall scenes, and the cells that are at least the upper one."""
     v = pixels.pixels(tall_blocks(spark, d)).select("epoch", "p")
@@ -206,6 +233,13 @@ def _labels(name: str, where: str) -> str:
     {name} AS (SELECT scene, epoch, r, c, CAST(min(label) AS BIGINT) AS label FROM {name}_r GROUP BY ALL)"""
 
 
+def _five(name: str, of: str, grow: bool) -> str:
+    """A CTE of the cells of a tall scene (scene, r, c) grown or worn off by 5 x 5; what lies outside counts as set when worn off."""
+    n = "(least(r + 2, 127) - greatest(r - 2, 0) + 1) * (least(c + 2, 7) - greatest(c - 2, 0) + 1)"
+    return f"""{name} AS MATERIALIZED (SELECT scene, r, c FROM (SELECT scene, r + i AS r, c + j AS c FROM {of}, range(-2, 3) a(i), range(-2, 3) b(j)) WHERE r BETWEEN 0 AND 127 AND c BETWEEN 0 AND 7
+        GROUP BY scene, r, c{"" if grow else f" HAVING count(*) = {n}"})"""
+
+
 def _big(name: str, n: int) -> str:
     return f"(SELECT * FROM {name} JOIN (SELECT scene, epoch, label FROM {name} GROUP BY ALL HAVING count(*) >= {n}) USING (scene, epoch, label))"
 
@@ -248,6 +282,19 @@ QUERIES = {
         n AS (SELECT scene, epoch, label, count(*) AS corners, CAST(sum(twice) AS BIGINT) AS hull_area2 FROM edge GROUP BY ALL),
         ar AS (SELECT scene, epoch, label, min(along * away / CAST(dx * dx + dy * dy AS DOUBLE)) AS area FROM side GROUP BY ALL)
         SELECT k.scene, k.epoch, k.label, coalesce(corners, 1) AS corners, coalesce(hull_area2, 0) AS hull_area2, round_even(coalesce(area, 0), 6) AS area FROM kinds k LEFT JOIN n USING (scene, epoch, label) LEFT JOIN ar USING (scene, epoch, label)"""),
+    "changed_regions": (changed_regions, f"""WITH RECURSIVE df AS (SELECT a.scene, a.r, a.c, abs(CAST(b.p AS DOUBLE) - CAST(a.p AS DOUBLE)) AS p FROM {TALL_CELLS} a JOIN {TALL_CELLS} b ON a.epoch = 0 AND b.epoch = 1 AND b.scene = a.scene AND b.r = a.r AND b.c = a.c),
+        m AS (SELECT scene, r, c FROM df WHERE p >= {DIFFERENT}), {_five('g1', 'm', True)}, {_five('w1', 'g1', False)}, {_five('w2', 'w1', False)}, {_five('g2', 'w2', True)},
+        low AS (SELECT * FROM g2 a WHERE NOT EXISTS (SELECT 1 FROM g2 b WHERE b.scene = a.scene AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1 AND b.r * 8 + b.c < a.r * 8 + a.c)),
+        fl AS (SELECT scene, r, c, r * 8 + c AS label FROM low UNION SELECT g.scene, g.r, g.c, f.label FROM fl f JOIN g2 g ON g.scene = f.scene AND abs(g.r - f.r) <= 1 AND abs(g.c - f.c) <= 1),
+        lb AS (SELECT scene, r, c, min(label) AS label FROM fl GROUP BY ALL)
+        SELECT scene, CAST(label AS BIGINT) AS label, count(*) AS cells, CAST(sum(r * 8 + c) AS BIGINT) AS places, round_even(avg(p), 6) AS diff FROM lb JOIN df USING (scene, r, c) GROUP BY scene, label"""),
+    "existing_structures": (existing_structures, f"""WITH RECURSIVE {_labels('o', 'epoch = 1 AND p >= 0.25').replace(CELLS, TALL_CELLS)},
+        bx AS (SELECT scene, label, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM o GROUP BY ALL),
+        no AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY label DESC) AS n FROM bx), pt AS (SELECT DISTINCT scene, r, c FROM {TALL_CELLS} WHERE epoch = 0 AND p >= 0.2),
+        cd AS MATERIALIZED (SELECT b.scene, b.label, n, r1 - r0 AS dh, c1 - c0 AS dw, list(i * 8 + j) AS own, count(pt.r) AS hits FROM no b JOIN range(0, 128) x(i) ON i BETWEEN r0 AND r1 JOIN range(0, 8) y(j) ON j BETWEEN c0 AND c1 LEFT JOIN pt ON pt.scene = b.scene AND pt.r = i AND pt.c = j WHERE n <= {classic.MOST_EXISTING} GROUP BY ALL),
+        gr AS (SELECT scene, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS label FROM cd WHERE n = 1
+               UNION ALL SELECT c.scene, c.n, CASE WHEN ok THEN list_concat(taken, own) ELSE taken END, CASE WHEN ok THEN c.label END FROM (SELECT c.*, taken, c.hits + len(list_intersect(own, taken)) <= len(own) * {classic.OVERLAP} AS ok FROM gr g JOIN cd c ON c.scene = g.scene AND c.n = g.n + 1) c)
+        SELECT scene, label, CAST((dh + 1) * (dw + 1) AS DOUBLE) AS area_px, (dh + 1) * (dw + 1) * 0.25e0 AS area_m2, (dh + dw) * 1e0 AS perimeter_m FROM cd JOIN gr USING (scene, label)"""),
     "cell_percentiles": (cell_percentiles, f"""WITH v AS (SELECT epoch, CAST(p AS DOUBLE) AS p FROM {TALL_CELLS}), q AS (SELECT epoch, count(*) AS n, quantile_cont(p, 0.02) AS low, quantile_cont(p, 0.5) AS middle, quantile_cont(p, 0.98) AS high FROM v GROUP BY epoch)
         SELECT q.epoch, n, (SELECT count(*) FROM v WHERE v.epoch = q.epoch AND v.p >= q.high) AS "over", round_even(low, 6) AS low, round_even(middle, 6) AS middle, round_even(high, 6) AS high FROM q"""),
     "band_stretch": (band_stretch, f"""WITH v AS (SELECT scene, epoch, r, c, floor(abs(CAST(p AS DOUBLE)) * CASE WHEN scene % 3 = 0 THEN 200 ELSE 20000 END) AS v FROM {TALL_CELLS}),
