@@ -94,7 +94,7 @@ def changed_regions(diff: DataFrame, threshold: float, size: int = 256) -> DataF
     """Labelled cells of regions that differ: closed and opened by a 5 x 5 square."""
     on = diff.where(F.col("p") >= threshold).select(*KEY, "r", "c", "h", "w")
     five = pixels.rectangle(5)
-    return objects.label(pixels.opened(pixels.closed(on, five), five), size)
+    return objects.label(pixels.morphed(on, [(five, True), (five, False), (five, False), (five, True)], block=size), size)
 
 
 def changed(regions: DataFrame, diff: DataFrame, edge: DataFrame, grays: DataFrame, min_px: int, gsd: float) -> DataFrame:
@@ -117,8 +117,7 @@ def candidates(edge: DataFrame, min_px: int, size: int = 256) -> DataFrame:
     from rasterlane.functions import rules
 
     on, five = edge.where("epoch = 1"), pixels.rectangle(5)
-    grown = pixels.dilate(pixels.dilate(on, five), five)
-    regions = objects.label(pixels.erode(pixels.erode(grown, five), five), size)
+    regions = objects.label(pixels.morphed(on, [(five, True), (five, True), (five, False), (five, False)], block=size), size)
     box = objects.object_stats(regions)
     shape = regions.select("scene", "h", "w").distinct()
     r = polygons.outlines(regions, ["scene", "label"]).withColumn("area_px", F.abs(rules.polygon_area2(F.col("ring"))) / 2).join(box.drop("area_px", "epoch"), ["scene", "label"]).join(shape, "scene")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from rasterlane.functions import rules
 from rasterlane.operators.graph import components
-from rasterlane.operators.pixels import KEY, dilate, ellipse, opened
+from rasterlane.operators.pixels import KEY, dilate, ellipse, morphed, opened
 from rasterlane.sources.shared import written
 
 EIGHT = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
@@ -115,7 +115,7 @@ def objects_of(cells: DataFrame, threshold: float, min_px: int, open_size: int =
     """Cells with labels of the objects of a date: threshold, opening, 8-connected components of min_px cells at least."""
     on = cells.where(F.col("p") >= threshold).select(*KEY, "r", "c", "h", "w")
     if open_size > 1:
-        on = opened(on, ellipse(open_size))
+        on = morphed(on, [(ellipse(open_size), False), (ellipse(open_size), True)], block=block)
     return large_objects(label(on, block), min_px)
 
 

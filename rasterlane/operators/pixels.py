@@ -64,9 +64,15 @@ def dilate(cells: DataFrame, kernel: list[tuple[int, int]], keep: list[str] = []
 
 
 def dilate_blocks(cells: DataFrame, kernel: list[tuple[int, int]], keep: list[str] = [], block: int = 256) -> DataFrame:
-    """The same for wide kernels: cells are sent to the blocks that the kernel reaches from them, four at most where it is smaller than
-    a block, and a task grows a block as an array."""
-    reach = max(max(abs(i), abs(j)) for i, j in kernel)
+    """The same for wide kernels, on blocks."""
+    return morphed(cells, [(kernel, True)], keep, block)
+
+
+def morphed(cells: DataFrame, steps: list[tuple[list[tuple[int, int]], bool]], keep: list[str] = [], block: int = 256) -> DataFrame:
+    """Dilations (kernel, True) and erosions (kernel, False), one after the other, in one shuffle: cells are sent to the blocks that all
+    steps together reach from them, four at most where that is less than a block, and a task works on a block as an array. What lies
+    outside the image is not set for a dilation and set for an erosion; kernels are symmetric and hold their centre."""
+    reach = sum(max(max(abs(i), abs(j)) for i, j in kernel) for kernel, _ in steps)
     to = lambda v, n: F.explode(F.sequence((F.greatest(F.lit(0), F.col(v) - reach) / block).cast("int"), (F.least(F.col(n) - 1, F.col(v) + reach) / block).cast("int")))
     sent = cells.select(*KEY, *keep, "r", "c", "h", "w", to("r", "h").alias("by")).withColumn("bx", to("c", "w"))
 
@@ -75,10 +81,14 @@ def dilate_blocks(cells: DataFrame, kernel: list[tuple[int, int]], keep: list[st
         y0, x0 = one["by"] * block - reach, one["bx"] * block - reach
         on = np.zeros((block + 2 * reach, block + 2 * reach), bool)
         on[frame["r"] - y0, frame["c"] - x0] = True
-        r, c = np.nonzero(morph(on, kernel, True)[reach : reach + block, reach : reach + block])
-        r, c = r + y0 + reach, c + x0 + reach
-        inside = (r < one["h"]) & (c < one["w"])
-        out = {k: [one[k]] * int(inside.sum()) for k in (*KEY, *keep, "h", "w")} | {"r": r[inside].astype(np.int32), "c": c[inside].astype(np.int32)}
+        y, x = np.arange(len(on)) + y0, np.arange(len(on)) + x0
+        outside = ~(((y >= 0) & (y < one["h"]))[:, None] & ((x >= 0) & (x < one["w"])))
+        for kernel, grow in steps:
+            on[outside] = not grow
+            on = morph(on, kernel, grow)
+        on[outside] = False
+        r, c = np.nonzero(on[reach : reach + block, reach : reach + block])
+        out = {k: [one[k]] * len(r) for k in (*KEY, *keep, "h", "w")} | {"r": (r + y0 + reach).astype(np.int32), "c": (c + x0 + reach).astype(np.int32)}
         return pd.DataFrame(out, columns=names)
 
     names = [*KEY, *keep, "r", "c", "h", "w"]

@@ -82,6 +82,18 @@ def test_relational_and_block_morphology_agree(spark):
             assert {(r.r, r.c) for r in f(d, kernel).collect()} == {(int(r), int(c)) for r, c in np.argwhere(kernels.morph(on, kernel, grow))}
 
 
+def test_steps_on_blocks_equal_steps_on_cells(spark):
+    """Closing and opening, two dates, over blocks of 7 cells and at the image's border; repeated cells."""
+    rng = np.random.default_rng(12)
+    rows = [(1, e, int(r), int(c), 23, 31) for e in (0, 1) for r, c in np.argwhere(rng.random((23, 31)) < 0.3 + 0.2 * e)]
+    d = spark.createDataFrame(rows + rows[:9], "scene long, epoch int, r int, c int, h int, w int")
+    plain = lambda x: sorted((r.epoch, r.r, r.c, r.h, r.w) for r in x.collect())
+    for k in (pixels.rectangle(3), pixels.ellipse(5)):
+        assert plain(pixels.morphed(d, [(k, True), (k, False), (k, False), (k, True)], block=7)) == plain(pixels.opened(pixels.closed(d, k), k))
+        assert plain(pixels.morphed(d, [(k, False), (k, True)], block=256)) == plain(pixels.opened(d.distinct(), k))
+    assert pixels.morphed(d.where("r < 0"), [(pixels.rectangle(3), False)]).count() == 0
+
+
 def test_ellipse_five():
     assert len(pixels.ellipse(5)) == 17 and len(pixels.ellipse(1)) == 1
 
