@@ -166,8 +166,8 @@ def progress(fraction: Column) -> Column:
 
 
 def iso_date(epoch_ms: Column) -> Column:
-    """UTC date of milliseconds since 1970."""
-    return F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM-dd")
+    """UTC date of milliseconds since 1970. Years after 9999 have more digits and, unlike in date_format, no plus sign."""
+    return F.ltrim(F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM-dd"), F.lit("+"))
 
 
 def data_uri(content: Column, mime: str) -> Column:
