@@ -1,7 +1,7 @@
 """Outlines of objects, and cells of polygons.
 
 `outline_points` numbers the corners of an object of any size: pieces of its border are traced inside blocks and put in order by
-list ranking. `outlines` gives rings as arrays, for objects whose cells fit a row. Polygons are filled row by row in the JVM."""
+list ranking. `outlines` gives rings as arrays, for objects whose cells fit a row. Polygons are filled by runs of cells, each ring where it lies."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,29 +95,82 @@ def least_rectangles(cells: DataFrame, key: list[str], rows: int = 256) -> DataF
     return hulls(cells, key, rows).withColumn("_l", _least("hull")).select(*key, "hull", F.col("_l.area").alias("area"), F.col("_l.ring").alias("ring"))
 
 
-def filled(rings: DataFrame, key: list[str]) -> DataFrame:
-    """key, h, w, r, c: the cells of each ring (column ring) inside the image (h, w): centres inside by the even-odd rule, and the border.
+#: Crossings and border cells that are worked on at once, unless one ring has more.
+MOST_ITEMS = 500_000
+
+
+def _runs(x: np.ndarray, y: np.ndarray, ends: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ring, row, first and last column of the runs of cells of rings; x, y: points of all rings, ends: where each ring's points end."""
+    n = np.diff(ends, prepend=0)
+    ring = np.repeat(np.arange(len(n)), n)
+    after = np.arange(1, len(x) + 1)
+    after[ends - 1] = ends - n
+    x0, y0, x1, y1, rows, cols = x, y, x[after], y[after], h[ring], w[ring]
+    tall, wide = int(h.max()), int(w.max()) + 1  # a place in all rings: (ring * tall + row) * wide + column
+
+    def counted(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The side and the number of each of `count` numbers from `first` on."""
+        side = np.repeat(np.arange(len(count)), count)
+        return side, first[side] + np.arange(len(side)) - np.repeat(np.cumsum(count) - count, count)
+
+    top = np.maximum(np.minimum(y0, y1), 0)
+    s, r = counted(top, np.maximum(np.minimum(np.maximum(y0, y1), rows) - top, 0))
+    at = np.ceil(x0[s] + (r - y0[s]) * (x1[s] - x0[s]) / (y1[s] - y0[s])).astype(np.int64)
+    cross = np.sort((ring[s] * tall + r) * wide + np.clip(at, 0, cols[s]))  # an even number in each row
+    steps = np.maximum(np.maximum(np.abs(x1 - x0), np.abs(y1 - y0)), 1)
+    s, i = counted(np.zeros_like(steps), steps + 1)
+    t = np.where(i == steps[s], 1.0, i * (1.0 / steps[s]))
+    r, c = (np.rint(a[s] + (b[s] - a[s]) * t).astype(np.int64) for a, b in ((y0, y1), (x0, x1)))
+    inside = (r >= 0) & (c >= 0) & (r < rows[s]) & (c < cols[s])
+    border = ((ring[s] * tall + r) * wide + c)[inside]
+    some = cross[1::2] > cross[::2]
+    # the first i runs by their start are all over before the next one where the i-th end lies before its start
+    start, end = np.sort(np.concatenate([cross[::2][some], border])), np.sort(np.concatenate([cross[1::2][some] - 1, border]))
+    gap = start[1:] > end[:-1] + 1
+    start, end = start[np.append(True, gap)] if len(start) else start, end[np.append(gap, True)] if len(end) else end
+    line = start // wide
+    return line // tall, line % tall, start % wide, end - line * wide
+
+
+def filled_runs(rings: DataFrame, key: list[str]) -> DataFrame:
+    """key, h, w, r, a, b: the cells of each ring (column ring) inside the image (h, w) as runs of columns a to b of row r, none of which
+    meet: centres inside by the even-odd rule, and the border. The key tells rings apart.
 
     Every side of a ring gives its crossing with each row of cells, half open; crossings of a row are sorted, and each odd one opens a
-    span that the next one closes. So a ring is as many groups as it has rows. A null or empty ring has no cells."""
-    at = [*key, "h", "w"]
-    n, v = F.size("ring"), lambda i: F.element_at("ring", i.cast("int"))
-    sides = rings.where(n > 0).select(*at, F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(v(i).alias("a"), v(i % n + 1).alias("b")))).alias("_s"))
-    whole = lambda p, f: F.col(f"_s.{p}.{f}").cast("long")
-    sides = sides.select(*at, whole("a", "x").alias("_x0"), whole("a", "y").alias("_y0"), whole("b", "x").alias("_x1"), whole("b", "y").alias("_y1"))
-    top, end = F.greatest(F.least("_y0", "_y1"), F.lit(0)), F.least(F.greatest("_y0", "_y1"), F.col("h")) - 1
-    rows = sides.where(end >= top).withColumn("_y", F.explode(F.sequence(top, end)))
-    cross = rows.select(*at, "_y", (F.col("_x0") + (F.col("_y") - F.col("_y0")) * (F.col("_x1") - F.col("_x0")) / (F.col("_y1") - F.col("_y0"))).alias("_x"))
-    line = Window.partitionBy(*at, "_y").orderBy("_x")
-    spans = cross.select(*at, "_y", F.ceil("_x").alias("_from"), (F.ceil(F.lead("_x").over(line)) - 1).alias("_to"), F.row_number().over(line).alias("_i")).where("_i % 2 = 1")
-    spans = spans.select(*at, "_y", F.greatest("_from", F.lit(0)).alias("_from"), F.least("_to", F.col("w") - 1).alias("_to")).where("_to >= _from")
-    inside = spans.select(*at, F.col("_y").alias("r"), F.explode(F.sequence("_from", "_to")).alias("c"))
-    steps = F.greatest(F.abs(F.col("_x1") - F.col("_x0")), F.abs(F.col("_y1") - F.col("_y0")), F.lit(1))
-    t = F.when(F.col("_i") == F.col("_n"), 1.0).otherwise(F.col("_i") * (1.0 / F.col("_n")))
-    dots = sides.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))))
-    border = dots.select(*at, *[F.rint(F.col(f"_{q}0") + (F.col(f"_{q}1") - F.col(f"_{q}0")) * t).cast("long").alias(o) for q, o in (("y", "r"), ("x", "c"))])
-    border = border.where("r >= 0 AND c >= 0 AND r < h AND c < w")
-    return inside.unionByName(border).withColumns({"r": F.col("r").cast("int"), "c": F.col("c").cast("int")}).distinct()
+    run that the next one closes. A ring is a row and is filled where it lies, MOST_ITEMS crossings and border cells at once or one ring's.
+    A ring that is null or empty, or holds a null, has no cells."""
+    schema = T.StructType([*rings.select(*key, "h", "w").schema.fields, *T._parse_datatype_string("r int, a int, b int").fields])
+    part = lambda f: F.transform("ring", lambda p: p[f].cast("long")).alias(f"_{f}")
+    whole = rings.where((F.size("ring") > 0) & F.forall("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull()) & (F.col("h") > 0) & (F.col("w") > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "w"))
+            x, y = batch.column("_x"), batch.column("_y")
+            n = x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            x, y = x.flatten().to_numpy(zero_copy_only=False), y.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(n)
+            first = ends - n
+            # at most two numbers for each cell that a side passes
+            far = np.maximum(np.abs(np.diff(x, append=x[:1])), np.abs(np.diff(y, append=y[:1]))) + 2
+            size = np.add.reduceat(far, first) * 2 if len(n) else n
+            s = 0
+            while s < len(n):
+                e = max(s + 1, s + int(np.searchsorted(np.cumsum(size[s:]), MOST_ITEMS, "right")))
+                while e > s + 1 and (e - s) * int(h[s:e].max()) * (int(w[s:e].max()) + 1) >= 1 << 62:
+                    e = (s + e) // 2
+                points = slice(first[s], ends[e - 1])
+                ring, *out = _runs(x[points], y[points], ends[s:e] - first[s], h[s:e], w[s:e])
+                own = [batch.column(k).take(pa.array(ring + s)) for k in range(batch.num_columns - 2)]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(v.astype(np.int32)) for v in out]], schema.names)
+                s = e
+
+    return whole.select(*key, "h", "w", part("x"), part("y")).mapInArrow(run, schema)
+
+
+def filled(rings: DataFrame, key: list[str]) -> DataFrame:
+    """key, h, w, r, c: the same cells, a row each."""
+    return filled_runs(rings, key).select(*key, "h", "w", "r", F.explode(F.sequence("a", "b")).alias("c"))
 
 
 #: Directions of the eight neighbours as (row, column), clockwise from the right.

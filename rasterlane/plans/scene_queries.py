@@ -11,6 +11,7 @@ from rasterlane.operators import parallax, pixels, polygons, timeline
 from rasterlane.operators.percentiles import percentiles
 from rasterlane.plans.bindings import CELLS, TALL_CELLS, blocks, table, tall_blocks
 from rasterlane.sources import images
+from rasterlane.sources.shared import dealt
 
 C = F.col
 OBJECT, SUPPORT, MIN_PX = 0.10, 0.05, 2
@@ -114,8 +115,11 @@ def polygon_cells(spark, d):
     k = C("o_orderkey")
     at = lambda a, n: (k * a % n - 6).cast("int")
     ring = F.array(*[F.struct(at(a, 60).alias("x"), at(b, 52).alias("y")) for a, b in CORNERS])
-    rings = table(spark, d, "orders").select(k.alias("id"), F.lit(40).alias("h"), F.lit(48).alias("w"), ring.alias("ring"))
-    return polygons.filled(rings, ["id"]).groupBy("id").agg(F.count("*").alias("cells"), F.sum((C("r") * 48 + C("c")).cast("long")).alias("places"))
+    orders = dealt(table(spark, d, "orders").select("o_orderkey"), 50_000, "o_orderkey")
+    rings = orders.select(k.alias("id"), F.lit(40).alias("h"), F.lit(48).alias("w"), ring.alias("ring"))
+    n = C("b") - C("a") + 1
+    places = n * C("r") * 48 + F.expr("(a + b) * (b - a + 1) div 2")
+    return polygons.filled_runs(rings, ["id"]).groupBy("id").agg(F.sum(n.cast("long")).alias("cells"), F.sum(places.cast("long")).alias("places"))
 
 
 #: Factors of an order's key, for the x and y of each point.

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def dealt(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """rows dealt out by key to tasks of about `most` rows, however few files or bytes they have: for steps that make much of a row.
+    Counts the rows, so they should be cheap to read."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / most)), *key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Only in local mode, where it may be unset, a temporary folder takes its place."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,8 +1,10 @@
 """What came to light on larger tables: keys, and with them dates, that small tables do not reach, and work that one task must not hold."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rasterlane.functions import rules
+from rasterlane.operators import kernels, polygons
 from rasterlane.sources import captures
 
 
@@ -14,3 +16,21 @@ def test_dates_after_the_year_9999(spark):
 def test_captures_after_the_year_9999(spark):
     answers = spark.createDataFrame([('{"features":[{"attributes":{"SRC_DATE2":253402300800000}}]}',), ('{"features":[{"attributes":{"SRC_DATE2":"+5"}}]}',)], "answer string")
     assert [r[0] for r in answers.select(captures.capture(F.col("answer"))["date"]).collect()] == ["10000-01-01", "+5"]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filling_polygons_sends_no_cell(spark):
+    rng = np.random.default_rng(4)
+    rings = [[{"x": int(x), "y": int(y)} for x, y in rng.integers(-40, 900, (n, 2))] for n in rng.integers(1, 9, 150)]
+    d = spark.createDataFrame([({"a": k}, 700, 800, r) for k, r in enumerate(rings)] + [({"a": 77}, 5, 5, [{"x": 1, "y": None}])], "k struct<a:int>, h int, w int, ring array<struct<x:int,y:int>>").coalesce(1)
+    assert "Exchange" not in plan(polygons.filled(d, ["k"]))
+    runs = polygons.filled_runs(d, ["k"]).toPandas()
+    runs["k"] = [k["a"] for k in runs.k]
+    for k, ring in enumerate(rings):
+        on = np.zeros((700, 800), int)
+        for r in runs[runs.k == k].itertuples():
+            on[r.r, r.a : r.b + 1] += 1
+        assert (on == kernels.filled([(p["x"], p["y"]) for p in ring], 700, 800)).all()
