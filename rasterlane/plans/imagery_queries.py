@@ -10,6 +10,7 @@ from rasterlane.plans import object_queries
 from rasterlane.plans.bindings import POINTS, points, table
 from rasterlane.plans.point_queries import _TX, _TY
 from rasterlane.sources import captures, catalogs, georef, jpeg, tiles, wkt
+from rasterlane.sources.shared import dealt
 
 C = F.col
 
@@ -22,7 +23,7 @@ def _pairs(spark, d):
 
 def _scanned(spark, d):
     """Tiles of both dates of every point; the cache lacks every seventh tile by the sum of its numbers, and all of one release's far north."""
-    want = tiles.pair(_pairs(spark, d))
+    want = tiles.pair(dealt(_pairs(spark, d), 20_000, "id"))  # a point has up to 18 tiles
     number = C("ty") + C("tx") + C("release_id").cast("int")
     cache = want.select(*tiles.KEY).distinct().where((number % 7 != 0) & ~((C("release_id") == "16453") & (C("ty") < 40000))).withColumn("content", F.lit("x").cast("binary"))
     return tiles.scan(want, cache)[0]

@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 
 from rasterlane.functions import rules
 from rasterlane.operators import kernels, polygons
+from rasterlane.plans import imagery_queries
 from rasterlane.sources import captures
+from rasterlane.sources.shared import dealt
+
+DIR = "/root/testdata/sf0.001"
 
 
 def test_dates_after_the_year_9999(spark):
@@ -34,3 +38,10 @@ def test_filling_polygons_sends_no_cell(spark):
         for r in runs[runs.k == k].itertuples():
             on[r.r, r.a : r.b + 1] += 1
         assert (on == kernels.filled([(p["x"], p["y"]) for p in ring], 700, 800)).all()
+
+
+def test_rows_that_make_many_are_dealt_out(spark, tmp_path):
+    one = spark.range(1000).coalesce(1)
+    assert dealt(one, 100, "id").rdd.getNumPartitions() == 10 and dealt(one, 10_000, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    for query in (imagery_queries.tile_scan, imagery_queries.usable_pairs):
+        assert plan(query(spark, DIR)).count("REPARTITION_BY_NUM") >= 3
