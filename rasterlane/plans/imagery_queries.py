@@ -51,8 +51,8 @@ def metadata_requests(spark, d):
     """What is asked for each point and year, by the layers that the configuration names."""
     entries = ",".join(f'"{i}":{{"metadataLayerUrl":"http://m/{y}"}}' for y, i, _, _ in catalogs.RELEASES if y != "2020")
     config = spark.createDataFrame([("{" + entries + "}",)], "config string")
-    asked = captures.at_years(points(spark, d).select("id", "lat", "lon"), catalogs.releases(spark))
-    return asked.join(captures.layer_urls(config), "release_id").select("id", "year", captures.query_url(C("layer_url"), C("lat"), C("lon")).alias("url"))
+    asked = captures.at_years(dealt(points(spark, d).select("id", "lat", "lon"), 50_000, "id"), catalogs.releases(spark))
+    return asked.join(F.broadcast(captures.layer_urls(config)), "release_id").select("id", "year", captures.query_url(C("layer_url"), C("lat"), C("lon")).alias("url"))  # six layers: a join by their keys would be six tasks' work
 
 
 def capture_lookup(spark, d):

@@ -45,3 +45,12 @@ def test_rows_that_make_many_are_dealt_out(spark, tmp_path):
     assert dealt(one, 100, "id").rdd.getNumPartitions() == 10 and dealt(one, 10_000, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     for query in (imagery_queries.tile_scan, imagery_queries.usable_pairs):
         assert plan(query(spark, DIR)).count("REPARTITION_BY_NUM") >= 3
+
+
+def test_requests_are_not_joined_by_their_few_layers(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(imagery_queries.metadata_requests(spark, DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
