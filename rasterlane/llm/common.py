@@ -7,11 +7,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlane.sources.shared import drop_path, new_path, written  # noqa: F401
+from rasterlane.sources.shared import ARROW_BYTES, ARROW_KEY, bound_batches, drop_path, new_path, written  # noqa: F401
 
 #: Java regex of one word: anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-ARROW_KEY, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,13 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of ARROW_BYTES at most, unless the session has a bound of its own: so what a task holds of long texts has a bound in
-    the JVM as in Python. Spark has this as a setting of the session alone, so it stays set."""
-    if spark.conf.get(ARROW_KEY, None) is None:
-        spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(text, UPPER, LOWER)

@@ -56,20 +56,21 @@ def edge_strength(x: np.ndarray) -> np.ndarray:
 
 
 def morph(on: np.ndarray, kernel: list[tuple[int, int]], grow: bool) -> np.ndarray:
-    """Dilation or erosion by a symmetric kernel; what lies outside the array does not count. Rows of the kernel are runs."""
+    """Dilation or erosion by a symmetric kernel; what lies outside the array does not count. Rows of the kernel are runs.
+    on: a mask, or a stack of masks of a size."""
     x = on if grow else ~on
-    h, w = x.shape
+    h, w = x.shape[-2:]
     out = np.zeros_like(x)
     wide: dict[int, int] = {}
     for dy, dx in kernel:
         wide[dy] = max(wide.get(dy, 0), dx)
     for dy, r in wide.items():
-        run = np.zeros((h, w + 1), np.int32)
-        run[:, 1:] = np.cumsum(x, 1)
+        run = np.zeros((*x.shape[:-1], w + 1), np.int32)
+        run[..., 1:] = np.cumsum(x, -1)
         hi, lo = np.minimum(np.arange(w) + r + 1, w), np.maximum(np.arange(w) - r, 0)
-        line = run[:, hi] - run[:, lo] > 0
+        line = run[..., hi] - run[..., lo] > 0
         a, b = max(0, dy), min(h, h + dy)
-        out[a:b] |= line[a - dy : b - dy]
+        out[..., a:b, :] |= line[..., a - dy : b - dy, :]
     return out if grow else ~out
 
 

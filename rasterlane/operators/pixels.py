@@ -7,16 +7,20 @@ That suits small kernels; wide ones run on blocks (blocks.py). As in image libra
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterlane.sources.shared import bound_batches
+
 from .kernels import morph
 
 KEY = ["scene", "epoch"]
 WIDE = 64  # offsets over which a dilation runs on blocks
+MOST_CELLS = 500_000  # of blocks that are worked on at once
 
 
 def rectangle(k: int) -> list[tuple[int, int]]:
@@ -70,29 +74,43 @@ def dilate_blocks(cells: DataFrame, kernel: list[tuple[int, int]], keep: list[st
 
 def morphed(cells: DataFrame, steps: list[tuple[list[tuple[int, int]], bool]], keep: list[str] = [], block: int = 256) -> DataFrame:
     """Dilations (kernel, True) and erosions (kernel, False), one after the other, in one shuffle: cells are sent to the blocks that all
-    steps together reach from them, four at most where that is less than a block, and a task works on a block as an array. What lies
+    steps together reach from them, four at most where that is less than a block, and a task works on stacks of blocks, of MOST_CELLS cells
+    or of one block. What lies
     outside the image is not set for a dilation and set for an erosion; kernels are symmetric and hold their centre."""
     reach = sum(max(max(abs(i), abs(j)) for i, j in kernel) for kernel, _ in steps)
     to = lambda v, n: F.explode(F.sequence((F.greatest(F.lit(0), F.col(v) - reach) / block).cast("int"), (F.least(F.col(n) - 1, F.col(v) + reach) / block).cast("int")))
     sent = cells.select(*KEY, *keep, "r", "c", "h", "w", to("r", "h").alias("by")).withColumn("bx", to("c", "w"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        one = frame.iloc[0]
-        y0, x0 = one["by"] * block - reach, one["bx"] * block - reach
-        on = np.zeros((block + 2 * reach, block + 2 * reach), bool)
-        on[frame["r"] - y0, frame["c"] - x0] = True
-        y, x = np.arange(len(on)) + y0, np.arange(len(on)) + x0
-        outside = ~(((y >= 0) & (y < one["h"]))[:, None] & ((x >= 0) & (x < one["w"])))
+    side = block + 2 * reach
+    at = ((F.col("r") - F.col("by") * block + reach) * side + F.col("c") - F.col("bx") * block + reach).cast("int")
+    packed = sent.groupBy(*KEY, *keep, "h", "w", "by", "bx").agg(F.collect_list(at).alias("at"))
+    bound_batches(cells.sparkSession)
+
+    def stack(part: pa.RecordBatch) -> pa.RecordBatch:
+        h, w, by, bx = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "w", "by", "bx"))
+        n, at = len(h), part.column("at")
+        on = np.zeros(n * side * side, bool)
+        on[np.repeat(np.arange(n), at.value_lengths().to_numpy()) * side * side + at.flatten().to_numpy()] = True
+        on = on.reshape(n, side, side)
+        y, x = ((b * block - reach)[:, None] + np.arange(side) for b in (by, bx))
+        outside = ~(((y >= 0) & (y < h[:, None]))[:, :, None] & ((x >= 0) & (x < w[:, None]))[:, None, :])
         for kernel, grow in steps:
             on[outside] = not grow
             on = morph(on, kernel, grow)
         on[outside] = False
-        r, c = np.nonzero(on[reach : reach + block, reach : reach + block])
-        out = {k: [one[k]] * len(r) for k in (*KEY, *keep, "h", "w")} | {"r": (r + y0 + reach).astype(np.int32), "c": (c + x0 + reach).astype(np.int32)}
-        return pd.DataFrame(out, columns=names)
+        i, r, c = np.nonzero(on[:, reach : reach + block, reach : reach + block])
+        own = {k: part.column(k).take(pa.array(i)) for k in (*KEY, *keep, "h", "w")}
+        own |= {"r": pa.array((r + by[i] * block).astype(np.int32)), "c": pa.array((c + bx[i] * block).astype(np.int32))}
+        return pa.RecordBatch.from_arrays([own[k] for k in names], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = max(1, MOST_CELLS // side**2)
+        for batch in batches:
+            for s in range(0, batch.num_rows, few):
+                yield stack(batch.slice(s, few))
 
     names = [*KEY, *keep, "r", "c", "h", "w"]
-    return sent.groupBy(*KEY, *keep, "by", "bx").applyInPandas(run, cells.select(*names).schema)
+    schema = cells.select(*KEY, *keep, F.col("r").cast("int"), F.col("c").cast("int"), "h", "w").schema
+    return packed.mapInArrow(run, schema)
 
 
 def erode(cells: DataFrame, kernel: list[tuple[int, int]], keep: list[str] = []) -> DataFrame:

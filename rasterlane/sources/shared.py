@@ -6,10 +6,20 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
-def dealt(rows: DataFrame, most: int, *key: str) -> DataFrame:
+ARROW_KEY, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_BYTES at most, unless the session has a bound of its own: so what a task holds of long texts or large blocks has a bound in
+    the JVM as in Python. Spark has this as a setting of the session alone, so it stays set."""
+    if spark.conf.get(ARROW_KEY, None) is None:
+        spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
+
+
+def dealt(rows: DataFrame, most: int, *key: str | Column) -> DataFrame:
     """rows dealt out by key to tasks of about `most` rows, however few files or bytes they have: for steps that make much of a row.
     Counts the rows, so they should be cheap to read."""
     spark = rows.sparkSession

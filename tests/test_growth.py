@@ -4,8 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterlane.functions import rules
-from rasterlane.operators import kernels, polygons
-from rasterlane.plans import imagery_queries
+from rasterlane.operators import kernels, pixels, polygons
+from rasterlane.plans import bindings, imagery_queries
 from rasterlane.sources import captures
 from rasterlane.sources.shared import dealt
 
@@ -54,3 +54,15 @@ def test_requests_are_not_joined_by_their_few_layers(spark):
         assert "SortMergeJoin" not in plan(imagery_queries.metadata_requests(spark, DIR))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_blocks_are_worked_on_in_stacks(spark):
+    on = spark.range(40).selectExpr("id div 2 AS scene", "0 AS epoch", "cast(id % 7 AS int) AS r", "cast(id % 5 AS int) AS c", "20 AS h", "9 AS w", "struct(id % 2 AS part) AS part")
+    grown = pixels.morphed(on, [(pixels.rectangle(3), True)], ["part"], 4)
+    assert "MapInArrow" in plan(grown) and "FlatMapGroups" not in plan(grown)
+    want = pixels.dilate(on, pixels.rectangle(3), ["part"])
+    assert sorted(map(str, grown.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_scenes_are_dealt_out(spark):
+    assert "REPARTITION_BY_NUM" in plan(bindings.blocks(spark, DIR)) and "REPARTITION_BY_NUM" in plan(bindings.tall_blocks(spark, DIR))
