@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterlane.sources.shared import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,17 +35,22 @@ OBJECTS = """(SELECT l_suppkey AS patch, CASE WHEN l_returnflag = 'A' AND l_line
  l_orderkey AS a, l_linenumber AS b, l_partkey AS c, l_discount AS same, l_tax AS other, l_extendedprice AS d FROM lineitem)"""
 
 
+def _vectors(spark: SparkSession, sf_dir: str, per_scene: int) -> DataFrame:
+    """Vectors dealt out by scene: a file of them is few bytes, its cells are many rows."""
+    return dealt(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 8192, F.expr(f"vec_id div {per_scene}"))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     side = lambda n: F.lit(n).cast("int")
-    return table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select(F.expr("vec_id div 2").alias("scene"), (v % 2).cast("int").alias("epoch"), side(0).alias("y0"), side(0).alias("x0"), side(8).alias("bw"), side(8).alias("h"), side(8).alias("w"), F.col("embedding").alias("p"))
+    return _vectors(spark, sf_dir, 2).where(F.size("embedding") == 64).select(F.expr("vec_id div 2").alias("scene"), (v % 2).cast("int").alias("epoch"), side(0).alias("y0"), side(0).alias("x0"), side(8).alias("bw"), side(8).alias("h"), side(8).alias("w"), F.col("embedding").alias("p"))
 
 
 def tall_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen vectors one over the other as a date of a scene of 128 x 8 cells, in blocks of 8 x 8: the borders of blocks matter."""
     v = F.col("vec_id")
     side = lambda n: F.lit(n).cast("int")
-    return table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select(F.expr("vec_id div 32").alias("scene"), F.expr("vec_id div 16 % 2").cast("int").alias("epoch"), (v % 16 * 8).cast("int").alias("y0"), side(0).alias("x0"), side(8).alias("bw"), side(128).alias("h"), side(8).alias("w"), F.col("embedding").alias("p"))
+    return _vectors(spark, sf_dir, 32).where(F.size("embedding") == 64).select(F.expr("vec_id div 32").alias("scene"), F.expr("vec_id div 16 % 2").cast("int").alias("epoch"), (v % 16 * 8).cast("int").alias("y0"), side(0).alias("x0"), side(8).alias("bw"), side(128).alias("h"), side(8).alias("w"), F.col("embedding").alias("p"))
 
 
 TALL_CELLS = """(SELECT vec_id // 32 AS scene, CAST(vec_id // 16 % 2 AS INTEGER) AS epoch, CAST(vec_id % 16 * 8 + (i - 1) // 8 AS INTEGER) AS r, CAST((i - 1) % 8 AS INTEGER) AS c, p FROM
