@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from rasterlane.functions import rules
 from rasterlane.operators.graph import components
-from rasterlane.operators.pixels import KEY, dilate, ellipse, morphed, opened
-from rasterlane.sources.shared import written
+from rasterlane.operators.pixels import KEY, MOST_CELLS, dilate, ellipse, morphed, opened
+from rasterlane.sources.shared import bound_batches, written
 
 EIGHT = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 ROW = 1 << 31
@@ -51,7 +51,7 @@ def block_labels(bits: pd.Series, bh: pd.Series, bw: pd.Series) -> pd.Series:
     sizes = pd.MultiIndex.from_arrays([bh, bw])
     for (h, w), rows in pd.Series(np.arange(len(bits)), index=sizes).groupby(level=[0, 1]):
         rows = rows.to_numpy()
-        step = max(1, 4_000_000 // max(1, h * w))
+        step = max(1, MOST_CELLS // max(1, h * w))
         for s in range(0, len(rows), step):
             some = rows[s : s + step]
             stack = np.frombuffer(b"".join(bits.iloc[i] for i in some), np.uint8).reshape(len(some), h, w) > 0
@@ -63,6 +63,7 @@ def block_labels(bits: pd.Series, bh: pd.Series, bw: pd.Series) -> pd.Series:
 def label(cells: DataFrame, block: int = 256, keep: list[str] = []) -> DataFrame:
     """cells (scene, epoch, r, c, h, w) with a column label. keep: further columns that tell masks apart."""
     key = [*KEY, *keep]
+    bound_batches(cells.sparkSession)
     cells = cells.select(*key, "r", "c", "h", "w", (F.col("r") / block).cast("int").alias("by"), (F.col("c") / block).cast("int").alias("bx"))
     side = lambda b, n: F.least(F.lit(block), F.col(n) - F.col(b) * block)
     at = (F.col("r") % block * side("bx", "w") + F.col("c") % block).cast("int")
