@@ -7,6 +7,7 @@ to the cache; placeholders never are."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from rasterlane.sources import catalogs, jpeg
 KEY = ["release_id", "zoom", "ty", "tx"]
 TILE, PLACEHOLDER = 256, 200
 AT_ONCE = 16  # tiles whose pixels a task holds at once, 0.8 MB each
+KEPT = 128  # files whose pixels a task keeps, 0.2 MB each
 ANALYSIS_ZOOM = 17
 
 
@@ -78,6 +80,21 @@ def placeholder() -> Column:
     return F.unhex(F.repeat(F.lit(f"{PLACEHOLDER:02X}"), 3 * TILE * TILE))
 
 
+def tile_reader() -> Callable[[bytes | None], tuple[np.ndarray, float]]:
+    """Gives a file's pixels as a whole tile, and the share of them that have the placeholder's grey. The last KEPT different files are
+    read once: services send one file for all places without imagery, and many tiles are one colour."""
+
+    @lru_cache(KEPT)
+    def read(content: bytes | None) -> tuple[np.ndarray, float]:
+        x = jpeg.pixels_or_none(content)
+        block = np.full((TILE, TILE, 3), PLACEHOLDER if x is None else 0, np.uint8)
+        if x is not None:
+            block[: x.shape[0], : x.shape[1]] = x[:TILE, :TILE]
+        return block, float((block == PLACEHOLDER).all(2).mean())
+
+    return read
+
+
 def mosaic(tiles: DataFrame) -> DataFrame:
     """Tiles (scene, epoch, grid_size, row, col, content) as the blocks of the images that they make up, in the columns of
     operators.blocks, and is_placeholder, whether over nine tenths of a block are the placeholder's grey.
@@ -86,17 +103,10 @@ def mosaic(tiles: DataFrame) -> DataFrame:
     placeholder; of tiles in another size the top left part counts, and what they leave open is black."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat = np.full((TILE, TILE, 3), PLACEHOLDER, np.float32)
+        read = tile_reader()
         for frame in (whole.iloc[i : i + AT_ONCE] for whole in frames for i in range(0, len(whole), AT_ONCE)):
-            data, grey = [], []
-            for content in frame["content"]:
-                x, block = jpeg.pixels_or_none(content), flat
-                if x is not None:
-                    block = np.zeros((TILE, TILE, 3), np.float32)
-                    block[: x.shape[0], : x.shape[1]] = x[:TILE, :TILE]
-                data.append(block.tobytes())
-                grey.append(float((block == PLACEHOLDER).all(2).mean()))
-            yield frame.drop(columns="content").assign(data=data, grey=grey)
+            found = [read(content) for content in frame["content"]]
+            yield frame.drop(columns="content").assign(data=[x.astype(np.float32).tobytes() for x, _ in found], grey=[grey for _, grey in found])
 
     side = (F.col("grid_size") * TILE).cast("int")
     place = {"y0": F.col("row") * TILE, "x0": F.col("col") * TILE, "bh": F.lit(TILE), "bw": F.lit(TILE), "h": side, "w": side, "bands": F.lit(3)}

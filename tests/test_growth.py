@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rasterlane.functions import rules
 from rasterlane.operators import kernels, pixels, polygons
 from rasterlane.plans import bindings, imagery_queries
-from rasterlane.sources import captures
+from rasterlane.sources import captures, tiles
 from rasterlane.sources.shared import dealt
 
 DIR = "/root/testdata/sf0.001"
@@ -66,3 +66,15 @@ def test_blocks_are_worked_on_in_stacks(spark):
 
 def test_scenes_are_dealt_out(spark):
     assert "REPARTITION_BY_NUM" in plan(bindings.blocks(spark, DIR)) and "REPARTITION_BY_NUM" in plan(bindings.tall_blocks(spark, DIR))
+
+
+def test_equal_tiles_are_read_once(monkeypatch):
+    calls = []
+    x = np.full((300, 200, 3), 200, np.uint8)
+    monkeypatch.setattr(tiles.jpeg, "pixels_or_none", lambda c: calls.append(c) or (x if c else None))
+    read = tiles.tile_reader()
+    for _ in range(3):
+        block, grey = read(b"a")
+        assert block.shape == (256, 256, 3) and (block[:, :200] == 200).all() and not block[:, 200:].any() and grey == 200 / 256
+        assert read(None)[1] == 1
+    assert calls == [b"a", None]
