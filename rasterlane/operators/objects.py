@@ -89,16 +89,16 @@ def _join_seams(cells: DataFrame, block: int, key: list[str]) -> DataFrame:
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in EIGHT])
     moved = edge.select(*key, F.col("label").alias("other"), "r", "c", F.explode(near).alias("o"))
     moved = moved.select(*key, "other", (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
-    touch = edge.join(moved, [*key, "r", "c"]).where("label > other").select(*key, "label", "other").distinct()
+    touch = edge.join(moved.hint("merge"), [*key, "r", "c"]).where("label > other").select(*key, "label", "other").distinct()
     # a name that is one number over all masks, for the contraction
     name = lambda c: F.xxhash64(*key, c)
     links = touch.select(name("label").alias("u"), name("other").alias("v"))
     if links.isEmpty():
         return cells
     found = components(links)
-    named = touch.select(*key, F.explode(F.array("label", "other")).alias("label")).distinct().withColumn("node", name("label")).join(found.select("node", F.col("label").alias("hub")), "node")
-    least = named.groupBy(*key, "hub").agg(F.min("label").alias("new")).join(named, [*key, "hub"]).select(*key, "label", "new")
-    return cells.join(least, [*key, "label"], "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+    named = touch.select(*key, F.explode(F.array("label", "other")).alias("label")).distinct().withColumn("node", name("label")).join(found.select("node", F.col("label").alias("hub")).hint("merge"), "node")
+    least = named.groupBy(*key, "hub").agg(F.min("label").alias("new")).join(named.hint("merge"), [*key, "hub"]).select(*key, "label", "new")
+    return cells.join(least.hint("merge"), [*key, "label"], "left").withColumn("label", F.coalesce("new", "label")).drop("new")
 
 
 def object_stats(cells: DataFrame, keep: list[str] = []) -> DataFrame:

@@ -249,7 +249,8 @@ def outline_points(cells: DataFrame, key: list[str], size: int = 256) -> DataFra
 
     No object meets in one group: a block has its own cells and those within two of it. Pieces of borders are then ranked by pointer
     doubling: each knows how many corners lie between itself and a piece further back, and takes over what that one knows, until
-    all that lie on an outer border have come to its start. Every round is written to the shared folder."""
+    all that lie on an outer border have come to its start. Every round is written to the shared folder. Its joins are never turned into
+    broadcasts: numbers are far smaller in files than in memory, and what is sent would grow with the input."""
     spark = cells.sparkSession
     at = cells.select(*key, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
     blocks = lambda x: F.array_distinct(F.array(*[F.floor((F.col(x) + i) / size) for i in (-2, 2)]))
@@ -285,24 +286,24 @@ def outline_points(cells: DataFrame, key: list[str], size: int = 256) -> DataFra
     pieces, pieces_path = written(spread.repartition(*group).sortWithinPartitions(*group).mapInPandas(trace, piece), "pieces")
     firsts = at.groupBy(*key).agg(F.min(F.struct("r", "c")).alias("_first"))
     starts = pieces.where("start IS NOT NULL").groupBy(*key).agg(F.min(F.struct("start.r", "start.c", "node")).alias("_s"))
-    starts = firsts.join(starts, key, "left").withColumn("_node", F.when((F.col("_s.r") == F.col("_first.r")) & (F.col("_s.c") == F.col("_first.c")), F.col("_s.node")))
+    starts = firsts.join(starts.hint("merge"), key, "left").withColumn("_node", F.when((F.col("_s.r") == F.col("_first.r")) & (F.col("_s.c") == F.col("_first.c")), F.col("_s.node")))
     starts, starts_path = written(starts.select(*key, "_first", "_node"), "starts")
     count = F.size("corners").cast("long")
     back = pieces.select(*key, F.col("next").alias("node"), F.col("node").alias("back"), count.alias("_k"))
     heads = starts.where("_node IS NOT NULL").select(*key, F.col("_node").alias("node"), F.lit(True).alias("_is_start"))
-    chain = back.join(heads, [*key, "node"], "left").select(*key, "node", F.when(F.col("_is_start").isNull(), F.col("back")).alias("back"), F.when(F.col("_is_start").isNull(), F.col("_k")).otherwise(0).alias("_k"))
+    chain = back.join(heads.hint("merge"), [*key, "node"], "left").select(*key, "node", F.when(F.col("_is_start").isNull(), F.col("back")).alias("back"), F.when(F.col("_is_start").isNull(), F.col("_k")).otherwise(0).alias("_k"))
     chain, path = written(chain, "chain")
     done = chain.where("back IS NULL").count()
     while done:
         far = chain.select(*key, F.col("node").alias("back"), F.col("back").alias("_back"), F.col("_k").alias("_far"))
-        step = chain.join(far, [*key, "back"], "left").select(*key, "node", F.col("_back").alias("back"), (F.col("_k") + F.coalesce("_far", F.lit(0))).alias("_k"))
+        step = chain.join(far.hint("merge"), [*key, "back"], "left").select(*key, "node", F.col("_back").alias("back"), (F.col("_k") + F.coalesce("_far", F.lit(0))).alias("_k"))
         new, new_path = written(step, "chain")
         now = new.where("back IS NULL").count()
         drop_path(spark, path)
         chain, path, before, done = new, new_path, done, now
         if now == before:  # what is left lies around holes and never comes to a start
             break
-    ranked = chain.where("back IS NULL").select(*key, "node", "_k").join(pieces.select(*key, "node", "corners"), [*key, "node"])
+    ranked = chain.where("back IS NULL").select(*key, "node", "_k").join(pieces.select(*key, "node", "corners").hint("merge"), [*key, "node"])
     ring = ranked.select(*key, "_k", F.posexplode("corners").alias("_i", "_p")).select(*key, (F.col("_k") + F.col("_i")).alias("n"), "_p.x", "_p.y")
     alone = starts.where("_node IS NULL").select(*key, F.lit(0).cast("long").alias("n"), F.col("_first.c").cast("int").alias("x"), F.col("_first.r").cast("int").alias("y"))
     out, _ = written(ring.unionByName(alone), "outline")

@@ -4,10 +4,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterlane.functions import rules
-from rasterlane.operators import kernels, pixels, polygons
+from rasterlane.operators import graph, kernels, pixels, polygons
 from rasterlane.plans import bindings, imagery_queries
 from rasterlane.sources import captures, tiles
-from rasterlane.sources.shared import dealt
+from rasterlane.sources.shared import dealt, written
 
 DIR = "/root/testdata/sf0.001"
 
@@ -78,3 +78,12 @@ def test_equal_tiles_are_read_once(monkeypatch):
         assert block.shape == (256, 256, 3) and (block[:, :200] == 200).all() and not block[:, 200:].any() and grey == 200 / 256
         assert read(None)[1] == 1
     assert calls == [b"a", None]
+
+
+def test_links_are_not_broadcast(spark, monkeypatch):
+    """With Spark's own bound on broadcasts, under which small files of many numbers fall."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    plans = []
+    monkeypatch.setattr(graph, "written", lambda df, name: plans.append(plan(df)) or written(df, name))
+    graph.components(spark.range(9).selectExpr("id AS u", "id + 1 AS v")).collect()
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
