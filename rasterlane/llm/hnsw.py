@@ -5,9 +5,11 @@ shard's graph in numpy, inserting small batches: a batch searches the layers tha
 to diverse near nodes, which link back. Every class queries every shard, in blocks: the queries of a block descend the layers in
 lock step. The beam starts narrow, at every size of shard; a query whose links fill more than half of its beam gets one of twice the width, and so
 does the whole block while an audit of some of its queries against all of the shard finds a link missing. Beams double until both
-are content; one that has become as wide as the shard holds all of it, and is scored as one matrix product. Candidates are confirmed
+are content; one that has become as wide as the shard holds all of it, and is scored by matrix products. Candidates are confirmed
 by cosine in double precision. A task passes on, for each query, the number of vectors that it links to, and of the links only a
-spanning forest, from which components are found. A class has a number of its own; its smallest id goes with it and names components.
+spanning forest, from which components are found; links are folded into both as they are found, so a task never holds them all.
+A graph travels as a row a node with its neighbour lists: no row grows with the shard. A class has a number of its own; its smallest id goes with it
+and names components.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite number links with nothing and stays; so does a null
 id, whose component is null; vectors of different lengths do not link; repeated rows, and rows that share an id, count as vectors of their own:
@@ -17,6 +19,7 @@ equal vectors link, vectors of one id do so only if they are near, and two compo
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,9 @@ from rasterlane.sources.shared import drop_path
 from .common import table, written
 
 BLOCK = 512  # queries in lock step
+COMPONENTS = 2_000_000  # of vectors, or of a matrix of cosines, that are gathered at a time
+LONG = 128  # components of a vector: of longer ones, fewer go to a shard or block
+FOLD = 500_000  # links that a task holds before it folds them
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -55,6 +61,28 @@ class Graph:
                 if len(here):
                     self._insert(layer, here, s)
 
+    def rows(self) -> tuple[list[bytes], list[bytes]]:
+        """Of every node its neighbours on layer 0, and those on the layers above as far up as it has any."""
+        top = np.zeros(len(self.x), int)
+        for i, lists in enumerate(self.layers[1:], 1):
+            top[(lists >= 0).any(1)] = i
+        above = np.concatenate(self.layers[1:], 1) if len(self.layers) > 1 else None
+        return [y.tobytes() for y in self.layers[0]], [above[i, : k * self.links].tobytes() if k else b"" for i, k in enumerate(top.tolist())]
+
+    @classmethod
+    def of_rows(cls, x: np.ndarray, near: list[bytes], above: list[bytes]) -> Graph:
+        """The graph to search, of unit rows in the order of its nodes and what rows() gave of them."""
+        g = cls.__new__(cls)
+        g.x, g.layers = x.astype(np.float32), [np.frombuffer(b"".join(near), np.int32).reshape(len(x), -1)]
+        links = g.layers[0].shape[1] // 2
+        size = np.array([len(y) for y in above]) // (4 * links)
+        for i in range(int(size.max(initial=0))):
+            layer = np.full((len(x), links), -1, np.int32)
+            has = np.flatnonzero(size > i)
+            layer[has] = np.frombuffer(b"".join(above[j][4 * links * i : 4 * links * (i + 1)] for j in has.tolist()), np.int32).reshape(len(has), -1)
+            g.layers.append(layer)
+        return g
+
     def _insert(self, layer: int, new: np.ndarray, before: int) -> None:
         """new: nodes of this layer; nodes under `before` are in the graph."""
         q = self.x[new]
@@ -152,60 +180,98 @@ class Graph:
         return near, sim
 
 
-def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, cut: float, beam: int = 32, audited: int = 64, seed: int = 1, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Pairs (query, node) with cosine >= cut in double precision, and what the search did. exact, q: unit rows. Beams widen as the
-    module says. Of the queries of every block, `audited` are held against the whole shard at each width: those that come
+def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, cut: float, beam: int = 32, audited: int = 64, seed: int = 1, own: np.ndarray | None = None, did: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, node) with cosine >= cut in double precision, some at a time; did: filled with what the search did. exact, q: unit
+    rows. Beams widen as the module says. Of the queries of every block, `audited` are held against the whole shard at each width: those that come
     closest to a node, where links are likeliest, and as many by chance. own: the node that a query itself is (-1: none); it is
-    found with ease, so audits leave it out."""
+    found with ease, so audits leave it out. Of rows that need a wider beam no pairs are held."""
     n, rng = len(exact), np.random.default_rng(seed)
     own = np.full(len(q), -1) if own is None else own
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    did = {"searched": 0, "whole": 0, "audited_links": 0, "audit_found": 0, "widest": 0}
+    did = {} if did is None else did
+    did.update({"searched": 0, "whole": 0, "audited_links": 0, "audit_found": 0, "widest": 0})
     slack = cut - 1e-4  # of cosines in single precision
+    at_once, rows_at_once = max(1, COMPONENTS // q.shape[1]), max(1, COMPONENTS // max(n, 1))
+
+    def confirmed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        parts = [np.einsum("ij,ij->i", q[a[i : i + at_once]], exact[b[i : i + at_once]]) >= cut for i in range(0, len(a), at_once)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
 
-    def search(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(todo: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places in todo and nodes of the links of rows that are not full; which rows are full; the cosine of each row's nearest other node."""
         few = max(8, BLOCK * 32 // width)  # wide beams go in smaller groups, so that a group's memory stays as it is
-        parts = [graph.search(q[rows[i : i + few]], width) for i in range(0, len(rows), few)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        got = []
+        for i in range(0, len(todo), few):
+            rows = todo[i : i + few]
+            near, sim = graph.search(q[rows], width)
+            hit = (near >= 0) & (sim >= slack)
+            full = hit.sum(1) > width // 2  # in a dense place more may lie beyond what the beam has come to
+            a, c = np.nonzero(hit & ~full[:, None])
+            b = near[a, c]
+            ok = confirmed(rows[a], b)
+            got.append(((a[ok] + i).astype(np.int32), b[ok], full, np.where(near == own[rows, None], -3, sim).max(1, initial=-3)))
+        return tuple(np.concatenate(x) for x in zip(*got))
 
     for s in range(0, len(q), BLOCK):
         todo, width = np.arange(s, min(len(q), s + BLOCK)), beam
         while len(todo):
             if width >= n:  # the beam holds the shard
-                a, b = np.nonzero(q[todo] @ exact.T >= cut)
-                out.append((todo[a], b))
+                for i in range(0, len(todo), rows_at_once):
+                    a, b = np.nonzero(q[todo[i : i + rows_at_once]] @ exact.T >= cut)
+                    yield todo[a + i], b
                 did["whole"] += len(todo)
                 break
-            near, sim = search(todo, width)
+            a, b, full, nearest = search(todo, width)
             did["searched"] += len(todo)
             did["widest"] = max(did["widest"], width)
-            hit = (near >= 0) & (sim >= slack)
-            a, b = np.nonzero(hit)
-            b = near[a, b]
-            ok = np.einsum("ij,ij->i", q[todo[a]], exact[b]) >= cut
-            a, b = a[ok], b[ok]
-            full = hit.sum(1) > width // 2  # in a dense place more may lie beyond what the beam has come to
             rest = np.flatnonzero(~full)
-            nearest = np.where(near[rest] == own[todo[rest], None], -3, sim[rest]).max(1, initial=-3)
-            close = rest[np.argsort(-nearest, kind="stable")[: audited // 2]]
+            close = rest[np.argsort(-nearest[rest], kind="stable")[: audited // 2]]
             some = np.union1d(close, rng.choice(rest, min(audited // 2, len(rest)), replace=False)) if len(rest) else rest
-            all_links = q[todo[some]] @ exact.T >= cut
-            self_ = np.flatnonzero(own[todo[some]] >= 0)
-            all_links[self_, own[todo[some][self_]]] = False
-            want = all_links.sum(1)
+            want = np.zeros(len(some), np.int64)
+            for i in range(0, len(some), rows_at_once):
+                rows = todo[some[i : i + rows_at_once]]
+                all_links = q[rows] @ exact.T >= cut
+                self_ = np.flatnonzero(own[rows] >= 0)
+                all_links[self_, own[rows[self_]]] = False
+                want[i : i + rows_at_once] = all_links.sum(1)
             got = np.bincount(a[b != own[todo[a]]], minlength=len(todo))[some]
             did["audited_links"] += int(want.sum())
             did["audit_found"] += int(got.sum())
             width *= 2
             if (got < want).any():
                 continue  # the audit failed: all of the block once more, with a wider beam
-            done = ~full[a]
-            out.append((todo[a[done]], b[done]))
+            yield todo[a], b
             todo = todo[full]
+
+
+def linked(*args, **more) -> tuple[np.ndarray, np.ndarray, dict]:
+    """All pairs of links_of at once, and what the search did."""
+    did: dict = {}
+    out = list(links_of(*args, **more, did=did))
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *[a for a, _ in out]]), np.concatenate([none, *[b for _, b in out]]), did
 
 
+def folded(pairs: Iterator[tuple[np.ndarray, np.ndarray]], mine: np.ndarray, node: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (place in mine, place in node), but those of a class with itself: the vectors that each of mine links to, and a forest (class, smaller class) of the links."""
+    links, u, v = np.zeros(len(mine), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, some = 0, []
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        return forest(np.concatenate([u, *[mine[a] for a, _ in some]]), np.concatenate([v, *[node[b] for _, b in some]]))
+
+    for a, b in pairs:
+        other = mine[a] != node[b]
+        a, b = a[other].astype(np.int32), b[other].astype(np.int32)
+        links += np.bincount(a, times[b], minlength=len(mine)).astype(np.int64)
+        some.append((a, b))
+        held += len(a)
+        if held > FOLD:
+            u, v = fold()
+            held, some = 0, []
+    u, v = fold()
+    return links, u, v
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A column of lists of one length, a row each."""
     return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).reshape(len(column), -1)
@@ -231,20 +297,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_duplicates(vectors: DataFrame, cut: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", least_shards: int = 6, shard_rows: int = 50_000, block_rows: int = 16_384) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"  # floats travel as they are, and are made double in tasks
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
     classes, _ = written(rows.where(fine).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("times")).withColumns({"dim": F.size("v"), "node": F.monotonically_increasing_id()}), "classes")
-    n = classes.count()
+    size = classes.agg(F.count("*").alias("n"), F.coalesce(F.sum("dim"), F.lit(0)).alias("components")).first()
+    n = max(size.n, size.components // LONG)
     shards, parts = max(least_shards, math.ceil(n / shard_rows)), max(1, math.ceil(n / block_rows))
     members = classes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
 
     def build(t: pa.Table) -> pa.Table:
-        x = _matrix(t.column("v"))
-        g = Graph(unit(x))
-        blob = lambda y: pa.array([y.tobytes()], pa.binary())
-        return pa.table({"dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "id": blob(t.column("id").to_numpy()), "node": blob(t.column("node").to_numpy()), "times": blob(t.column("times").to_numpy()), "x": blob(x), "layers": pa.array([[y.tobytes() for y in g.layers]], pa.list_(pa.binary()))})
+        near, above = Graph(unit(_matrix(t.column("v")))).rows()
+        return pa.table({**{k: t.column(k) for k in ("dim", "shard", "id", "node", "times", "v")}, "place": pa.array(np.arange(len(near)), pa.int32()), "near": pa.array(near, pa.binary()), "above": pa.array(above, pa.binary())})
 
-    built, graphs = written(members.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, id binary, node binary, times binary, x binary, layers array<binary>"), "graphs")
+    built, graphs = written(members.groupBy("dim", "shard").applyInArrow(build, f"dim int, shard int, id long, node long, times long, v {kind}, place int, near binary, above binary"), "graphs")
     numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = built.withColumn("part", numbers(parts))
     right = classes.withColumns({"part": F.pmod(F.xxhash64("node", F.lit("part")), F.lit(parts)).cast("int")}).withColumn("shard", numbers(shards))
@@ -253,19 +319,16 @@ def near_duplicates(vectors: DataFrame, cut: float = 0.95, id_col: str = "vec_id
         kinds = {k: pa.int64() for k in ("node", "id", "links", "v", "v_id")}
         if not shard.num_rows or not part.num_rows:
             return pa.table({k: pa.array([], x) for k, x in kinds.items()})
-        of = lambda name, kind: np.frombuffer(shard.column(name)[0].as_py(), kind)
-        node, ids, times = of("node", np.int64), of("id", np.int64), of("times", np.int64)
-        exact = unit(of("x", np.float64).reshape(len(node), -1))
-        g = Graph.__new__(Graph)
-        g.x, g.layers = exact.astype(np.float32), [np.frombuffer(y, np.int32).reshape(len(node), -1) for y in shard.column("layers")[0].as_py()]
+        places = np.argsort(shard.column("place").to_numpy())
+        node, ids, times = (shard.column(k).to_numpy()[places] for k in ("node", "id", "times"))
+        exact = unit(_matrix(shard.column("v"))[places])
+        near, above = (shard.column(k).to_pylist() for k in ("near", "above"))
+        g = Graph.of_rows(exact, [near[i] for i in places], [above[i] for i in places])
+        del near, above
         mine = part.column("node").to_numpy()
         order = np.argsort(node)
         at = order[np.minimum(np.searchsorted(node, mine, sorter=order), len(node) - 1)]
-        a, b, _ = linked(g, exact, unit(_matrix(part.column("v"))), cut, own=np.where(node[at] == mine, at, -1))
-        other = mine[a] != node[b]
-        a, b = a[other], b[other]
-        links = np.bincount(a, times[b], minlength=len(mine)).astype(np.int64)
-        u, v = forest(mine[a], node[b])
+        links, u, v = folded(links_of(g, exact, unit(_matrix(part.column("v"))), cut, own=np.where(node[at] == mine, at, -1)), mine, node, times)
         known, first = np.unique(np.concatenate([mine, node]), return_index=True)
         id_of = lambda x: np.concatenate([part.column("id").to_numpy(), ids])[first[np.searchsorted(known, x)]]
         counted = np.flatnonzero(links > 0)

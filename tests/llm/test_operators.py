@@ -180,6 +180,49 @@ def test_small_shards_are_searched_by_graph(spark):
     assert searched == 6 and found >= 0.9 * all_
 
 
+def test_graphs_travel_as_rows_of_nodes(spark, monkeypatch):
+    """A shard's graph in one row, sent to every block of queries, took executors' memory as shards grew."""
+    rng = np.random.default_rng(9)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((900, 8)))], "vec_id long, embedding array<double>")
+    widths, put = [], hnsw.written
+
+    def written(df, name, *more):
+        got = put(df, name, *more)
+        if name == "graphs":
+            sizes = [F.octet_length(k) if t == "binary" else F.size(k) for k, t in got[0].dtypes if t == "binary" or t.startswith("array")]
+            widths.append(tuple(got[0].agg(F.count("*"), F.max(sum(sizes))).first()))
+        return got
+
+    monkeypatch.setattr(hnsw, "written", written)
+    assert hnsw.near_duplicates(d, least_shards=2).count() == 900
+    assert widths[0][0] == 900 and widths[0][1] < 1000
+    x = hnsw.unit(rng.standard_normal((3000, 8)))
+    g = hnsw.Graph(x)
+    h = hnsw.Graph.of_rows(x, *g.rows())
+    assert len(g.layers) > 1 and all((a == b).all() for a, b in zip(g.layers, h.layers))
+    assert all((a == b).all() for a, b in zip(g.search(x[:50], 32), h.search(x[:50], 32)))
+
+
+def test_links_are_folded_as_they_are_found(monkeypatch):
+    """In a dense shard links grow with its square; a task holds a bounded number of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = hnsw.unit(rng.standard_normal((1, 16)) + 0.03 * rng.standard_normal((2000, 16)))
+    node, times = np.arange(len(x)) + 7, np.ones(len(x), np.int64)
+    g = hnsw.Graph(x)
+    monkeypatch.setattr(hnsw, "FOLD", 50_000, raising=False)
+    monkeypatch.setattr(hnsw, "COMPONENTS", 200_000, raising=False)
+    tracemalloc.start()
+    links, u, v = hnsw.folded(hnsw.links_of(g, x, x, 0.95, own=np.arange(len(x))), node, node, times)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = x @ x.T >= 0.95
+    assert near.sum(1).min() > 1000 and (links == near.sum(1) - 1).mean() > 0.999
+    assert most < 40e6 < 16 * int(near.sum())  # the pairs alone
+    assert set(link_components(node.tolist(), zip(u.tolist(), v.tolist())).values()) == {7}
+
+
 def test_beams_widen_in_dense_places():
     rng = np.random.default_rng(7)
     x = hnsw.unit(np.concatenate([rng.standard_normal((1, 16)) + 0.03 * rng.standard_normal((400, 16)), rng.standard_normal((1600, 16))]))
