@@ -3,8 +3,8 @@
 Words are counted over the whole training part. The most frequent, `top_words` at most, are symbols of their own; every other word stands
 for one of `rare_classes` classes, by a hash of its last three bytes, and within a class has the probability
 (count + 1) / (class total + class words + 1), the one more being all words never seen. So P(text) = P(symbols) x product of
-P(word | class) is a probability over texts. Counts of rare words are joined by word, in a shuffle; frequent ones are bounded
-by `top_words` and sent to all tasks.
+P(word | class) is a probability over texts. Counts of rare words are joined by word, in a shuffle, with each document's distinct ones; words
+never seen in training have no count and add nothing there. Frequent ones are bounded by `top_words` and sent to all tasks.
 
 Training: stepwise Baum-Welch (Cappe and Moulines 2009; Liang and Klein 2009), the same at every size. Training rows are dealt by
 a hash of the id to `slices` slices. A step runs the forward-backward recursion over every row of a slice; expected counts are summed
@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,37 @@ def _word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def encoded(batch: pa.RecordBatch, known: dict[bytes, int], base: np.ndarray, in_class: np.ndarray, n_top: int, classes: int) -> pa.RecordBatch:
+    """Rows (doc_id, held_out, text) with their symbols, the end last, as 16-bit numbers; their words, and those of the top; the sums of base and of
+    in_class over the words' symbols; and their rare words with the number of each. All words of the batch are worked on at once."""
+    words: list[bytes] = []
+    n_words = np.empty(batch.num_rows, np.int64)
+    for i, text in enumerate(utf8_list(batch.column(2))):
+        mine = text.lower().split() if text else []
+        n_words[i] = len(mine)
+        words += mine
+    doc = np.repeat(np.arange(len(n_words)), n_words)
+    numbered = pa.array(words, pa.binary()).dictionary_encode()  # each distinct word is looked up once
+    distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+    symbol = np.fromiter(map(known.get, distinct, repeat(-1)), np.int32, len(distinct))
+    is_rare = symbol < 0
+    some = np.flatnonzero(is_rare)
+    symbol[some] = n_top + np.fromiter((rare_class(distinct[i], classes) for i in some.tolist()), np.int32, len(some))
+    coded, rare = symbol[at], np.flatnonzero(is_rare[at])
+    pairs, times = np.unique(doc[rare] * len(distinct) + at[rare], return_counts=True)  # by document, then by word
+    per_doc = np.bincount(pairs // max(1, len(distinct)), minlength=len(n_words))
+    inner = pa.StructArray.from_arrays([numbered.dictionary.take(pa.array(pairs % max(1, len(distinct)))), pa.array(times, pa.int32())], ["word", "n"])
+    ends = np.concatenate([[0], np.cumsum(n_words + 1)])
+    ids = np.full(ends[-1], n_top + classes, np.uint16)
+    ids[np.arange(len(coded)) + doc] = coded
+    total = lambda x, of: pa.array(np.bincount(doc[of], x[coded[of]], minlength=len(n_words)), pa.float64())
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), pa.array(n_words), pa.array(n_words - np.bincount(doc[rare], minlength=len(n_words))), total(base, slice(None)), total(in_class, rare),
+         pa.Array.from_buffers(pa.binary(), len(n_words), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids)]),
+         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]), pa.int32()), inner)],
+        ["doc_id", "held_out", "n_words", "n_top", "base_sum", "class_sum", "ids", "rare"])
+
+
 def _batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows of each batch, longest first, with their symbol sequences, in parts of about BATCH_TOKENS symbols."""
     for batch in batches:
@@ -199,12 +231,11 @@ def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     known = {bytes(r.word): i for i, r in enumerate(top)}
     top_c = np.array([r.c for r in top], np.float64)
     n_top = len(top)
-    end = n_top + rare_classes
-    sent = send((known, np.log10((top_c + 1) / over), n_top, rare_classes, end))
+    sent = send((known, rare_classes))
 
     # class totals of the words outside the top
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _, _, classes, _ = sent.value
+        known, classes = sent.value
         for batch in batches:
             n, v = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -219,39 +250,16 @@ def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     for r in classes:
         class_n[r.k], class_over[r.k] = r.n, r.n + r.v + 1
 
+    base = np.concatenate([np.log10((top_c + 1) / over), np.full(rare_classes, -np.log10(over))])  # a rare word's count is joined later
+    in_class = np.concatenate([np.zeros(n_top), -np.log10(class_over)])
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, n_top, classes, end = sent.value
-        get = known.get
+        known, classes = sent.value
         for batch in (part for whole in batches for part in blocks(whole, "text", BLOCK_BYTES)):
-            ids, sums, n_words, n_top_words = [], [], [], []
-            kinds: dict[bytes, int] = {}  # classes of the block's rare words
-            rare_words, rare_n, ends = [], [], [0]
-            for text in utf8_list(batch.column(2)):
-                words = (text or b"").lower().split()
-                coded = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
-                mine: Counter = Counter()
-                for i in np.flatnonzero(coded < 0).tolist():
-                    w = words[i]
-                    if (k := kinds.get(w)) is None:
-                        kinds[w] = k = rare_class(w, classes)
-                    mine[w] += 1
-                    coded[i] = n_top + k
-                frequent = coded[coded < n_top]
-                ids.append(np.append(coded, end).astype(np.uint16).tobytes())
-                sums.append(float(base[frequent].sum()))
-                n_words.append(len(words))
-                n_top_words.append(len(frequent))
-                rare_words.extend(mine)
-                rare_n.extend(mine.values())
-                ends.append(len(rare_words))
-            rare_k = [kinds[w] for w in rare_words]
-            inner = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_k, pa.int32()), pa.array(rare_n, pa.int32())], ["word", "k", "n"])
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(sums, pa.float64()), pa.array(n_words, pa.int64()), pa.array(n_top_words, pa.int64()), rare],
-                                             ["doc_id", "held_out", "ids", "top_sum", "n_words", "n_top", "rare"])
+            yield encoded(batch, known, base, in_class, n_top, classes)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    coded = rows.mapInArrow(encode, f"doc_id {kind}, held_out boolean, ids binary, top_sum double, n_words long, n_top long, rare array<struct<word:binary,k:int,n:int>>")
+    coded = rows.mapInArrow(encode, f"doc_id {kind}, held_out boolean, n_words long, n_top long, base_sum double, class_sum double, ids binary, rare array<struct<word:binary,n:int>>")
     coded = coded.withColumns({"row": F.monotonically_increasing_id(), "slice": F.pmod(F.xxhash64("doc_id", F.lit("hmm")), F.lit(slices)).cast("int")})
     coded, _ = written(coded.sortWithinPartitions("slice"), "coded", {"parquet.block.size": GROUP_BYTES})
 
@@ -261,19 +269,16 @@ def hmm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, seqs in _batches(batches, "ids"):
-            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(_Batch(seqs).log10(fitted.value))], [*part.schema.names[:5], "hmm"])
-
-    scored = coded.select("row", "doc_id", "held_out", "n_words", "n_top", "ids").mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_words long, n_top long, hmm double")
-    sums = coded.select("row", "top_sum")
-    over_k = spark.createDataFrame([(i, float(x)) for i, x in enumerate(class_over)], "k int, over_k double")  # rare_classes rows
-    rare = coded.select("row", F.inline("rare")).join(counts, "word", "left").join(F.broadcast(over_k), "k")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 1) / over)).alias("rare_base"), F.sum(F.col("n") * F.log10((c + 1) / F.col("over_k"))).alias("rare_in"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
+            yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array(_Batch(seqs).log10(fitted.value))], [*part.schema.names[:7], "hmm"])
+
+    scored = coded.select("row", "doc_id", "held_out", "n_words", "n_top", "base_sum", "class_sum", "ids").mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_words long, n_top long, base_sum double, class_sum double, hmm double")
+    seen = counts.select("word", F.log10(F.col("c") + 1.0).alias("share"))
+    rare = coded.select("row", F.inline("rare")).join(seen, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("rare_sum"), F.sum("n").alias("rare_known"))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    out = scored.join(sums, "row").join(rare, "row", "left")
+    out = scored.join(rare, "row", "left")
     return out.select(
         F.col("doc_id").alias(id_col), "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_top") + zero("rare_known") + int(docs_n > 0)).cast("long").alias("n_known"),
-        F.lit(int(n_all)).cast("long").alias("train_tokens"), (F.col("top_sum") + zero("rare_base") + float(np.log10((docs_n + 1) / over))).alias("base_score"), (F.col("hmm") + zero("rare_in")).alias("score"))
+        F.lit(int(n_all)).cast("long").alias("train_tokens"), (F.col("base_sum") + zero("rare_sum") + float(np.log10((docs_n + 1) / over))).alias("base_score"), (F.col("hmm") + F.col("class_sum") + zero("rare_sum")).alias("score"))
 
 
 def trained(coded: DataFrame, unigram: np.ndarray, slices: int, passes: int, states: int = STATES) -> HMM:

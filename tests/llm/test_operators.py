@@ -317,6 +317,30 @@ def test_hmm_scores_equal_a_plain_stepwise_training(spark, top, sliced):
             assert close, r
 
 
+def test_hmm_encoding_looks_up_each_distinct_word_once():
+    import pyarrow as pa
+
+    class Known(dict):
+        asked = 0
+
+        def get(self, *a):
+            Known.asked += 1
+            return super().get(*a)
+
+    known = Known({b"a": 0, b"b": 1})
+    texts = ["A b zz a", None, "", "zz q\u00e9 zz A", "b"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(250)), pa.array([False] * 250), pa.array(texts)], ["doc_id", "held_out", "text"])
+    base, in_class = np.array([1.0, 10, 100, 1000]), np.array([0, 0, 0.5, 0.25])
+    got = hmm.encoded(batch, known, base, in_class, 2, 2).to_pylist()
+    assert Known.asked == 4  # before: once for each of the 450 words
+    for r, t in zip(got, texts):
+        words = [w.encode() for w in (t or "").lower().split()]
+        symbols = [known[w] if w in known else 2 + hmm.rare_class(w, 2) for w in words]
+        assert np.frombuffer(r["ids"], np.uint16).tolist() == [*symbols, 4]
+        assert (r["n_words"], r["n_top"], r["base_sum"], r["class_sum"]) == (len(words), sum(w in known for w in words), base[symbols].sum() if words else 0, in_class[symbols].sum() if words else 0)
+        assert {x["word"]: x["n"] for x in r["rare"]} == Counter(w for w in words if w not in known)
+
+
 def test_hmm_edges(spark):
     assert hmm.hmm_scores(docs(spark, []), F.lit(False)).count() == 0
     none = hmm.hmm_scores(docs(spark, sample(5)), F.lit(True)).collect()  # nothing to learn from
